@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -18,7 +19,14 @@ _ODD_INV = pow(_ODD, -1, 2**64)
 _PLACE = _RNG.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 #: Bytes of text handled at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+
+
+def small_batches(docs: DataFrame) -> SparkSession:
+    """The session of ``docs``, with Arrow batches held to 4 MB: batches of a number of rows can hold that many long texts."""
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return spark
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,5 +99,5 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
         out[full] = h[inside]
     for i in np.flatnonzero((counts > 0) & (counts < size)):
         w = words[first[i] : first[i + 1]]
-        out[at[i]] = (w * _PLACE[: len(w)]).sum(dtype=np.uint64) + _PLACE[8 + len(w) % 8]
+        out[at[i]] = np.concatenate([w * _PLACE[: len(w)], _PLACE[8 + len(w) % 8 :][:1]]).sum(dtype=np.uint64)
     return mix(out), at
