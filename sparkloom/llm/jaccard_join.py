@@ -4,29 +4,32 @@ Each document is the set of its distinct word shingles. Two documents link when
 threshold; the operator finds the groups that links connect, without losing a link between different texts.
 
 1. Documents with equal sets are one class and go on as its least doc_id, so a group of copies costs one row per task.
-2. Shingles are ordered from rare to frequent by a count sketch of fixed size over all documents. Any fixed order is exact:
-   two linked sets share a shingle among the first ``n - ceil(t * n) + 1`` of each. Classes that share none of these can't
-   link, so components over shared first shingles (linear: each points to the least class with it) split the work.
-3. In such a part, shingles are hashed into groups and a set's group counts are a point. A packed R-tree holds the points
+2. Linked sets, each sorted by hash, share runs of three neighbouring shingles. Where sets are small, counting shows that one
+   of the first ``c * n + 1`` runs is shared; where they are large, the first ``runs_for(t)`` runs do, but for one pair in 10**12
+   (less than for clashes of hashes). Tiny sets use single shingles. Texts that only share a passage seldom share a run,
+   whatever the passage's frequency. Classes with a common run fall into one part (linear: each points to the least with it).
+3. Inside a part, shingles are counted and each set's rarest ``n - ceil(t * n) + 1`` are taken; linked sets share one of these,
+   which splits the part further and exactly. A part of over ``block_shingles`` is split so by a distributed count first.
+4. In what is left, shingles are hashed into groups and a set's group counts are a point. A packed R-tree holds the points
    with each node's largest count per group; the sum over groups of the smaller of two counts bounds the overlap from above.
    Nodes and points whose bound is below the overlap that the sizes ask for are left out, the rest is verified on the sets.
    Pairs that earlier links already connect need no verification, so a dense group costs about a link per member.
-4. Parts over ``block_shingles`` are cut into blocks and each pair of blocks is a task of its own, which returns at most
+5. Parts still over ``block_shingles`` are cut into blocks and each pair of blocks is a task of its own, which returns at most
    one connecting link per class. Components over all verified links give the result.
 
 The R-tree alone would compare nearly all nodes: counts of unrelated texts of one size lie close together, and no few
-coordinates part them. Hence step 2, which deals the points to many small trees.
+coordinates part them. Hence steps 2 and 3, which deal the points to many small trees.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +37,10 @@ from sparkloom.llm import _words
 from sparkloom.operators.components import connected_components
 from sparkloom.storage import materialize, release
 
-#: Cells of the count sketch (a power of two): 4 MB a task, and 1 MB of ranks broadcast, whatever the input's size.
-SKETCH_BITS = 20
-SKETCH_ROWS = 256
+#: Points under a node of the tree.
 NODE = 16
+#: Rows (two integers each) up to which the members of parts are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
@@ -47,63 +50,81 @@ def _sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
         yield np.unique(h[at[i] : at[i + 1]])
 
 
-def _sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """The rank (log2 of the count of its cell) for each cell, from all shingles of all documents."""
+def runs_for(t: Fraction, miss: float = 1e-12) -> int:
+    """How many places of the united, sorted sets hold a run of three shared ones, but for ``miss`` of pairs with similarity t.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for _, texts in _words.chunks(batches, 0):
-            words, first = _words.hash_words(_words.lowered(texts))
-            h, _ = _words.shingle_hashes(words, first, size)
-            cells += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
-        parts = [pack(p) for p in cells.reshape(SKETCH_ROWS, -1)]
-        some = TaskContext.get().partitionId() // 64
-        yield pa.RecordBatch.from_arrays([pa.array([some] * SKETCH_ROWS, pa.int32()), pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(parts, pa.binary())], ["some", "part", "counts"])
-
-    def pack(counts: np.ndarray) -> bytes:
-        return counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64).tobytes()
-
-    def add(pdf):
-        total = np.zeros((1 << SKETCH_BITS) // SKETCH_ROWS, dtype=np.int64)
-        for b in pdf["counts"]:
-            total += np.frombuffer(b, dtype=np.int32 if len(b) == 4 * len(total) else np.int64)
-        return pdf.iloc[:1].assign(counts=[pack(total)])
+    Places are shared with probability t each; the chance that n have no run of three falls as the n-th power of the largest
+    root of x^3 = (1 - t)(x^2 + t x + t^2).
+    """
+    t = float(t)
+    root = max(r.real for r in np.roots([1, t - 1, (t - 1) * t, (t - 1) * t * t]) if abs(r.imag) < 1e-9)
+    return math.ceil(math.log(miss) / math.log(root))
 
-    # Sums of 64 tasks first, then of these, so that no task holds a row from every other.
-    schema = "some int, part int, counts binary"
-    tasks = docs.select("text").mapInArrow(count, schema)
-    rows = tasks.groupBy("some", "part").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).collect()
-    ranks = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), dtype=np.uint8)
-    for r in rows:
-        counts = np.frombuffer(r["counts"], dtype=np.int32 if len(r["counts"]) == 4 * ranks.shape[1] else np.int64)
-        ranks[r["part"]] = np.frexp(counts.astype(np.float64))[1]
-    return ranks.reshape(-1)
 
+def first_keys(s: np.ndarray, t: Fraction, most: int) -> np.ndarray:
+    """Keys of one set (sorted), of which any two linked sets share one.
 
-def _first_shingles(docs: DataFrame, size: int, t: Fraction, ranks) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and the first shingles in the sketch's order."""
+    With x shingles only here and y only there, x + t y <= (1 - t) n. A lost shingle breaks three runs, a new one two, so that
+    n - 2 - c n runs are common, c = max(3 (1 - t), 2 (1 - t) / t): positive from n = 3 / (1 - c) on.
+    """
+    n = len(s)
+    c = max(3 * (1 - t), 2 * (1 - t) / t)
+    least = math.ceil(3 / (1 - c)) if c < 1 else None
+    out = []
+    if n and (least is None or n <= least / t):
+        out.append(s[: n - math.ceil(t * n) + 1])
+    if least is not None and n >= least:
+        k = min(math.floor(c * n) + 1, most, n - 2)
+        out.append(_words.mix(s[:k] * np.uint64(3) + s[1 : k + 1] * np.uint64(5) + s[2 : k + 2] * np.uint64(7)))
+    return np.concatenate(out) if out else s
+
+
+def _first_keys(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """doc_id, n_shingles, digest of the set, and its keys."""
+    most = runs_for(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks.value
         for batch, texts in _words.chunks(batches):
             counts, digests, heads = [], [], []
             for s in _sets(texts, size):
-                n = len(s)
-                counts.append(n)
+                counts.append(len(s))
                 digests.append(hashlib.md5(s.tobytes()).digest())
-                keep = n - -(-t.numerator * n // t.denominator) + 1 if n else 0
-                key = (rank[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                heads.append(s[np.argsort(key, kind="stable")[:keep]].view(np.int64))
+                heads.append(first_keys(s, t, most).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
-            values = np.concatenate(heads) if heads else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads)))],
                 ["doc_id", "n_shingles", "digest", "head"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, head array<long>")
 
 
+def rare_parts(sets: list[np.ndarray], t: Fraction) -> list[list[int]]:
+    """Groups of sets (by place) that share one of their rarest shingles, frequency counted among these sets."""
+    lens = np.array([len(s) for s in sets])
+    found, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    at = np.concatenate([[0], np.cumsum(lens)])
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    least: dict[int, int] = {}
+    for i, n in enumerate(lens.tolist()):
+        tokens = inverse[at[i] : at[i + 1]]
+        order = np.argsort(counts[tokens], kind="stable")[: n - math.ceil(t * n) + 1]
+        for k in tokens[order][counts[tokens[order]] > 1].tolist():
+            a, b = root(least.setdefault(k, i)), root(i)
+            parent[max(a, b)] = min(a, b)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(sets)):
+        groups.setdefault(root(i), []).append(i)
+    return [g for g in groups.values() if len(g) > 1]
+
+
 class CountTree:
     """A packed R-tree over points of group counts, with the least and largest set size under each node.
 
@@ -112,7 +133,8 @@ class CountTree:
 
     def __init__(self, sets: list[np.ndarray], groups: int):
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        self.points = np.stack([np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
+        self.points = np.stack([np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups) for s in sets])
+        self.points = self.points.astype(np.min_scalar_type(int(self.points.max(initial=0))))
         self.levels = []
         most, low, high = self.points, self.sizes, self.sizes
         while len(most) > NODE:
@@ -129,12 +151,12 @@ class CountTree:
             ids = ids[ids < len(most)]
             ok = (high[ids] * t.denominator >= t.numerator * n) & (low[ids] * t.numerator <= t.denominator * n)
             ids = ids[ok]
-            ids = ids[np.minimum(most[ids], p).sum(1) * den >= num * (n + low[ids])]
+            ids = ids[np.minimum(most[ids], p).sum(1, dtype=np.int64) * den >= num * (n + low[ids])]
             ids = (ids[:, None] * NODE + np.arange(NODE)).reshape(-1)
         ids = ids[ids < upto]
         ok = (self.sizes[ids] * t.denominator >= t.numerator * n) & (self.sizes[ids] * t.numerator <= t.denominator * n)
         ids = ids[ok]
-        return ids[np.minimum(self.points[ids], p).sum(1) * den >= num * (n + self.sizes[ids])]
+        return ids[np.minimum(self.points[ids], p).sum(1, dtype=np.int64) * den >= num * (n + self.sizes[ids])]
 
 
 def link_sets(ids: list[int], sets: list[np.ndarray], t: Fraction, groups: int = 256, side: list[int] | None = None) -> list[tuple[int, int]]:
@@ -185,7 +207,9 @@ def _link_parts(rows: DataFrame, t: Fraction, groups: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             ids, sides, sets = [x[0] for x in held], [x[1] for x in held], [x[2] for x in held]
-            links = link_sets(ids, sets, t, groups, sides if any(sides) else None) if len(held) > 1 else []
+            links = []
+            for g in rare_parts(sets, t) if len(held) > 1 else []:
+                links += link_sets([ids[k] for k in g], [sets[k] for k in g], t, groups, [sides[k] for k in g] if any(sides) else None)
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["u", "v"])
 
         for batch in batches:
@@ -201,6 +225,29 @@ def _link_parts(rows: DataFrame, t: Fraction, groups: int) -> DataFrame:
     return rows.select("key", "id", "side", "shingles").mapInArrow(run, "u long, v long")
 
 
+def _to_least(rows: DataFrame) -> DataFrame:
+    """rows: rep, token. An edge (u, v) from each rep to the least one with the same token."""
+    rows = rows.repartition("token")
+    shared = rows.groupBy("token").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(shared, "token").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+
+
+def _rarest(members: DataFrame, t: Fraction) -> DataFrame:
+    """members: component, id, shingles. (rep, token): each set's rarest shingles, counted among all members."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(b, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, dtype=np.int64)), pa.array(s)], ["rep", "token"])
+
+    rows = members.select("id", "shingles").mapInArrow(spread, "rep long, token long").repartition("token")
+    counted = rows.join(rows.groupBy("token").agg(F.count("*").alias("n")), "token")
+    keep = F.size("all") - F.ceil(F.lit(t.numerator) * F.size("all") / F.lit(t.denominator)) + 1
+    each = counted.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))  # one set a row
+    return each.select("rep", F.explode(F.slice("all", 1, keep.cast("int"))).alias("x")).select("rep", "x.token")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, similarity: str = "0.8", groups: int = 256, block_shingles: int = 4_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id, the least doc_id reachable by links.
 
@@ -208,17 +255,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: str = "0.8",
     nothing. Rows that repeat a doc_id count as one document. Rows whose doc_id is null get a null component and link with
     nothing. An empty table gives an empty result. Sets are compared by 64-bit shingle hashes.
     """
-    spark, t = docs.sparkSession, Fraction(similarity)
-    ranks = spark.sparkContext.broadcast(_sketch(docs, size))
-    heads = materialize(_first_shingles(docs, size, t, ranks), "heads")
+    _words.small_batches(docs)
+    t = Fraction(similarity)
+    heads = materialize(_first_keys(docs, size, t), "heads")
     known = heads.filter("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
-    first = classes.select("rep", F.explode("head").alias("token")).repartition("token")
-    shared = first.groupBy("token").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    rough = first.join(shared.select("token", "least"), "token").select(F.col("rep").alias("u"), F.col("least").alias("v"))
-    parts = materialize(connected_components(rough), "parts")
+    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head")), "classes")
+    parts = materialize(connected_components(_to_least(classes.select("rep", F.explode("head").alias("token")))), "parts")
 
-    texts = docs.select("doc_id", "text").join(parts, docs["doc_id"] == parts["node"]).select("component", F.col("doc_id").alias("id"), "text")
+    # A small table of members goes to the texts, a large one meets them by a shuffle.
+    near = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
+    texts = docs.select("doc_id", "text").join(near, docs["doc_id"] == near["node"]).select("component", F.col("doc_id").alias("id"), "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, chunk in _words.chunks(batches, 2):
@@ -226,6 +272,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: str = "0.8",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["component", "id", "shingles"])
 
     members = materialize(texts.mapInArrow(to_sets, "component long, id long, shingles binary"), "sets")
+    large = members.groupBy("component").agg(F.sum(F.length("shingles")).alias("bytes")).filter(F.col("bytes") > 8 * block_shingles)
+    if not large.isEmpty():
+        finer = connected_components(_to_least(_rarest(members.join(large.select("component"), "component", "left_semi"), t)))
+        kept = members.join(large, "component", "left_anti").unionByName(members.drop("component").join(finer.withColumnRenamed("node", "id"), "id").select("component", "id", "shingles"))
+        members, before = materialize(kept, "sets"), members
+        release(before)
     blocks = members.groupBy("component").agg(F.ceil(F.sum(F.length("shingles")) / (8 * block_shingles)).cast("long").alias("blocks"))
     placed = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # Each set goes to the pairs of its block with every block, its own included.
