@@ -1,8 +1,66 @@
-"""The corpus pipeline."""
+"""A training-data pipeline of five operators of ``sparkloom.llm``, each stage a table that the next one reads.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of ``docs``: all columns of documents, and the last stage also
+the shard and the slot. ``run`` writes every stage as Parquet in the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import decontaminate, jaccard_join, mixing, quality, sharding
+from sparkloom.storage import materialize, release
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is inside their language's limits; rows whose doc_id is null are rejected."""
+    rejected = quality.judge(docs, _table(spark, sf_dir, "labels")).filter(~F.col("keep")).select("doc_id").distinct()
+    return docs.filter("doc_id is not null").join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group of near copies."""
+    groups = jaccard_join.jaccard_components(docs)
+    extra = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.apply_mix(docs)
+
+
+def shuffle_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and slot."""
+    return sharding.assign(docs, shards=8)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_copies", keep_one_of_near_copies),
+    ("decontamination", remove_benchmark),
+    ("mixing", mix_sources),
+    ("sharding", shuffle_into_shards),
+]
+
+#: Perplexities, alignments and random draws have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the documents of ``sf_dir``."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs, before = materialize(stage(spark, docs, sf_dir), name), docs
+        release(before)
+    return docs
