@@ -84,6 +84,11 @@ def func(f: Callable | None = None, *, return_dtype: Any = None, on_error: str =
     return functools.wraps(f)(build)
 
 
+def _tuple(parts: Any) -> tuple:
+    """A batch's columns; a single column comes without its tuple."""
+    return parts if isinstance(parts, tuple) else (parts,)
+
+
 def batch(*, return_dtype: Any, batch_size: int | None = None):
     """A function of whole Series to a Series; literals are passed as they are. Its result must not depend on how rows are batched."""
 
@@ -95,7 +100,7 @@ def batch(*, return_dtype: Any, batch_size: int | None = None):
 
             @F.pandas_udf(return_dtype)
             def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-                for parts in batches:
+                for parts in map(_tuple, batches):
                     n = len(parts[0])
                     step = batch_size or max(1, n)
                     done = [pd.Series(f(**place([p.iloc[i : i + step] for p in parts]))) for i in range(0, n, step)]
@@ -136,8 +141,7 @@ class Remote:
         def build(*given: Any, **kw: Any) -> Column:
             cols, place = _split(given, names, kw)
 
-            @F.pandas_udf(kind)
-            def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series | pd.DataFrame]:
+            def rows_of(batches: Iterator) -> Iterator[list]:
                 one = getattr(_instance(cls, args, kwargs), name)
 
                 def row(values):
@@ -148,10 +152,18 @@ class Remote:
                             raise
                         return None
 
-                for parts in batches:
-                    out = [row(r) for r in zip(*parts, strict=True)]
-                    yield pd.DataFrame(out) if isinstance(kind, T.StructType) else pd.Series(out, dtype=object)
+                for parts in map(_tuple, batches):
+                    yield [row(r) for r in zip(*parts, strict=True)]
+
+            def series(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+                for out in rows_of(batches):
+                    yield pd.Series(out, dtype=object)
+
+            def frames(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+                for out in rows_of(batches):
+                    yield pd.DataFrame([r or {} for r in out], columns=kind.names)
 
+            run = F.pandas_udf(frames if isinstance(kind, T.StructType) else series, kind)
             return run(*cols)
 
         return build

@@ -1,0 +1,152 @@
+import textwrap
+
+import pytest
+from pyspark.sql import Row, Window
+from pyspark.sql import functions as F
+
+from sparkloom.operators import evaluation, extract, mapreduce, relational, retrieval, upsert, windows
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_joins_with_nulls_and_clashes(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k int, v string")
+    b = spark.createDataFrame([(1, "p"), (None, "q"), (3, "r")], "k int, v string")
+    assert rows(relational.join_suffix(a, b, "k")) == [(1, "x", "p")]
+    assert rows(relational.join_suffix(a, b, "k", "left")) == sorted([(1, "x", "p"), (2, "y", None), (None, "z", None)], key=repr)
+    assert rows(a.join(b, "k", "left_anti")) == sorted([(2, "y"), (None, "z")], key=repr)
+    assert relational.join_on(a, b, ["k"], ["k"]).columns == ["k", "v", "k_r", "v_r"]
+    assert "ShuffledHashJoin" in relational.join_suffix(a, b, "k", strategy="shuffle_hash")._jdf.queryExecution().toString()
+
+
+def test_band_join_equals_the_plain_condition(spark):
+    a = spark.range(60).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 41 - 20).alias("t"), "id")
+    for before, after in ((0, 0), (5, 2), (30, 30), (1, 0)):
+        got = relational.band_join(a, a, "k", "t", before, after).select("id", "id_r")
+        b = a.select(F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("id").alias("id2"))
+        want = a.join(b, (F.col("k") == F.col("k2")) & F.col("t2").between(F.col("t") - before, F.col("t") + after)).select("id", "id2")
+        assert rows(got) == rows(want)
+
+
+def test_shaping(spark):
+    df = spark.createDataFrame([(1, [1, 2], ["a", "b"]), (2, [], []), (3, None, None), (4, [7], ["c"])], "i int, `x.y` array<int>, z array<string>")
+    assert rows(relational.zip_explode(df, "x.y", "z")) == [(1, 1, "a"), (1, 2, "b"), (4, 7, "c")]
+    assert len(rows(relational.zip_explode(df, "x.y", "z", outer=True))) == 5
+    assert relational.exclude(df, "x.y").columns == ["i", "z"]
+    nested = spark.createDataFrame([Row(a=1, s=Row(b=2, c=Row(d=3)))])
+    assert relational.unnest(relational.unnest(nested, "s"), "c").columns == ["a", "b", "d"]
+    votes = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "z"), (2, "y")], "g int, l string")
+    assert rows(relational.majority_vote(votes, ["g"], "l")) == [(1, "b", 2), (2, "y", 1)]
+    assert relational.same_rows(votes, votes.union(votes)) and not relational.same_rows(votes, votes.limit(1))
+    assert rows(relational.pivot_with_total(votes.withColumn("n", F.lit(1)).withColumn("g", F.col("g").cast("string")), "g", "l", ["a", "b"], "n")) == [("1", 1, 2), ("2", 0, 0), ("ALL", 1, 2)]
+
+
+def test_window_equals_self_join(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", F.unix_timestamp("ts").alias("t"), "value")
+    w = Window.partitionBy("user_id").orderBy("t").rangeBetween(-5000, 5000)
+    by_window = e.select("event_id", F.count("*").over(w).alias("n"))
+    by_join = relational.band_join(e, e, "user_id", "t", 5000, 5000).groupBy("event_id").agg(F.count("*").alias("n"))
+    assert rows(by_window) == rows(by_join)
+    plan = relational.top_k_per_group(e, ["user_id"], [F.col("t").asc()], 3)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+    bars = windows.daily_bars(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    signals = {r["signal"] for r in windows.cross_signals(bars, 2, 4).collect()}
+    assert signals == {"golden", "death", None}
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_quantity < 5").filter("l_tax > 0.01").select("l_orderkey")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity)" in plan and "l_extendedprice" not in plan
+
+
+def test_knn_in_blocks(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = e.limit(7).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    one, many = retrieval.knn(e, q, 4), retrieval.knn(e, q, 4, block=2)
+    assert rows(one) == rows(many) and one.count() == 28
+    first = {r["query_id"]: r["vec_id"] for r in one.filter("rank = 1").collect()}
+    assert all(k == v for k, v in first.items())
+    found = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], "q int, rank int, t string")
+    assert rows(retrieval.contexts(found, "q", "t", "|")) == [(1, "a|b"), (2, "c")]
+
+
+def test_evaluation(spark):
+    df = spark.createDataFrame([("a", True, True), ("a", True, False), ("a", None, False), ("b", False, True), ("b", False, False)], "s string, w boolean, o boolean")
+    got = {r["s"]: r.asDict() for r in evaluation.report(df, "s", "w", "o").collect()}
+    assert (got["ALL"]["helped"], got["ALL"]["hurt"], got["ALL"]["both_correct"], got["ALL"]["both_incorrect"]) == (1, 1, 1, 2)
+    assert got["a"]["help_rate"] == 0.5 and got["b"]["hurt_rate"] == 1.0 and got["b"]["net_rate"] == -0.5
+    v = spark.createDataFrame([(" a. ",), ("B",), ("both",), (None,)], "x string").select(evaluation.verdict(F.col("x")).alias("v"))
+    assert [r["v"] for r in v.collect()] == ["A", "B", "TIE", "TIE"]
+    games = spark.createDataFrame([(1, "x", "y", "A"), (2, "y", "x", "TIE"), (3, "x", "z", "B")], "i int, model_a string, model_b string, verdict string")
+    x, y, z = 1016.0, 984.0, 1000.0
+    e = 1 / (1 + 10 ** ((x - y) / 400))
+    x, y = x - 32 * (0.5 - e), y + 32 * (0.5 - e)
+    e = 1 / (1 + 10 ** ((z - x) / 400))
+    want = {"x": x - 32 * e, "y": y, "z": z + 32 * e}
+    got = {r["model"]: r["rating"] for r in evaluation.elo(games.repartition(3), ["i"]).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    said = spark.createDataFrame([("Answer: (c)",), ("none",)], "x string").select(evaluation.parse_answer(F.col("x")).alias("a"))
+    assert [r["a"] for r in said.collect()] == ["C", None]
+
+
+def test_html_blocks(spark):
+    page = '<title>T</title><script>var t="<p>no</p>";</script><div>a<p>b &amp; c<p>d</div><ul><li>x<li>y</ul><br><style>p{}</style></q><p> </p>'
+    assert extract.blocks_of(page) == [("title", "T"), ("div", "a b & c d"), ("p", "b & c"), ("p", "d"), ("li", "x"), ("li", "y")]
+    assert extract.blocks_of(None) == []
+    df = spark.createDataFrame([(1, "<p>a</p><p>a</p><h1>a</h1>"), (2, None)], "id long, html string")
+    found = extract.html_blocks(df, "id", "html").collect()
+    assert len(found) == 3 and len({r["block_id"] for r in found}) == 2
+
+
+def test_python_definitions(spark):
+    source = textwrap.dedent('''
+        import os
+        @cache
+        def outer(a: int, *b, c=1) -> str:
+            "Doc."
+            async def inner(): pass
+        class K(Base, x.Y):
+            def m(self): return 1
+    ''')
+    df = spark.createDataFrame([("f.py", source), ("bad.py", "def ("), ("none.py", None)], "path string, source string")
+    got = {r["name"]: r for r in extract.python_definitions(df, "path", "source").collect()}
+    assert set(got) == {"outer", "inner", "K", "m"}
+    assert got["outer"]["signature"] == "def outer(a: int, *b, c=1) -> str" and got["outer"]["docstring"] == "Doc." and got["outer"]["decorators"] == ["cache"]
+    assert got["inner"]["is_async"] and got["K"]["bases"] == ["Base", "x.Y"] and got["K"]["methods"] == ["m"] and (got["K"]["start_line"], got["K"]["end_line"]) == (7, 8)
+
+
+def test_urls_and_kinds(spark):
+    urls = ["https://github.com/o/r", "https://github.com/o/r.git", "https://github.com/o/r/tree/main/a/b", "https://x.org/o/r", None]
+    got = [r["g"] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(extract.github_url(F.col("u")).alias("g")).collect()]
+    assert [g and tuple(g) for g in got] == [("o", "r", None, None), ("o", "r", None, None), ("o", "r", "main", "a/b"), None, None]
+    kinds = spark.createDataFrame([("a.PY",), ("b.tar",), ("c",), ("d.parquet",)], "p string").select(extract.file_kind(F.col("p")).alias("k"))
+    assert [r["k"] for r in kinds.collect()] == ["code", "other", "other", "data"]
+
+
+def test_upsert(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    make = lambda rs: spark.createDataFrame(rs, "k int, v string")
+    upsert.upsert_path(spark, path, make([(1, "a"), (2, "b")]), ["k"])
+    for _ in range(2):
+        upsert.upsert_path(spark, path, make([(2, "B"), (3, "c")]), ["k"])
+        assert rows(spark.read.parquet(path)) == [(1, "a"), (2, "B"), (3, "c")]
+    upsert.upsert_path(spark, path, make([(3, "x"), (3, "x"), (None, "n")]), ["k"], dedupe=True)
+    assert rows(spark.read.parquet(path)) == sorted([(1, "a"), (2, "B"), (3, "x"), (None, "n")], key=repr)
+    assert upsert.typed(spark.sql("select 1 as a, null as b")).dtypes == [("a", "int"), ("b", "string")]
+    days = spark.createDataFrame([("p", f"2024-01-{d:02}", d * 10) for d in range(1, 10)], "p string, day string, n int")
+    assert [r["m"] for r in upsert.trailing_mean(days, ["p"], "day", "n", 7, "m").orderBy("day").collect()][-1] == 60.0
+    assert tuple(upsert.scorecard(days, ["p"], "day", "n", 120.0).first()) == ("p", "2024-01-09", 90, 60.0, 50.0)
+
+
+def test_mapreduce(spark):
+    pages = spark.createDataFrame([("d", 2, "beta text"), ("d", 1, "alpha text"), ("e", 1, "gamma")], "doc string, page int, text string")
+    assert {r["doc"]: r["page"] for r in mapreduce.search(pages, "doc", "page", "text", "Q?", is_relevant=F.col("text").contains("text")).collect()} == {"d": 1}
+    assert {r["doc"]: r["summary"] for r in mapreduce.summarize(pages, "doc", "page", "text").collect()}["d"].startswith("Summarize.: Summarize.: alpha text --- Summarize.: beta")
+    assert {r["doc"] for r in mapreduce.classify(pages, "doc", "text", ["A", "B"]).collect()} == {"d", "e"}
+    items = mapreduce.extract(pages, "doc", "text", lines=F.concat(F.col("text"), F.lit("\n\n x \nx")))
+    assert rows(items) == [("d", "alpha text"), ("d", "beta text"), ("d", "x"), ("e", "gamma"), ("e", "x")]
+    assert mapreduce.question_answer(pages, "doc", "page", "text", "Q?", is_relevant=F.lit(True)).count() == 2
+    assert mapreduce.qa_chain(pages, "text").columns[-3:] == ["question", "answer", "judgement"]
