@@ -38,8 +38,11 @@ def headers(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, run: str | None = None, date: str = "2024-01-01T00:00:00Z") -> str:
-    """Write a record per row of ``pages`` (page_id, url, html) under ``path`` and return the run's id, which readers need."""
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, run: str | None = None, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> str:
+    """Write a record per row of ``pages`` (page_id, url, html) under ``path`` and return the run's id, which readers need.
+
+    Each file is one gzip stream, or plain with compression "none"; a plain file can be split among tasks.
+    """
     run = run or f"urn:uuid:{uuid.uuid4()}"
     found = headers(pages, least_bytes)
     rows = pages.select("page_id", "html").join(found, "page_id")
@@ -66,7 +69,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, run: str |
     )
     block = F.when(revisit, F.lit("")).otherwise(F.coalesce("html", F.lit("")))
     start = F.lit(f"WARC/1.1\r\nWARC-Warcinfo-ID: <{run}>\r\n")
-    rows.select(F.concat(start, head, block).alias("value")).write.option("lineSep", END).text(path)
+    rows.select(F.concat(start, head, block).alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
     return run
 
 
