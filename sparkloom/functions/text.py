@@ -106,6 +106,19 @@ def chunk_sentences(c: str | Column, more_than: int = 20) -> Column:
     return F.filter(F.transform(pieces, strip), lambda p: F.length(p) > more_than)
 
 
+def sentence_spans(c: str | Column) -> Column:
+    """Sentences as structs (sent_id, sent_start, sent_end, sent_text): their place and where their words begin and end in the text."""
+    pieces = F.filter(F.transform(F.split(_c(c), r"(?<=[.!?])\s+(?=[A-Z])", -1), strip), lambda p: p != "")
+    sized = F.transform(pieces, lambda p: F.struct(p.alias("t"), F.regexp_count(p, F.lit(r"\S+")).alias("n")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<sent_id: int, sent_start: int, sent_end: int, sent_text: string>>").alias("out"))
+
+    def add(done: Column, p: Column) -> Column:
+        now = F.struct(F.size(done["out"]).alias("sent_id"), done["at"].alias("sent_start"), (done["at"] + p["n"]).alias("sent_end"), p["t"].alias("sent_text"))
+        return F.struct((done["at"] + p["n"]).alias("at"), F.concat(done["out"], F.array(now)).alias("out"))
+
+    return F.aggregate(sized, start, add, lambda done: done["out"])
+
+
 def headings(c: str | Column) -> Column:
     """Markdown headings as structs (level, heading): every line that begins with ``#``, fenced code included."""
     lines = F.filter(F.split(_c(c), "\n", -1), lambda x: x.startswith("#"))

@@ -38,7 +38,9 @@ def r(c, digits: int = 4):
     return F.round(c, digits)
 
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
 
 # ---------------------------------------------------------------- TPC-H style aggregates
 
@@ -55,8 +57,8 @@ def q1_pricing_summary(spark, d):
         .agg(
             r(F.sum("l_quantity")).alias("sum_qty"),
             r(F.sum("l_extendedprice")).alias("sum_base_price"),
-            r(F.sum(REVENUE)).alias("sum_disc_price"),
-            r(F.sum(REVENUE * (1 + F.col("l_tax")))).alias("sum_charge"),
+            r(F.sum(revenue())).alias("sum_disc_price"),
+            r(F.sum(revenue() * (1 + F.col("l_tax")))).alias("sum_charge"),
             r(F.avg("l_quantity"), 6).alias("avg_qty"),
             r(F.avg("l_extendedprice"), 6).alias("avg_price"),
             r(F.avg("l_discount"), 6).alias("avg_disc"),
@@ -78,7 +80,7 @@ def q6_forecast_revenue_1996(spark, d):
 
 @query("""select l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue, count(*) as lines from lineitem group by l_returnflag""")
 def revenue_by_returnflag(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(r(F.sum(REVENUE)).alias("revenue"), F.count("*").alias("lines")).orderBy(F.desc("revenue"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(r(F.sum(revenue())).alias("revenue"), F.count("*").alias("lines")).orderBy(F.desc("revenue"))
 
 
 @query("""select o_orderpriority, count(*) as late_lines from lineitem join orders on l_orderkey = o_orderkey
@@ -124,7 +126,7 @@ def revenue_by_nation(spark, d):
     t = {n: table(spark, d, n) for n in ("customer", "orders", "lineitem", "nation", "region")}
     rows = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("c_custkey") == F.col("o_custkey"))
     rows = rows.join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy("n_name").agg(r(F.sum(REVENUE)).alias("revenue"))
+    return rows.groupBy("n_name").agg(r(F.sum(revenue())).alias("revenue"))
 
 
 # ---------------------------------------------------------------- projection and filter
@@ -469,6 +471,14 @@ def chunk_sentences(spark, d):
     return pieces.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.length("piece")).cast("long").alias("longest"))
 
 
+@query("""with s as (select doc_id, text, string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as parts from documents where n_chars < 3000),
+p as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as k from s), w as (select doc_id, k, part, len(regexp_extract_all(part, '\\S+')) as n from p where regexp_matches(part, '\\S'))
+select doc_id, cast(row_number() over (partition by doc_id order by k) - 1 as int) as sent_id, cast(sum(n) over (partition by doc_id order by k) - n as int) as sent_start, cast(sum(n) over (partition by doc_id order by k) as int) as sent_end from w""")
+def sentence_spans(spark, d):
+    docs = table(spark, d, "documents").filter("n_chars < 3000")
+    return docs.select("doc_id", F.inline(text.sentence_spans("text"))).drop("sent_text")
+
+
 @query("""select event_id, cast(json_extract(props, '$.k') as bigint) as k, json_extract_string(props, '$.k') as k_text from events""")
 def json_fields(spark, d):
     return table(spark, d, "events").select("event_id", lists.json_struct("props", "k long")["k"].alias("k"), lists.json_query("props", ".k").alias("k_text"))

@@ -218,3 +218,14 @@ def test_streams_equal_batches(spark, tmp_path):
     q = stream.upsert_stream(rows.select("user_id", "event_id"), f"{tmp_path}/t", ["user_id"], f"{tmp_path}/c")
     q.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/t").count() == batch.select("user_id").distinct().count()
+
+
+def test_frames(spark):
+    from sparkloom.plans import frames
+
+    df = frames.materialized(spark.createDataFrame([(1, "abcdef" * 20), (2, None)], "i int, s string"))
+    assert frames.to_pydict(df)["i"] == [1, 2] and "abc" in frames.show_text(df) and "InMemory" in frames.explain_text(df)
+    with pytest.raises(ValueError, match="more than 1"):
+        frames.to_pydict(df, 1)
+    df.unpersist()
+    assert frames.num_partitions(spark.range(10).repartition(3)) == 3 and 0 < frames.sample_fraction(spark.range(1000), 0.3).count() < 600
