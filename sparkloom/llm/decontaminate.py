@@ -4,7 +4,8 @@ A window of a document matches an item of L words when at most ``floor(max_edits
 Words are runs of letters, digits and non-ASCII characters in lower case, so punctuation and line breaks don't hide a copy.
 
 1. Windows of the item's length start at each word. The q-gram lemma keeps those that can match at all: within k edits an item
-   keeps ``L - 1 - 2k`` of its word pairs, so a window with fewer pairs from the items is left out. This drops no match.
+   keeps ``L - 1 - 2k`` of its word pairs, so a window with fewer pairs from items of its length, none counted more often than an item
+   has it, is left out. This drops no match.
 2. CGK embedding: a random walk reads the window with a pointer that a random function of step and word moves on or holds.
    After 3L steps, two sequences a few edits apart differ in few places: edit distance has become Hamming distance.
 3. Bit-sampling LSH: each repetition has its own walk and compares some sampled places of the embedding. With
@@ -61,40 +62,54 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str], max_edits: float, min_words: int, repetitions: int, sampled: int):
         words, first = _words.hash_words(plain(texts))
-        self.by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
-        pairs = []
-        for k, i in enumerate(ids):
-            w = words[first[k] : first[k + 1]]
-            if len(w) >= min_words:
-                self.by_length.setdefault(len(w), []).append((i, w))
-                pairs.append(w[:-1] * np.uint64(3) + w[1:])
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.uint64)
+        kept = [(i, words[first[k] : first[k + 1]]) for k, i in enumerate(ids) if first[k + 1] - first[k] >= min_words]
+        self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
+        self.lengths = sorted({len(w) for w in self.words})
+        self.longest = max(self.lengths, default=0)
+        each = [np.unique(w[:-1] * np.uint64(3) + w[1:], return_counts=True) for w in self.words]
+        self.pairs, at = np.unique(np.concatenate([p for p, _ in each]), return_inverse=True) if kept else (np.empty(0, np.uint64), None)
+        # How often one item has a pair at most: no window can share more of it.
+        self.times = np.zeros(len(self.pairs), dtype=np.int64)
+        if kept:
+            np.maximum.at(self.times, at, np.concatenate([c for _, c in each]))
+        # Which pairs items of a length have: only these count for windows of that length.
+        self.of_length = {n: np.zeros(len(self.pairs), dtype=bool) for n in self.lengths}
+        for w, (p, _) in zip(self.words, each, strict=True):
+            self.of_length[len(w)][np.searchsorted(self.pairs, p)] = True
         self.seen = np.zeros(1 << 16, dtype=bool)
         self.seen[mix(self.pairs) >> np.uint64(48)] = True
-        self.max_edits, self.repetitions, self.sampled = max_edits, repetitions, sampled
-        self.keys = {n: [self._sorted(self.embed(np.stack([w for _, w in found]), r)) for r in range(repetitions)] for n, found in self.by_length.items()}
-
-    @staticmethod
-    def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys, kind="stable")
-        return keys[order], order
+        self.max_edits, self.repetitions = max_edits, repetitions
+        # Each repetition has a random function of step and word, and its share of the embedding's places for every length.
+        rng = np.random.default_rng(SEED)
+        self.steps = rng.integers(1, 2**63, (repetitions, 3 * self.longest), dtype=np.uint64) | np.uint64(1)
+        self.sampled = np.zeros((self.longest + 1, repetitions, 3 * self.longest), dtype=bool)
+        for n in self.lengths:
+            for r in range(repetitions):
+                self.sampled[n, r, rng.choice(3 * n, min(sampled, 3 * n), replace=False)] = True
+        self.keys = []
+        if kept:
+            keys = self.embed(np.stack([self.padded(w[None])[0] for w in self.words]), np.array([len(w) for w in self.words]))
+            order = np.argsort(keys, axis=1, kind="stable")
+            self.keys = [(k[o], o) for k, o in zip(keys, order, strict=True)]
 
     def edits(self, n: int) -> int:
         return int(self.max_edits * n)
 
-    def embed(self, windows: np.ndarray, r: int) -> np.ndarray:
-        """One LSH key per window (a row of word hashes) in repetition r."""
-        m, n = windows.shape
-        rng = np.random.default_rng([SEED, r, n])
-        steps = rng.integers(1, 2**63, 3 * n, dtype=np.uint64) | np.uint64(1)
-        at_steps = set(rng.choice(3 * n, min(self.sampled, 3 * n), replace=False).tolist())
-        padded = np.concatenate([windows, np.zeros((m, 1), np.uint64)], axis=1)
-        at, key, rows = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.uint64), np.arange(m)
-        for step in range(3 * n):
-            word = padded[rows, at]
-            if step in at_steps:
-                key = mix(key * np.uint64(31) + word + np.uint64(1))
-            at = np.minimum(at + ((word * steps[step]) >> np.uint64(63)).astype(np.int64), n)
+    def padded(self, windows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(windows), self.longest + 1), dtype=np.uint64)
+        out[:, : windows.shape[1]] = windows
+        return out
+
+    def embed(self, windows: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """An LSH key for each repetition and each window (a padded row of n word hashes)."""
+        r, m = self.repetitions, len(windows)
+        at, rows = np.zeros((r, m), dtype=np.int64), np.arange(m)
+        key = np.broadcast_to(n.astype(np.uint64), (r, m)).copy()
+        for step in range(3 * int(n.max(initial=0))):
+            word = windows[rows, at]
+            hit = np.nonzero(self.sampled[n, :, step].T)
+            key[hit] = mix(key[hit] * np.uint64(31) + word[hit] + np.uint64(1))
+            at = np.minimum(at + ((word * self.steps[:, step, None]) >> np.uint64(63)).astype(np.int64), n)
         return key
 
     def windows(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -103,9 +118,19 @@ class Items:
             return
         pair = words[:-1] * np.uint64(3) + words[1:]
         near = np.flatnonzero(self.seen[mix(pair) >> np.uint64(48)])
-        at = np.searchsorted(self.pairs, pair[near])
-        hits = near[self.pairs[np.minimum(at, len(self.pairs) - 1)] == pair[near]]
-        for n in self.by_length:
+        at = np.minimum(np.searchsorted(self.pairs, pair[near]), len(self.pairs) - 1)
+        same = self.pairs[at] == pair[near]
+        hits, kind = near[same], at[same]
+        # Where the pair stood as many times before as an item can have it: in windows from there on, this one adds nothing.
+        order = np.argsort(kind, kind="stable")
+        back = np.arange(len(hits)) - self.times[kind[order]]
+        before = np.full(len(hits), -1, dtype=np.int64)
+        known = (back >= 0) & (kind[order[np.maximum(back, 0)]] == kind[order])
+        before[order[known]] = hits[order[back[known]]]
+        every, every_before = hits, before
+        for n in self.lengths:
+            own = self.of_length[n][kind]
+            hits, before = every[own], every_before[own]
             need = max(1, n - 1 - 2 * self.edits(n))
             if len(hits) < need:
                 continue
@@ -119,33 +144,42 @@ class Items:
             np.add.at(spans, low[fit] + 1, -1)
             start = np.flatnonzero(np.cumsum(spans[:-1]) > 0)
             text = np.searchsorted(first, start, side="right") - 1
-            yield n, start[start + n <= first[text + 1]]
-
-    def matches(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+            start = start[start + n <= first[text + 1]]
+            one, stop = np.searchsorted(hits, start), np.searchsorted(hits, start + n - 2, side="right")
+            shared = np.zeros(len(start), dtype=np.int32)
+            for j in range(int((stop - one).max(initial=0))):
+                k = np.minimum(one + j, len(hits) - 1)
+                shared += (one + j < stop) & (before[k] < start)
+            start = start[shared >= need]
+            if len(start):
+                yield n, start
+
+    def matches(self, windows: np.ndarray, n: np.ndarray, text: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, first word, edits) for each text and item that a window shows to match, the best window of those."""
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for n, start in self.windows(words, first):
-            if not len(start):
-                continue
-            grams = np.lib.stride_tricks.sliding_window_view(words, n)[start]
-            text = np.searchsorted(first, start, side="right") - 1
-            tried: set[tuple[int, int]] = set()
-            for r in range(self.repetitions):
-                keys, order = self.keys[n][r]
-                mine = self.embed(grams, r)
-                low, high = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
-                for k in np.flatnonzero(high > low):
-                    for j in order[low[k] : high[k]]:
-                        item, w = self.by_length[n][j]
-                        pair = (int(text[k]), item)
-                        if best.get(pair, (1,))[0] == 0 or (k, j) in tried:
-                            continue
-                        tried.add((k, j))
-                        edits = edit_distance(grams[k], w, self.edits(n))
-                        if edits <= self.edits(n):
-                            found = (edits, int(start[k] - first[text[k]]))
-                            best[pair] = min(best.get(pair, found), found)
-        return [(t, i, s, e) for (t, i), (e, s) in best.items()]
+        keys = self.embed(windows, n)
+        met: dict[tuple[int, int], set[int]] = {}
+        for mine, (theirs, order) in zip(keys, self.keys, strict=True):
+            low, high = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine, side="right")
+            for k in np.flatnonzero(high > low).tolist():
+                for j in order[low[k] : high[k]].tolist():
+                    met.setdefault((int(text[k]), j), set()).add(k)
+        out = []
+        for (t, j), found in met.items():
+            w, best = self.words[j], None
+            most = self.edits(len(w))
+            for k in sorted(found, key=lambda k: (not np.array_equal(windows[k, : len(w)], w), start[k])):
+                edits = edit_distance(windows[k, : n[k]], w, most)
+                if edits <= most and (best is None or edits < best[1]):
+                    best = (int(start[k]), edits)
+                    if not edits:
+                        break
+            if best:
+                out.append((t, self.ids[j], *best))
+        return out
+
+
+#: Windows that a task gathers before it embeds them together.
+GATHERED = 8192
 
 
 def leaks(
@@ -170,12 +204,25 @@ def leaks(
         held = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], max_edits, min_words, times, sampled))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            items, ids, gathered = held.value, [], []
+
+            def done() -> pa.RecordBatch:
+                found = [(ids[t], i, s, e) for t, i, s, e in items.matches(*(np.concatenate(x) for x in zip(*gathered, strict=True)))] if gathered else []
+                columns = list(zip(*found, strict=True)) if found else [[]] * 4
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start_word", "edits"])
+
             for batch, texts in _words.chunks(batches):
-                ids = batch.column(0).to_pylist()
                 words, first = _words.hash_words(plain(texts))
-                found = [(ids[t], i, s, e) for t, i, s, e in held.value.matches(words, first)]
-                columns = list(zip(*found, strict=True)) if found else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "start_word", "edits"])
+                for n, start in items.windows(words, first):
+                    text = np.searchsorted(first, start, side="right") - 1
+                    grams = items.padded(np.lib.stride_tricks.sliding_window_view(words, n)[start])
+                    gathered.append((grams, np.full(len(start), n), text + len(ids), start - first[text]))
+                ids += batch.column(0).to_pylist()
+                if sum(len(x[0]) for x in gathered) >= GATHERED:
+                    yield done()
+                    ids, gathered = [], []
+            yield done()
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
