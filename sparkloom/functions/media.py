@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IMAGE = "struct<height: int, width: int, channels: int, mode: string, data: binary>"
@@ -169,6 +169,15 @@ def red_pixels(c: str | Column) -> Column:
     return run(c)
 
 
+def keyframes(frames: DataFrame, threshold: float, path: str = "path", index: str = "frame_index", vector: str = "embedding") -> DataFrame:
+    """The first frame of each path and those whose vector is further than ``threshold`` from the one before."""
+    from sparkloom.functions.vector import l2_distance
+
+    before = F.lag(vector).over(Window.partitionBy(path).orderBy(index))
+    out = frames.withColumn("_before", before)
+    return out.filter(F.col("_before").isNull() | (l2_distance(vector, "_before") > threshold)).drop("_before")
+
+
 def _red(a: np.ndarray) -> np.ndarray:
     rgb = (np.repeat(a[:, :, :1], 3, axis=2) if a.shape[2] < 3 else a[:, :, :3]).astype(np.float64) / 255
     high, low = rgb.max(2), rgb.min(2)

@@ -98,3 +98,8 @@ def describe(df: DataFrame, *cols: str) -> DataFrame:
     """A row per column: count, mean, stddev, min, max."""
     one = [F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("stddev"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in cols]
     return df.agg(F.array(*one).alias("_x")).select(F.inline("_x"))
+
+
+def with_stable_id(df: DataFrame, *cols: str, name: str = "id") -> DataFrame:
+    """An id from the given columns' values: the same on every run and partitioning, unlike ``monotonically_increasing_id``."""
+    return df.withColumn(name, F.xxhash64(*[F.col(f"`{c}`") for c in (cols or df.columns)]))

@@ -56,6 +56,20 @@ def read_warc(spark: SparkSession, path: str, content: str = "raw") -> DataFrame
     return out.filter(F.col("`WARC-Type`") == kinds[content]) if content in kinds else out
 
 
+#: Other names by which the three kinds of crawl archives are asked for.
+CRAWL_KINDS = {"warc": "warc", "raw": "warc", "wet": "wet", "text": "wet", "wat": "wat", "metadata": "wat"}
+
+
+def crawl_paths(listing: DataFrame, content: str = "warc", segment: str | None = None, num_files: int | None = None, prefix: str = "") -> list[str]:
+    """Archive paths from a crawl's path listing (one a line, column value), of one kind and segment, the first ``num_files`` by name."""
+    kind = CRAWL_KINDS[content]
+    rows = listing.filter(F.col("value").contains(f"/{kind}/"))
+    if segment:
+        rows = rows.filter(F.col("value").contains(f"/{segment}/"))
+    rows = rows.orderBy("value")
+    return [prefix + r["value"] for r in (rows.limit(num_files) if num_files else rows).collect()]
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string()] * 5 + [pa.binary(), pa.string()]
     names = [*_NAMED, "warc_content", "warc_headers"]

@@ -79,3 +79,9 @@ def s3_conf(bucket: str | None = None, anonymous: bool = False, region: str | No
         "connection.maximum": str(max_connections) if max_connections else None,
     }
     return {prefix + k: v for k, v in given.items() if v is not None}
+
+
+def read_hub(spark: SparkSession, dataset: str, root: str, split: str | None = None) -> DataFrame:
+    """A hub dataset from a mirror of its Parquet files: ``root``/``dataset``, of one split if given."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    return (reader.option("pathGlobFilter", f"*{split}*.parquet") if split else reader.option("pathGlobFilter", "*.parquet")).parquet(f"{root.rstrip('/')}/{dataset}")

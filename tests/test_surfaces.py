@@ -229,3 +229,17 @@ def test_frames(spark):
         frames.to_pydict(df, 1)
     df.unpersist()
     assert frames.num_partitions(spark.range(10).repartition(3)) == 3 and 0 < frames.sample_fraction(spark.range(1000), 0.3).count() < 600
+
+
+def test_listings_and_ids(spark, tmp_path):
+    from sparkloom.functions import media
+    from sparkloom.operators.relational import with_stable_id
+
+    listing = spark.createDataFrame([(f"crawl/segments/{s}/{k}/f{i}.gz",) for s in (1, 2) for k in ("warc", "wet") for i in range(3)], "value string")
+    assert custom.crawl_paths(listing, "text", "2", 2, "s3://b/") == ["s3://b/crawl/segments/2/wet/f0.gz", "s3://b/crawl/segments/2/wet/f1.gz"]
+    spark.range(3).write.parquet(f"{tmp_path}/org/name/train")
+    assert tables.read_hub(spark, "org/name", str(tmp_path)).count() == 3
+    a, b = (with_stable_id(spark.range(9).repartition(n), "id", name="h") for n in (1, 4))
+    assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}
+    frames = spark.createDataFrame([("a", 0, [0.0]), ("a", 1, [0.1]), ("a", 2, [5.0]), ("b", 7, [1.0])], "path string, frame_index int, embedding array<double>")
+    assert sorted((r["path"], r["frame_index"]) for r in media.keyframes(frames, 1.0).collect()) == [("a", 0), ("a", 2), ("b", 7)]
