@@ -32,7 +32,7 @@ from sparkloom.storage import materialize, release
 PAD = "\x02"
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct n-grams that a task holds before it sends them on; a later duplicate is only summed.
-HELD = 2_000_000
+HELD = 1_000_000
 SCHEMA = "gram string, count long"
 
 
@@ -143,7 +143,7 @@ class Scores:
         h = a[:, 0].copy()
         for n in range(1, order):
             h = h * _K + a[:, n]
-        self.shift = np.uint64(64 - max(10, int(len(h) * 8).bit_length()))
+        self.shift = np.uint64(64 - max(10, int(len(h) * 4).bit_length()))
         self.key = np.zeros(1 << int(np.uint64(64) - self.shift), dtype=np.uint64)
         self.value = np.zeros(len(self.key), dtype=np.float32)
         slot = self._slot(h)
@@ -176,7 +176,7 @@ def _means(texts: list[str], scores: Scores, order: int) -> tuple[np.ndarray, np
     return n, np.where(n > 0, -sums / np.maximum(n, 1), np.nan)
 
 
-def log_perplexity(docs: DataFrame, labels: DataFrame, order: int = 5, broadcast_ngrams: int = 3_000_000, broadcast_ids: int = 2_000_000, block_chars: int = 32_000_000) -> DataFrame:
+def log_perplexity(docs: DataFrame, labels: DataFrame, order: int = 5, broadcast_ngrams: int = 1_000_000, broadcast_ids: int = 2_000_000, block_chars: int = 32_000_000) -> DataFrame:
     """doc_id, lang, trusted, n_chars and log_ppl for every row of ``docs``; trusted are those that ``labels`` gives quality 1.
 
     A text without characters has a null log_ppl. Without any trusted text all n-grams are equally unknown.
