@@ -134,9 +134,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; rows that it leaves out are gone."""
-    # A row's copies follow from doc_id, source and size, so the narrow result has one such row for all that share them.
+    # A row's copies follow from doc_id, source and size, so the narrow result has one such row for all that share them. Whole rows
+    # travel as one struct, whose fields' names clash with nothing.
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     taken = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.max("copies").alias("_c"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    rows = docs.withColumn("_size", size).join(taken, same)
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).select(docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), size.alias("_size"))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_d")) & F.col("_row.source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
+    return whole.join(taken, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).select("_row.*")

@@ -78,8 +78,8 @@ def assign(docs: DataFrame, shards: int = 8, seed: int = 23, parts: int = PARTS)
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
     plain = [F.col(f"`{c}`") for c in kept]
-    docs = docs.select(plain)
-    rows = docs.withColumn("_row", F.xxhash64(F.lit(seed), *plain))
+    # Whole rows travel as one struct, whose fields' names clash with nothing.
+    rows = docs.select(F.struct(*plain).alias("_doc"), F.xxhash64(F.lit(seed), *plain).alias("_row"))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), "_row"), F.lit(parts)).cast("int"))
     counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     order, total = sorted(counts), sum(counts.values())
@@ -97,7 +97,7 @@ def assign(docs: DataFrame, shards: int = 8, seed: int = 23, parts: int = PARTS)
     starts = cells.select("shard", "_cell", (F.sum("_c").over(Window.partitionBy("shard").orderBy("_cell")) - F.col("_c")).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_key", "_row")) - 1
     out = placed.withColumn("_k", inside).join(F.broadcast(starts), ["shard", "_cell"])
-    return out.select(*plain, "shard", (F.col("_start") + F.col("_k")).cast("long").alias("slot"))
+    return out.select("_doc.*", "shard", (F.col("_start") + F.col("_k")).cast("long").alias("slot"))
 
 
 def shard_digest(docs: DataFrame, shards: int = 8, **options) -> DataFrame:

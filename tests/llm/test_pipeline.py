@@ -32,6 +32,20 @@ def test_each_stage_against_its_operator(spark):
         docs = spark.createDataFrame(out.collect(), out.schema)
 
 
+def test_nulls_ties_and_odd_columns(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60).selectExpr("*", "'x' as `a.b`", "1 as keep", "2 as component_id", "3 as _size", "4 as _row", "5 as _d")
+    odd = docs.limit(3).selectExpr("case when doc_id % 2 = 0 then null else doc_id end as doc_id", "cast(null as string) as text", "cast(null as string) as lang", "cast(null as string) as source", "n_chars", "`a.b`", "keep", "component_id", "_size", "_row", "_d")
+    docs = docs.unionByName(docs.limit(5)).unionByName(odd)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d)
+        rows = out.collect()
+        assert rows and out.columns[: len(docs.columns)] == docs.columns, name
+        assert {tuple(r)[5:11] for r in rows} == {("x", 1, 2, 3, 4, 5)}
+        docs = spark.createDataFrame([tuple(r)[: len(docs.columns)] for r in rows], docs.schema)
+
+
 def test_run_and_empty_input(spark, tmp_path):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and {"shard", "slot", "text"} <= set(out.columns)
