@@ -17,17 +17,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _plain(docs: DataFrame) -> list:
+    """All columns in their order, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is inside their language's limits; rows whose doc_id is null are rejected."""
     rejected = quality.judge(docs, _table(spark, sf_dir, "labels")).filter(~F.col("keep")).select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return docs.filter("doc_id is not null").join(rejected, "doc_id", "left_anti").select(_plain(docs))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near copies."""
     groups = jaccard_join.jaccard_components(docs)
     extra = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(extra, "doc_id", "left_anti").select(_plain(docs))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
