@@ -1,9 +1,10 @@
 """Line deduplication by pairwise alignment: passages that an earlier document has already go from the later one.
 
-1. Lines are hashed (white space runs as one blank, ends stripped). A line can show that documents overlap if it is rare, in
-   at most ``rare`` documents, or long, of at least ``long_words`` words, however many have it.
-2. Each document is paired with the earliest document (least doc_id) of every such line that it holds, itself excepted: a line in
-   n documents gives n - 1 pairs, and its first occurrence is never paired away.
+1. Lines are hashed (white space runs as one blank, ends stripped). What shows that documents overlap is a line in at most
+   ``rare`` documents, or a run: the fewest lines from some line on that have ``least_words`` words together, in however many
+   documents. Every block worth deleting holds such a run, so none is missed for being frequent.
+2. Each document is paired with the earliest document (least doc_id) of every such line and run that it holds, itself excepted: one
+   in n documents gives n - 1 pairs, and its first occurrence is never paired away.
 3. Each pair is aligned by patience diff on line hashes: lines that are unique in both, in their longest common order, split the
    documents; between them the same is done again, and equal lines that touch a matched one join it.
 4. Aligned blocks of at least ``least_words`` words are deleted from the later document; all pairs of a document count.
@@ -17,10 +18,12 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm._words import mix, small_batches
 from sparkloom.storage import materialize
 
 
@@ -84,48 +87,91 @@ def blocks(matched: list[tuple[int, int]]) -> Iterator[list[int]]:
         yield run
 
 
-def overlaps(docs: DataFrame, rare: int = 16, long_words: int = 20, least_words: int = 20) -> DataFrame:
-    """(later, earlier, lines, hashes): the places, from 0, of lines to delete from each later document, with the lines' hashes."""
-    lines = docs.filter("doc_id is not null").select("doc_id", line_hashes().alias("hashes"), line_words().alias("words"))
-    # Rows that repeat a doc_id: one of them stands for it.
-    lines = lines.groupBy("doc_id").agg(F.min_by(F.struct("hashes", "words"), F.xxhash64("hashes")).alias("x")).select("doc_id", "x.*")
+def _tokens(lines: DataFrame, least_words: int) -> DataFrame:
+    """(doc_id, token, run): each document's distinct lines with words (run false) and runs (run true), as hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, tokens, runs = [], [], []
+            for doc, hashes, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                h, n = np.array(hashes, dtype=np.int64), np.array(words, dtype=np.int64)
+                upto = np.concatenate([[0], np.cumsum(n)])
+                end = np.searchsorted(upto, upto[:-1] + least_words)
+                place = np.concatenate([[np.uint64(0)], np.cumsum(mix(h.view(np.uint64)) * _powers(len(h)), dtype=np.uint64)])
+                start = np.flatnonzero((n > 0) & (end < len(upto)))
+                found = mix((place[end[start]] - place[start]) * _inverse(len(h))[start] + (end[start] - start).astype(np.uint64))
+                for kind, some in ((False, np.unique(h[n > 0])), (True, np.unique(found.view(np.int64)))):
+                    tokens.append(some)
+                    docs.append(np.full(len(some), doc, dtype=np.int64))
+                    runs.append(np.full(len(some), kind))
+            columns = [np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((docs, np.int64), (tokens, np.int64), (runs, bool))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "token", "run"])
+
+    return lines.select("doc_id", "hashes", "words").mapInArrow(run, "doc_id long, token long, run boolean")
+
+
+#: An odd number and its inverse modulo 2^64: powers place a line in a document, and take a run back to the start.
+_ODD = 0x9E3779B97F4A7C15
+_ODD_INVERSE = pow(_ODD, -1, 1 << 64)
+
+
+def _powers(n: int, base: int = _ODD) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _inverse(n: int) -> np.ndarray:
+    return _powers(n, _ODD_INVERSE)
+
+
+def overlaps(docs: DataFrame, rare: int = 16, least_words: int = 20) -> DataFrame:
+    """(later, version, earlier, lines): the places, from 0, of lines to delete from each later document; version is its text's hash."""
+    small_batches(docs)
+    lines = docs.filter("doc_id is not null").select("doc_id", _version(F.col("text")).alias("version"), line_hashes().alias("hashes"), line_words().alias("words"))
+    # Rows that repeat a doc_id: one text of them stands for it.
+    lines = lines.groupBy("doc_id").agg(F.min_by(F.struct("version", "hashes", "words"), "version").alias("x")).select("doc_id", "x.*")
     lines = materialize(lines, "lines")
-    each = lines.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("x")).select("doc_id", F.col("x.hashes").alias("line"), F.col("x.words").alias("n")).filter("n > 0").distinct()
-    shared = each.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("docs"), F.max("n").alias("n"))
-    telling = shared.filter((F.col("docs") > 1) & ((F.col("docs") <= rare) | (F.col("n") >= long_words))).select("line", "earlier")
-    pairs = each.select("line", "doc_id").join(telling, "line").filter("earlier < doc_id").select(F.col("doc_id").alias("later"), "earlier").distinct()
+    each = materialize(_tokens(lines, least_words), "tokens")
+    shared = each.groupBy("token", "run").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("docs"))
+    telling = shared.filter((F.col("docs") > 1) & (F.col("run") | (F.col("docs") <= rare))).select("token", "run", "earlier")
+    pairs = each.join(telling, ["token", "run"]).filter("earlier < doc_id").select(F.col("doc_id").alias("later"), "earlier").distinct()
     early = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("a"))
-    late = lines.select(F.col("doc_id").alias("later"), F.col("hashes").alias("b"), "words")
-    meet = pairs.join(early, "earlier").join(late, "later").select("later", "earlier", "a", "b", "words")
+    late = lines.select(F.col("doc_id").alias("later"), F.col("hashes").alias("b"), "words", "version")
+    meet = pairs.join(early, "earlier").join(late, "later").select("later", "version", "earlier", "a", "b", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for later, earlier, a, b, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for later, version, earlier, a, b, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 gone = [j for part in blocks(patience(a, b)) if sum(words[j] for j in part) >= least_words for j in part]
                 if gone:
-                    out.append((later, earlier, gone, [b[j] for j in gone]))
+                    out.append((later, version, earlier, gone))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["later", "earlier", "lines", "hashes"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["later", "version", "earlier", "lines"])
+
+    return meet.mapInArrow(run, "later long, version long, earlier long, lines array<int>")
+
 
-    return meet.mapInArrow(run, "later long, earlier long, lines array<int>, hashes array<long>")
+def _version(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with aligned blocks deleted from text, and removed_lines (ascending places, empty where nothing went).
 
-    Documents are told apart by doc_id; rows that repeat one lose a line only where their own line at that place is the one that was
-    aligned. Rows whose doc_id is null stay as they are, a null text stays null, and a text whose lines all go is empty. A
-    column named removed_lines is replaced; an empty table gives an empty result.
+    Documents are told apart by doc_id; of rows that repeat one, those with the text that stands for it (the least hash) lose lines
+    and others stay as they are, as do rows whose doc_id is null. A null text stays null, and a text whose lines all go is empty.
+    A column named removed_lines is replaced; an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c != "removed_lines"]
-    gone = overlaps(docs, **options).select(F.col("later").alias("_d"), F.explode(F.arrays_zip("lines", "hashes")).alias("_x"))
-    gone = gone.groupBy("_d").agg(F.collect_set("_x").alias("_gone"))  # at most a row per line of one document
-    joined = docs.select(kept).join(gone, F.col("doc_id") == F.col("_d"), "left")
-    pieces, own = F.split("text", "\n", -1), line_hashes()
-    hit = F.array_sort(F.transform(F.filter("_gone", lambda x: F.get(own, x["lines"]) == x["hashes"]), lambda x: x["lines"]))
-    joined = joined.withColumn("removed_lines", F.coalesce(F.when(F.col("_gone").isNotNull(), hit), F.array().cast("array<int>")))
-    rest = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
-    text = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(rest)
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in kept], "removed_lines")
+    gone = overlaps(docs, **options).select(F.col("later").alias("_d"), F.col("version").alias("_v"), F.explode("lines").alias("_x"))
+    gone = gone.groupBy("_d", "_v").agg(F.collect_set("_x").alias("_gone"))  # at most a row per line of one document
+    # Whole rows travel as one struct, whose fields' names clash with nothing.
+    text = F.col("_row.text")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "doc_id")
+    joined = whole.join(gone, (F.col("doc_id") == F.col("_d")) & (_version(text) == F.col("_v")), "left")
+    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    removed = F.coalesce(F.array_sort("_gone"), F.array().cast("array<int>")).alias("removed_lines")
+    return joined.select(F.col("_row").withField("text", F.when(F.col("_gone").isNull(), text).otherwise(rest)).alias("_row"), removed).select("_row.*", "removed_lines")

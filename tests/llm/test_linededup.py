@@ -15,7 +15,7 @@ def test_patience_gives_a_common_subsequence_and_finds_moved_blocks_once():
     assert list(linededup.blocks([(0, 1), (1, 2), (3, 3), (4, 9)])) == [[1, 2], [3], [9]]
 
 
-def brute(docs, rare=16, long_words=20, least=20):
+def brute(docs, rare=16, least=20):
     """The pairs and deletions by the definition, with this module's alignment."""
     lines = {d: [" ".join(x.split()) for x in (t or "").split("\n")] for d, t in docs}
     held = {}
@@ -24,7 +24,12 @@ def brute(docs, rare=16, long_words=20, least=20):
             if x:
                 held.setdefault(x, set()).add(d)
     number = {x: k for k, x in enumerate({x for ls in lines.values() for x in ls})}
-    pairs = {(d, min(ds)) for x, ds in held.items() if len(ds) > 1 and (len(ds) <= rare or len(x.split()) >= long_words) for d in ds if d != min(ds)}
+    for d, ls in lines.items():
+        for i in range(len(ls)):
+            j = next((j for j in range(i + 1, len(ls) + 1) if sum(len(x.split()) for x in ls[i:j]) >= least), None)
+            if ls[i] and j:
+                held.setdefault(tuple(ls[i:j]), set()).add(d)
+    pairs = {(d, min(ds)) for x, ds in held.items() if len(ds) > 1 and (len(ds) <= rare or isinstance(x, tuple)) for d in ds if d != min(ds)}
     gone = {d: set() for d in lines}
     for late, early in pairs:
         for part in linededup.blocks(linededup.patience([number[x] for x in lines[early]], [number[x] for x in lines[late]])):
@@ -40,6 +45,14 @@ def test_query_matches_brute_force(spark):
     assert got == brute(docs) and sum(bool(v[1]) for v in got.values()) > 10
 
 
+def test_frequent_passages_of_short_lines(spark):
+    rng = random.Random(4)
+    passage = "\n".join(" ".join(f"w{k}{j}" for j in range(6)) for k in range(9))
+    docs = [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 30))) + "\n" + passage + "\ntail " + str(i)) for i in range(70)]
+    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and all(v[1] == list(range(1, 10)) for k, v in got.items() if k)
+
+
 def test_hot_long_lines_and_edge_cases(spark):
     rng = random.Random(9)
     passage = " ".join(f"p{k}" for k in range(55))
