@@ -49,7 +49,7 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    model = toxicity.fit(docs.join(labels.filter(~held_out), "doc_id"))
+    model = toxicity.fit(toxicity.labelled_texts(docs, labels.filter(~held_out)))
     scored = toxicity.score(docs, *model, "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -73,4 +73,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_line_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for the operators whose results SQL can express; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as sh from w),
+n as (select doc_id, cast(len(sh) as bigint) as n_shingles from s), e as (select doc_id, unnest(sh) as g from s),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as k from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from c join n p on x = p.doc_id join n q on y = q.doc_id where 100 * k >= 80 * (p.n_shingles + q.n_shingles - k)),
+b as (select x, y from l union select y, x from l),
+reach(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, b.y from reach r join b on r.other = b.x)
+select doc_id, any_value(n_shingles) as n_shingles, min(other) as component_id from n join reach using (doc_id) group by doc_id""",
+    "op7_url_filter": r"""with recursive p as (select page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+rules(verdict, h, t) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+found as (select page_id, url, arg_max(struct_pack(rule := h || t, verdict := verdict), length(h || t)) as r from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, t) group by 1, 2),
+alias as (select url as u, 'canonical://' || regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '(?:/+|/?index\.html?|\.html?)$', '') as v from p where host <> ''),
+hit as (select distinct v from alias join found on u = found.url where found.r.verdict = 'block')
+select p.page_id, p.host, p.path, found.r.rule as rule, coalesce(found.r.verdict, case when p.url in (select u from alias join hit using (v)) then 'block' else 'allow' end) as verdict
+from p left join found on p.page_id = found.page_id and p.url = found.url""",
+    "op8_warc_revisits": r"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as original from pages),
+d as (select page_id, html, original, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, cast(1 + 5 * (i // 4) as int), 5) as bigint) >> (5 * (3 - i % 4))) & 31 as int) + 1, 1)), '') as payload_digest from p)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, payload_digest, case when page_id = original then 'response' else 'revisit' end as record_type,
+case when page_id <> original then original end as refers_to from d""",
+}

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _words
+from sparkloom.storage import materialize, release
 
 ORDERS = (4, 5, 6, 7)
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -111,6 +112,12 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge
     return v[:m], float(v[m])
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, text and label of documents that ``labels`` (doc_id, label) names. Few labels go to the texts, many meet them by a shuffle."""
+    labels = labels.select("doc_id", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(labels) if labels.count() <= broadcast_rows else labels, "doc_id")
+
+
 def fit(labelled: DataFrame, bits: int = 20, features: int = 4096, sample: int = 20_000, alpha: float = 1.0) -> tuple[np.ndarray, float]:
     """The weight of each hashed feature and the intercept, from rows of doc_id, text and label (0 or 1).
 
@@ -118,7 +125,7 @@ def fit(labelled: DataFrame, bits: int = 20, features: int = 4096, sample: int =
     """
     _words.small_batches(labelled)
     labelled = labelled.filter("label in (0, 1)").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    counts = _counts(labelled, bits)
+    counts = materialize(_counts(labelled, bits), "features")
     found = {r["feature"]: (r["ones"], r["zeros"]) for r in counts.filter("feature = -1").collect()}
     ones, zeros = found.get(-1, (0, 0))
     weights = np.zeros(1 << bits, dtype=np.float32)
@@ -128,6 +135,7 @@ def fit(labelled: DataFrame, bits: int = 20, features: int = 4096, sample: int =
     support = 1 / (F.col("ones") + alpha) + 1 / (F.col("zeros") + alpha)
     scored = counts.filter("feature >= 0").select("feature", F.log(p / q).alias("r"), F.abs(F.log(p / q) / F.sqrt(support)).alias("z"))
     top = scored.orderBy(F.desc("z"), "feature").limit(features).collect()
+    release(counts)
     chosen = np.array(sorted(r["feature"] for r in top), dtype=np.int64)
     ratio = {r["feature"]: r["r"] for r in top}
     scale = np.array([ratio[f] for f in chosen.tolist()])
