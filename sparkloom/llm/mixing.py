@@ -5,7 +5,8 @@ the others by weight, until none is above. A document's expected number of copie
 up for longer and down for shorter documents than the source's mean so that the source's expected words stay at its target. The
 whole part of that number is taken for certain. The rest is a chance below one, and documents are ranked by random odds over
 the odds of that chance: Pareto order sampling, which draws a sample of fixed size with unequal chances. Size is words here:
-a source's sample ends where its words come nearest to what is still to be taken.
+a source's sample ends before its words pass what is still to be taken, and up to FILLS documents further on that fit the rest
+best round it off.
 
 The end of a sample is found by two histograms over rank, the second inside one cell of the first, so no source, however
 large, is ever sorted in one task. All tables but the documents' sizes hold a row per source or per cell.
@@ -86,7 +87,7 @@ def _ends(drawn: DataFrame, left: DataFrame) -> DataFrame:
     """For each source, where in rank its sample ends; a source that is not in the result takes all its ranks.
 
     drawn: source, size, rank, doc_id. left: source, words still to be taken. The cell that holds the end is spread over finer
-    cells; of the last cell's rows, the running sum nearest to what is left decides.
+    cells; of the last cell's rows, the running sum decides that reaches furthest without passing what is left; rest is what it falls short.
     """
     left = left.select(F.col("source").alias("_s"), "left", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
     for _ in range(2):
@@ -102,9 +103,38 @@ def _ends(drawn: DataFrame, left: DataFrame) -> DataFrame:
     inside = drawn.join(left, F.col("_s").eqNullSafe(F.col("source"))).filter("rank >= low and rank < high")
     upto = F.sum("size").over(Window.partitionBy("_s").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     run = inside.withColumn("upto", upto).withColumn("over", F.abs(F.col("upto") - F.col("left")))
-    best = run.groupBy("_s").agg(F.min(F.struct("over", "rank")).alias("x"), F.first("left").alias("left"), F.first("low").alias("low"))
-    # Ranks below the last cell are in, and those in it up to end, unless none of them brings the sum nearer.
-    return best.select(F.col("_s").alias("source"), "low", F.when(F.col("x.over") <= F.col("left"), F.col("x.rank")).alias("end"))
+    within = F.max(F.when(F.col("upto") <= F.col("left"), F.struct("upto", "rank")))
+    best = run.groupBy("_s").agg(within.alias("x"), F.first("left").alias("left"), F.first("low").alias("low"))
+    # Ranks below the last cell are in, and those in it up to end, if there is one.
+    return best.select(F.col("_s").alias("source"), "low", F.col("x.rank").alias("end"), (F.col("left") - F.coalesce("x.upto", F.lit(0))).alias("rest"))
+
+
+def _fills(drawn: DataFrame, ends: DataFrame, times: int) -> DataFrame:
+    """(source, doc_id, rank, size): up to ``times`` documents a source that come after its sample's end and fit what is left best.
+
+    In each turn the document whose size is nearest to what is left is taken, the first by rank on ties; only the last turn may go
+    past the target, if that brings the sum nearer.
+    """
+    state = ends.select(F.col("source").alias("_s"), "low", "end", "rest")
+    picks = None
+    for turn in range(times):
+        after = F.coalesce(F.col("rank") > F.col("end"), F.col("rank") >= F.col("low"))
+        miss = F.abs(F.col("rest") - F.col("size"))
+        rows = drawn.join(state, F.col("_s").eqNullSafe(F.col("source"))).filter(after & (miss < F.col("rest")) & ((F.col("size") <= F.col("rest")) | F.lit(turn + 1 == times)))
+        if picks is not None:
+            done = picks.select(F.col("doc_id").alias("_d"), F.col("rank").alias("_r"))
+            rows = rows.join(done, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_r") == F.col("rank")), "left_anti")
+        one = rows.groupBy("_s").agg(F.min(F.struct(miss.alias("miss"), "rank", "doc_id", "size")).alias("x"))
+        one = materialize(one.select("_s", "x.rank", "x.doc_id", "x.size"), "fills")
+        step = one.select(F.col("_s").alias("source"), "doc_id", "rank", "size")
+        picks = step if picks is None else picks.unionByName(step)
+        taken = one.select(F.col("_s").alias("_t"), F.col("size").alias("_size"))
+        state = state.join(taken, F.col("_t").eqNullSafe(F.col("_s"))).select("_s", "low", "end", (F.col("rest") - F.col("_size")).alias("rest")).filter("rest > 0")
+    return picks
+
+
+#: Documents by which a sample may be rounded towards its target after its end. Few, so that chances stay as they are.
+FILLS = 5
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 17, sizes: Column | None = None) -> DataFrame:
@@ -120,12 +150,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     drawn = materialize(_chances(narrow, sources, float(most), seed), "chances")
     certain = drawn.groupBy("source", "target").agg(F.sum(F.col("certain") * F.col("size")).alias("words"))
     left = certain.select("source", (F.col("target") - F.col("words")).alias("left")).filter("left > 0")
-    ends = _ends(drawn.filter("rank is not null").select("source", "size", "rank", "doc_id"), left)
+    ranked_rows = drawn.filter("rank is not null").select("source", "size", "rank", "doc_id")
+    ends = materialize(_ends(ranked_rows, left), "ends")
+    fills = _fills(ranked_rows, ends, FILLS).select(F.col("doc_id").alias("_fd"), F.col("rank").alias("_fr"), F.lit(True).alias("_fill")).distinct()
     none = left.select(F.col("source").alias("_l"), F.lit(True).alias("_some"))
     salted = none.join(ends, F.col("_l").eqNullSafe(F.col("source")), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("source")
     salt = F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS)).cast("int")
     rows = drawn.join(salted, F.col("_l").eqNullSafe(F.col("source")) & (F.col("_salt") == salt), "left")
-    more = F.col("_some") & F.col("rank").isNotNull() & (F.col("low").isNull() | (F.col("rank") < F.col("low")) | F.coalesce(F.col("rank") <= F.col("end"), F.lit(False)))
+    rows = rows.join(fills, F.col("_fd").eqNullSafe(F.col("doc_id")) & (F.col("_fr") == F.col("rank")), "left")
+    more = F.col("_some") & F.col("rank").isNotNull() & (F.col("low").isNull() | (F.col("rank") < F.col("low")) | F.coalesce(F.col("rank") <= F.col("end"), F.lit(False)) | F.col("_fill").isNotNull())
     copies = F.least(F.lit(most), F.col("certain") + F.coalesce(more, F.lit(False)).cast("int")).cast("long")
     out = rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
     release(narrow)

@@ -46,6 +46,10 @@ def test_query_reaches_its_targets_and_reruns_agree(spark):
     docs = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     rows = QUERIES["op5_mixing"](spark, d).collect()
     check(rows, docs)
+    got, want = defaultdict(int), {r["source_size"]: r["target"] for r in rows}
+    for r in rows:
+        got[r["source_size"]] += r["taken"]
+    assert all(abs(got[k] - want[k]) < 0.02 * want[k] for k in want)
     again = mixing.mix(spark.read.parquet(f"{d}/documents.parquet").repartition(13)).collect()
     assert {(r["doc_id"], r["taken"]) for r in rows} == {(r["doc_id"], r["taken"]) for r in again}
 
