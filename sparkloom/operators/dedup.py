@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import normalize
-from sparkloom.operators.components import connected_components
+from sparkloom.operators.components import FEW_EDGES, connected_components
 from sparkloom.storage import materialize, release
 
 #: The prime that permutations are taken modulo.
@@ -89,7 +89,7 @@ def dedup(docs: DataFrame, node: str, text: str, threshold: float = 0.7, num_has
     plain = normalize(text, remove_punct=True, lowercase=True, white_space=True)
     signed = docs.select(F.col(node).alias("node"), minhash(plain, num_hashes, ngram_size).alias("signature"))
     signed = materialize(signed, "signatures")
-    found = connected_components(band_edges(signed, "node", "signature", b, r))
+    found = connected_components(band_edges(signed, "node", "signature", b, r), one_task_rows=FEW_EDGES)
     release(signed)
     return mark_duplicates(docs, node, found)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +37,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def materialize_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As :func:`materialize`, with aggregates of the rows that the write passes by, at no further job."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return out, seen.get
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables made by :func:`materialize` that no later step reads."""
     for df in tables:

@@ -35,8 +35,9 @@ GRAPHS = {
 @pytest.mark.parametrize("name", GRAPHS)
 def test_shapes(spark, name):
     edges = GRAPHS[name]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == union_find(edges)
+    for few in (0, 10**6):
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long"), one_task_rows=few).collect()}
+        assert got == union_find(edges)
 
 
 def test_random_graphs_and_text_nodes(spark):
@@ -46,3 +47,4 @@ def test_random_graphs_and_text_nodes(spark):
     assert {r["node"]: r["component"] for r in rows} == union_find(edges) and len(rows) == len(union_find(edges))
     named = [(f"n{a:03}", f"n{b:03}") for a, b in edges]
     assert {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(named, "u string, v string")).collect()} == union_find(named)
+    assert {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(named, "u string, v string"), one_task_rows=1000).collect()} == union_find(named)
