@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _words
-from sparkloom.operators.components import connected_components
+from sparkloom.operators.components import FEW_EDGES, connected_components
 from sparkloom.storage import materialize, release
 
 #: Points under a node of the tree.
@@ -142,8 +142,8 @@ class CountTree:
             most, low, high = np.maximum.reduceat(most, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
             self.levels.append((most, low, high))
 
-    def candidates(self, i: int, t: Fraction, upto: int) -> np.ndarray:
-        """Points before ``upto`` whose bound with point i reaches the overlap that both sizes ask for."""
+    def candidates(self, i: int, t: Fraction, label: np.ndarray) -> np.ndarray:
+        """Points before i with another label whose bound with point i reaches the overlap that both sizes ask for."""
         p, n = self.points[i], self.sizes[i]
         num, den = t.numerator, t.numerator + t.denominator
         ids = np.arange(len(self.levels[-1][0]) if self.levels else len(self.points))
@@ -153,7 +153,8 @@ class CountTree:
             ids = ids[ok]
             ids = ids[np.minimum(most[ids], p).sum(1, dtype=np.int64) * den >= num * (n + low[ids])]
             ids = (ids[:, None] * NODE + np.arange(NODE)).reshape(-1)
-        ids = ids[ids < upto]
+        ids = ids[ids < i]
+        ids = ids[label[ids] != label[i]]
         ok = (self.sizes[ids] * t.denominator >= t.numerator * n) & (self.sizes[ids] * t.numerator <= t.denominator * n)
         ids = ids[ok]
         return ids[np.minimum(self.points[ids], p).sum(1, dtype=np.int64) * den >= num * (n + self.sizes[ids])]
@@ -168,33 +169,39 @@ def link_sets(ids: list[int], sets: list[np.ndarray], t: Fraction, groups: int =
     ids, sets = [ids[k] for k in order], [sets[k] for k in order]
     sides = np.array([side[k] for k in order]) if side else None
     tree = CountTree(sets, groups)
-    parent = np.arange(len(ids))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    label = np.arange(len(ids))  # the root of each, brought up to date when roots merge
+    label = np.arange(len(ids))  # equal for sets that links connect
     members = {k: [k] for k in range(len(ids))}
-    links = []
+    degree = np.zeros(len(ids), dtype=np.int64)
+    links: list[tuple[int, int]] = []
+
+    def link(i: int, j: int) -> bool:
+        same = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+        if same * t.denominator < t.numerator * (len(sets[i]) + len(sets[j]) - same):
+            return False
+        links.append((ids[i], ids[j]))
+        degree[[i, j]] += 1
+        a, b = int(label[i]), int(label[j])
+        if len(members[a]) > len(members[b]):
+            a, b = b, a
+        moved = members.pop(a)
+        label[moved] = b
+        members[b] += moved
+        return True
+
+    hubs: list[int] = []
     for i in range(1, len(ids)):
-        found = tree.candidates(i, t, i)
+        # In a group of near copies most link with one of them: trying those with most links first leaves little to bound.
+        if i % 64 == 0:
+            hubs = [max(m, key=degree.__getitem__) for m in sorted(members.values(), key=len)[-4:] if len(m) > 8]
+        for j in hubs:
+            if label[j] != label[i] and (sides is None or sides[j] != sides[i]):
+                link(i, j)
+        found = tree.candidates(i, t, label)
         if sides is not None:
             found = found[sides[found] != sides[i]]
         found = found[::-1]
         while len(found := found[label[found] != label[i]]):
-            j = int(found[0])
-            same = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-            if same * t.denominator >= t.numerator * (len(sets[i]) + len(sets[j]) - same):
-                links.append((ids[i], ids[j]))
-                a, b = label[i], label[j]
-                if len(members[a]) > len(members[b]):
-                    a, b = b, a
-                moved = members.pop(a)
-                label[moved] = b
-                members[b] += moved
+            link(i, int(found[0]))
             found = found[1:]
     return links
 
@@ -288,7 +295,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: str = "0.8",
         "shingles",
     )
     links = _link_parts(pairs.repartition("key").sortWithinPartitions("key"), t, groups)
-    found = connected_components(links)
+    found = connected_components(links, one_task_rows=FEW_EDGES)
     release(parts, members)
     reps = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class"))
     named = heads.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left")

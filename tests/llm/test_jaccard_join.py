@@ -1,5 +1,8 @@
 import random
 import re
+from fractions import Fraction
+
+import numpy as np
 
 from sparkloom.llm import jaccard_join
 from sparkloom.llm.queries import QUERIES
@@ -69,3 +72,29 @@ def test_empty_nulls_repeats_and_other_columns(spark):
     rows = [(1, "a b c d e f", 5, "x", 1), (1, "a b c d e f", 5, "x", 1), (None, "a b c d e f", 5, "x", 1), (9, "a b c d e f", None, None, None)]
     got = sorted(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, schema)).fillna(-1).collect())
     assert got == [(-1, 2, -1), (1, 2, 1), (1, 2, 1), (9, 2, 1)]
+
+
+def test_dense_groups_connect_as_all_links_do():
+    rng = random.Random(12)
+    t = Fraction(4, 5)
+    for size, edits in ((40, 3), (40, 5), (12, 1)):
+        base = rng.sample(range(10**9), size)
+        sets = []
+        for _ in range(150):
+            s = list(base)
+            for _ in range(rng.randint(0, edits)):
+                s[rng.randrange(size)] = rng.randrange(10**9)
+            sets.append(np.unique(np.array(s, dtype=np.uint64)))
+        for side in (None, [k % 2 for k in range(len(sets))]):
+            links = jaccard_join.link_sets(list(range(len(sets))), sets, t, 64, side)
+            every = [(i, j) for i in range(len(sets)) for j in range(i) if (side is None or side[i] != side[j]) and 5 * len(x := np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - len(x))]
+            assert {frozenset(x) for x in links} <= {frozenset(x) for x in every} and groups(links) == groups(every) and len(links) < len(sets)
+
+
+def groups(links):
+    of = {}
+    for a, b in links:
+        one = of.setdefault(a, {a}) | of.setdefault(b, {b})
+        for x in one:
+            of[x] = one
+    return {frozenset(x) for x in of.values()}
