@@ -62,32 +62,37 @@ def _inside(at: np.ndarray, order: int, n: int) -> np.ndarray:
 def _count(docs: DataFrame, order: int) -> DataFrame:
     """docs: text, trusted. Each distinct n-gram and its count in trusted texts, once or a few times per task."""
 
-    def send(held: dict[str, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "count"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
-        seen = np.empty(0, dtype=np.uint64)
+        # Hashes ascending, with the count and the place in names of each; an n-gram is cut out of the text only when it is new.
+        seen, sums, places, names = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([names[k] for k in places.tolist()], pa.string()), pa.array(sums)], ["gram", "count"])
+
         for batch, texts in _words.chunks(batches, 0):
             joined, h, at = _grams(texts, order)
-            ok = _inside(at, order, len(h))
             sure = np.repeat(np.array(batch.column(1).fill_null(False).to_pylist(), dtype=bool), np.diff(at))[: len(h)]
-            place = np.flatnonzero(ok)
+            place = np.flatnonzero(_inside(at, order, len(h)))
             codes, found = pd.factorize(h[place])
             first = np.empty(len(found), dtype=np.int64)
             first[codes[::-1]] = place[::-1]
             counts = np.bincount(codes, sure[place], minlength=len(found)).astype(np.int64)
-            new = counts > 0
-            new |= ~np.isin(found, seen)
-            for i, c in zip(first[new].tolist(), counts[new].tolist(), strict=True):
-                g = joined[i : i + order]
-                held[g] = held.get(g, 0) + c
-            seen = np.union1d(seen, found)
-            if len(seen) > HELD or len(held) > HELD:
-                yield send(held)
-                held, seen = {}, np.empty(0, dtype=np.uint64)
-        if held:
-            yield send(held)
+            k = np.searchsorted(seen, found)
+            old = np.zeros(len(found), dtype=bool)
+            if len(seen):
+                old = seen[np.minimum(k, len(seen) - 1)] == found
+                sums[k[old]] += counts[old]
+            new = ~old
+            ids = np.arange(len(names), len(names) + int(new.sum()))
+            names += [joined[i : i + order] for i in first[new].tolist()]
+            seen, sums, places = np.concatenate([seen, found[new]]), np.concatenate([sums, counts[new]]), np.concatenate([places, ids])
+            ranks = np.argsort(seen, kind="stable")
+            seen, sums, places = seen[ranks], sums[ranks], places[ranks]
+            if len(seen) > HELD:
+                yield done()
+                seen, sums, places, names = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), []
+        if len(seen):
+            yield done()
 
     return docs.select("text", "trusted").mapInArrow(run, SCHEMA).groupBy("gram").agg(F.sum("count").alias("count"))
 
