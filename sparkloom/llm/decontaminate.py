@@ -232,4 +232,4 @@ def leaks(
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that match an item. Rows whose doc_id is null stay, since no match can name them."""
     found = leaks(docs, items, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
