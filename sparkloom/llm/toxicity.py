@@ -44,11 +44,13 @@ def _present(texts: list[str], bits: int) -> Iterator[np.ndarray]:
     mark = np.zeros(1 << bits, dtype=bool)
     for i in range(len(texts)):
         each = np.concatenate([h[at[i] : max(at[i], at[i + 1] - n + 1)] for n, h in zip(ORDERS, found, strict=True)])
-        mark[each] = True
-        each = each if len(each) < 2000 else np.flatnonzero(mark)
-        out = np.unique(each)
-        mark[out] = False
-        yield out
+        if len(each) < 2000:
+            yield np.unique(each).astype(np.int64)
+        else:
+            mark[each] = True
+            out = np.flatnonzero(mark)
+            mark[out] = False
+            yield out
 
 
 def _counts(labelled: DataFrame, bits: int) -> DataFrame:
