@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from sparkloom.functions.text import normalize
 from sparkloom.operators.components import FEW_EDGES, connected_components
@@ -35,25 +36,31 @@ def _permutations(num_hashes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 def minhash(c: str | Column, num_hashes: int = 64, ngram_size: int = 5, seed: int = 42) -> Column:
     """The signature of a text's word n-grams (array of long), null for null or blank text.
 
-    Shingles are hashed inside the JVM and permuted in one NumPy pass per text.
+    Words are hashed one by one, shingles and permutations are NumPy arrays of a whole text.
     """
     a, b = _permutations(num_hashes, seed)
+    places = np.random.default_rng(seed + 1).integers(1, 2**63, ngram_size, dtype=np.uint64) | np.uint64(1)
 
     @F.pandas_udf("array<long>")
-    def permute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(h):
-            if h is None or not len(h):
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text: str) -> np.ndarray | None:
+            words = text.split()
+            if not words:
                 return None
-            h = np.unique(np.asarray(h, dtype=np.uint64))
+            h = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+            n = min(ngram_size, len(words))
+            runs = sum(h[j : len(h) - n + 1 + j] * places[j] for j in range(n))
+            runs = (runs ^ (runs >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            runs = np.unique((runs >> np.uint64(32)) % np.uint64(PRIME))
             out = np.full(num_hashes, PRIME, dtype=np.uint64)
-            for k in range(0, len(h), 4096):
-                out = np.minimum(out, ((h[k : k + 4096, None] * a + b) % np.uint64(PRIME)).min(axis=0))
+            for k in range(0, len(runs), 4096):
+                out = np.minimum(out, ((runs[k : k + 4096, None] * a + b) % np.uint64(PRIME)).min(axis=0))
             return out.astype(np.int64)
 
         for s in batches:
-            yield s.map(one)
+            yield s.map(one, na_action="ignore").astype(object)
 
-    return permute(F.transform(shingle_list(c, ngram_size), lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME))))
+    return sign(c)
 
 
 def optimal_bands(threshold: float, num_hashes: int) -> tuple[int, int]:
