@@ -1,13 +1,17 @@
 """Line deduplication by pairwise alignment: passages that an earlier document has already go from the later one.
 
 1. Lines are hashed (white space runs as one blank, ends stripped). What shows that documents overlap is a line in at most
-   ``rare`` documents, or a run: the fewest lines from some line on that have ``least_words`` words together, in however many
-   documents. Every block worth deleting holds such a run, so none is missed for being frequent.
+   ``rare`` documents, or a run: the fewest lines from some line on, or up to some line, that have ``least_words`` words together, in
+   however many documents. Each line with words of a block worth deleting is in such a run inside the block, so none is missed
+   for being frequent.
 2. Each document is paired with the earliest document (least doc_id) of every such line and run that it holds, itself excepted: one
    in n documents gives n - 1 pairs, and its first occurrence is never paired away.
 3. Each pair is aligned by patience diff on line hashes: lines that are unique in both, in their longest common order, split the
    documents; between them the same is done again, and equal lines that touch a matched one join it.
 4. Aligned blocks of at least ``least_words`` words are deleted from the later document; all pairs of a document count.
+5. An alignment keeps one order and needs lines that are unique in both, so it misses passages in another order and repeated ones.
+   Every run that the pair shares goes too, wherever it stands: of the lines of the later text, as they stood together there, no
+   run with ``least_words`` words that an earlier document has is left.
 
 Pairs and alignments carry line hashes; texts move once, to meet what is deleted from them.
 """
@@ -87,6 +91,30 @@ def blocks(matched: list[tuple[int, int]]) -> Iterator[list[int]]:
         yield run
 
 
+def _runs(h: np.ndarray, n: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, start, end) of the fewest lines with least_words words from each line on and up to each line; h hashes lines, n counts their words."""
+    upto = np.concatenate([[0], np.cumsum(n)])
+    on = np.searchsorted(upto, upto[:-1] + least_words)
+    back = np.searchsorted(upto, upto[1:] - least_words, side="right") - 1
+    one, two = np.flatnonzero(on < len(upto)), np.flatnonzero(back >= 0)
+    start, end = np.concatenate([one, back[two]]), np.concatenate([on[one], two + 1])
+    place = np.concatenate([[np.uint64(0)], np.cumsum(mix(h.view(np.uint64)) * _powers(len(h)), dtype=np.uint64)])
+    return mix((place[end] - place[start]) * _inverse(len(h))[start] + (end - start).astype(np.uint64)).view(np.int64), start, end
+
+
+def shared_lines(a: list[int], b: list[int], words: list[int], least_words: int) -> np.ndarray:
+    """Places in b, whose lines have so many words, of all runs of least_words words that a has too."""
+    count = dict(zip(b, words, strict=True))
+    # A line that b lacks ends every run of a, and no run with it is one of b's.
+    theirs, _, _ = _runs(np.array(a, dtype=np.int64), np.array([count.get(x, least_words) for x in a], dtype=np.int64), least_words)
+    mine, start, end = _runs(np.array(b, dtype=np.int64), np.array(words, dtype=np.int64), least_words)
+    both = np.isin(mine, theirs)
+    depth = np.zeros(len(b) + 1, dtype=np.int64)
+    np.add.at(depth, start[both], 1)
+    np.add.at(depth, end[both], -1)
+    return np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+
+
 def _tokens(lines: DataFrame, least_words: int) -> DataFrame:
     """(doc_id, token, run): each document's distinct lines with words (run false) and runs (run true), as hashes."""
 
@@ -95,12 +123,9 @@ def _tokens(lines: DataFrame, least_words: int) -> DataFrame:
             docs, tokens, runs = [], [], []
             for doc, hashes, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 h, n = np.array(hashes, dtype=np.int64), np.array(words, dtype=np.int64)
-                upto = np.concatenate([[0], np.cumsum(n)])
-                end = np.searchsorted(upto, upto[:-1] + least_words)
-                place = np.concatenate([[np.uint64(0)], np.cumsum(mix(h.view(np.uint64)) * _powers(len(h)), dtype=np.uint64)])
-                start = np.flatnonzero((n > 0) & (end < len(upto)))
-                found = mix((place[end[start]] - place[start]) * _inverse(len(h))[start] + (end[start] - start).astype(np.uint64))
-                for kind, some in ((False, np.unique(h[n > 0])), (True, np.unique(found.view(np.int64)))):
+                found, start, end = _runs(h, n, least_words)
+                found = found[(n[start] > 0) & (n[end - 1] > 0)]
+                for kind, some in ((False, np.unique(h[n > 0])), (True, np.unique(found))):
                     tokens.append(some)
                     docs.append(np.full(len(some), doc, dtype=np.int64))
                     runs.append(np.full(len(some), kind))
@@ -144,7 +169,8 @@ def overlaps(docs: DataFrame, rare: int = 16, least_words: int = 20) -> DataFram
         for batch in batches:
             out = []
             for later, version, earlier, a, b, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gone = [j for part in blocks(patience(a, b)) if sum(words[j] for j in part) >= least_words for j in part]
+                gone = {j for part in blocks(patience(a, b)) if sum(words[j] for j in part) >= least_words for j in part}
+                gone = sorted(gone.union(shared_lines(a, b, words, least_words).tolist()))
                 if gone:
                     out.append((later, version, earlier, gone))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4

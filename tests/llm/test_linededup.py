@@ -72,3 +72,33 @@ def test_hot_long_lines_and_edge_cases(spark):
             assert ((r["text"] or "").split(), r["removed_lines"]) == (want[r["doc_id"]][0].split(), want[r["doc_id"]][1])
     assert [r["text"] for r in rows if r["doc_id"] == 100] == [None] and sum(bool(r["removed_lines"]) for r in rows) == 61
     assert linededup.dedup_lines(frame.limit(0)).count() == 0
+
+
+def test_no_shared_run_survives(spark):
+    """Passages of one or more lines, in any order and repeated: no run of 20 words that an earlier document has is left."""
+    rng = random.Random(6)
+
+    def line(k, n):
+        return " ".join(f"w{k}x{j}" for j in range(n))
+
+    passages = [[line(10 * p + k, rng.choice([3, 7, 12, 25])) for k in range(5)] + [line(1000 + p, 6)] for p in range(6)]
+    docs = [(1, "\n".join(passages[0] + passages[1])), (2, "\n".join(passages[1] + passages[0])), (3, "\n".join(passages[2] + ["x y"] + passages[2])), (4, "\n".join(passages[2]))]
+    for d in range(5, 120):
+        body = []
+        for p in rng.choices(passages, k=3):
+            body += [line(10**6 + rng.randrange(10**6), rng.randint(1, 30)), *p[rng.randrange(3) :]]
+        docs.append((d, "\n".join(body)))
+    lines = {d: t.split("\n") for d, t in docs}
+
+    def runs(d):
+        ls = lines[d]
+        n = [len(x.split()) for x in ls]
+        return [(i, j, tuple(ls[i:j])) for i in range(len(ls)) for j in range(i + 1, len(ls) + 1) if sum(n[i:j]) >= 20]
+
+    want, seen = {}, set()
+    for d in sorted(lines):
+        want[d] = sorted({k for i, j, x in runs(d) if x in seen for k in range(i, j)})
+        seen |= {x for _, _, x in runs(d)}
+    got = {r["doc_id"]: r["removed_lines"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+    assert got[2] == list(range(12)) and got[4] == list(range(6))
