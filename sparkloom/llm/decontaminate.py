@@ -8,8 +8,9 @@ Words are runs of letters, digits and non-ASCII characters in lower case, so pun
    has it, is left out. This drops no match.
 2. CGK embedding: a random walk reads the window with a pointer that a random function of step and word moves on or holds.
    After 3L steps, two sequences a few edits apart differ in few places: edit distance has become Hamming distance.
-3. Bit-sampling LSH: each repetition has its own walk and compares some sampled places of the embedding. With
-   ``repetitions`` from :func:`repetitions_for`, a window within the allowed edits meets its item with the target recall.
+3. Bit-sampling LSH: each repetition has its own walk and compares some sampled places of the embedding. The longer an item, the
+   more places its allowed edits change, so :func:`places_for` samples as many places as a simulation of that length at its edit
+   limit shows to keep the target recall.
 4. The word edit distance of each window and item that met is computed exactly and decides.
 
 The items are the query set: they go out in blocks of ``block_items``, each broadcast and held against all rows.
@@ -17,6 +18,7 @@ The items are the query set: they go out in blocks of ``block_items``, each broa
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -42,6 +44,69 @@ def repetitions_for(recall: float, meet: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+def walk(windows: np.ndarray, n: np.ndarray | int, steps: np.ndarray, total: int) -> Iterator[np.ndarray]:
+    """The word (a hash) that each repetition reads of each window (a padded row of n words) at each of the steps."""
+    at, rows = np.zeros((len(steps), len(windows)), dtype=np.int64), np.arange(len(windows))
+    for step in range(total):
+        word = windows[rows, at]
+        yield word
+        at = np.minimum(at + ((word * steps[:, step, None]) >> np.uint64(63)).astype(np.int64), n)
+
+
+@functools.cache
+def _equal_places(n: int, edits: int, repetitions: int, copies: int = 128) -> np.ndarray:
+    """Shares of equal places (kind of edit, repetition, copy) of items of n words and windows of n words that begin an edited copy."""
+    rng = np.random.default_rng(SEED)
+    out = []
+    for kind in ("replace", "insert", "drop"):
+        item, copy = np.zeros((copies, n + 1), dtype=np.uint64), np.zeros((copies, n + 1), dtype=np.uint64)
+        for row in range(copies):
+            words = rng.integers(1, 2**63, n, dtype=np.uint64)
+            at, fresh = np.sort(rng.choice(n, edits, replace=False)), rng.integers(1, 2**63, n + edits, dtype=np.uint64)
+            item[row, :n] = copy[row, :n] = words
+            if kind == "replace":
+                copy[row, at] = fresh[: len(at)]
+            elif kind == "insert":
+                copy[row, :n] = np.insert(words, at, fresh[: len(at)])[:n]
+            else:
+                copy[row, :n] = np.concatenate([np.delete(words, at), fresh])[:n]
+        steps = rng.integers(1, 2**63, (repetitions, 3 * n), dtype=np.uint64) | np.uint64(1)
+        out.append(sum((x == y).astype(np.int64) for x, y in zip(walk(item, n, steps, 3 * n), walk(copy, n, steps, 3 * n), strict=True)) / (3 * n))
+    return np.stack(out)
+
+
+def places_for(n: int, max_edits: float, most: int, repetitions: int, recall: float) -> int:
+    """How many places to sample for items of n words, ``most`` at most, so that a window at the edit limit meets its item with ``recall``.
+
+    Measured at the next of some lengths, for words replaced, inserted and dropped alike; 0 lets every window of the length meet.
+    """
+    step = 1 << max(0, n.bit_length() - 3)
+    n = -(-n // step) * step
+    equal = _equal_places(n, int(max_edits * n), repetitions)
+    for places in range(most, 0, -1):
+        met = 1 - (1 - (equal**places).mean(axis=1)) ** repetitions
+        if met.mean(axis=1).min() >= recall:
+            return places
+    return 0
+
+
+def edit_distances(windows: np.ndarray, items: np.ndarray, most: int) -> np.ndarray:
+    """Word edits between each row of windows and of items, or most + 1 where it takes more."""
+    out = np.full(len(windows), most + 1, dtype=np.int32)
+    left, column = np.arange(len(windows)), np.arange(windows.shape[1] + 1, dtype=np.int32)
+    row = np.broadcast_to(column, (len(windows), len(column)))
+    for i in range(items.shape[1]):
+        now = np.empty(row.shape, dtype=np.int32)
+        now[:, 0] = i + 1
+        now[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (windows != items[:, i, None]))
+        row = np.minimum.accumulate(now - column, axis=1) + column
+        near = row.min(axis=1) <= most
+        if not near.all():
+            left, row, windows, items = left[near], row[near], windows[near], items[near]
+    out[left] = np.minimum(row[:, -1], most + 1)
+    return out
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Word edits between a and b, or most + 1 where it takes more."""
     if np.array_equal(a, b):
@@ -60,7 +125,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
 class Items:
     """A block of items in the form that windows are held against."""
 
-    def __init__(self, ids: list[int], texts: list[str], max_edits: float, min_words: int, repetitions: int, sampled: int):
+    def __init__(self, ids: list[int], texts: list[str], max_edits: float, min_words: int, repetitions: int, sampled: int, recall: float = 0.95):
         words, first = _words.hash_words(plain(texts))
         kept = [(i, words[first[k] : first[k + 1]]) for k, i in enumerate(ids) if first[k + 1] - first[k] >= min_words]
         self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
@@ -82,10 +147,11 @@ class Items:
         # Each repetition has a random function of step and word, and its share of the embedding's places for every length.
         rng = np.random.default_rng(SEED)
         self.steps = rng.integers(1, 2**63, (repetitions, 3 * self.longest), dtype=np.uint64) | np.uint64(1)
-        self.sampled = np.zeros((self.longest + 1, repetitions, 3 * self.longest), dtype=bool)
-        for n in self.lengths:
+        self.sampled = np.zeros((len(self.lengths), repetitions, 3 * self.longest), dtype=bool)
+        for k, n in enumerate(self.lengths):
+            places = places_for(n, max_edits, min(sampled, 3 * n), repetitions, recall)
             for r in range(repetitions):
-                self.sampled[n, r, rng.choice(3 * n, min(sampled, 3 * n), replace=False)] = True
+                self.sampled[k, r, rng.choice(3 * n, places, replace=False)] = True
         self.keys = []
         if kept:
             keys = self.embed(np.stack([self.padded(w[None])[0] for w in self.words]), np.array([len(w) for w in self.words]))
@@ -102,14 +168,11 @@ class Items:
 
     def embed(self, windows: np.ndarray, n: np.ndarray) -> np.ndarray:
         """An LSH key for each repetition and each window (a padded row of n word hashes)."""
-        r, m = self.repetitions, len(windows)
-        at, rows = np.zeros((r, m), dtype=np.int64), np.arange(m)
-        key = np.broadcast_to(n.astype(np.uint64), (r, m)).copy()
-        for step in range(3 * int(n.max(initial=0))):
-            word = windows[rows, at]
-            hit = np.nonzero(self.sampled[n, :, step].T)
+        key = np.broadcast_to(n.astype(np.uint64), (self.repetitions, len(windows))).copy()
+        which = np.searchsorted(self.lengths, n)
+        for step, word in enumerate(walk(windows, n, self.steps, 3 * int(n.max(initial=0)))):
+            hit = np.nonzero(self.sampled[which, :, step].T)
             key[hit] = mix(key[hit] * np.uint64(31) + word[hit] + np.uint64(1))
-            at = np.minimum(at + ((word * self.steps[:, step, None]) >> np.uint64(63)).astype(np.int64), n)
         return key
 
     def windows(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -157,25 +220,26 @@ class Items:
     def matches(self, windows: np.ndarray, n: np.ndarray, text: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, first word, edits) for each text and item that a window shows to match, the best window of those."""
         keys = self.embed(windows, n)
-        met: dict[tuple[int, int], set[int]] = {}
+        met = np.empty(0, dtype=np.int64)
         for mine, (theirs, order) in zip(keys, self.keys, strict=True):
             low, high = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine, side="right")
-            for k in np.flatnonzero(high > low).tolist():
-                for j in order[low[k] : high[k]].tolist():
-                    met.setdefault((int(text[k]), j), set()).add(k)
-        out = []
-        for (t, j), found in met.items():
-            w, best = self.words[j], None
-            most = self.edits(len(w))
-            for k in sorted(found, key=lambda k: (not np.array_equal(windows[k, : len(w)], w), start[k])):
-                edits = edit_distance(windows[k, : n[k]], w, most)
-                if edits <= most and (best is None or edits < best[1]):
-                    best = (int(start[k]), edits)
-                    if not edits:
-                        break
-            if best:
-                out.append((t, self.ids[j], *best))
-        return out
+            times = high - low
+            k = np.repeat(np.arange(len(mine)), times)
+            j = order[np.arange(len(k)) + np.repeat(low - np.cumsum(times) + times, times)]
+            met = np.union1d(met, k * len(self.words) + j)
+        k, j = np.divmod(met, max(1, len(self.words)))
+        edits, limit = np.empty(len(met), dtype=np.int64), np.empty(len(met), dtype=np.int64)
+        for length in np.unique(n[k]).tolist():
+            of_length = np.flatnonzero(n[k] == length)
+            for some in np.array_split(of_length, -(-len(of_length) // GATHERED)):
+                theirs = np.stack([self.words[x] for x in j[some].tolist()])
+                limit[some] = self.edits(length)
+                edits[some] = edit_distances(windows[k[some], :length], theirs, self.edits(length))
+        fit = np.flatnonzero(edits <= limit)
+        fit = fit[np.lexsort((start[k[fit]], edits[fit], j[fit], text[k[fit]]))]
+        same = np.zeros(len(fit), dtype=bool)
+        same[1:] = (text[k[fit[1:]]] == text[k[fit[:-1]]]) & (j[fit[1:]] == j[fit[:-1]])
+        return [(int(text[k[x]]), self.ids[j[x]], int(start[k[x]]), int(edits[x])) for x in fit[~same].tolist()]
 
 
 #: Windows that a task gathers before it embeds them together.
@@ -187,8 +251,9 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, start_word, edits): each document and item that match, with the first word of the best window found.
 
-    ``meet`` is the probability with which one repetition brings a window at the allowed edits together with its item (measured
-    in the tests); with ``recall`` it sets the number of repetitions. Unedited copies always meet. Items of fewer than
+    ``meet`` is the probability with which one repetition should bring a window at the allowed edits together with its item; with
+    ``recall`` it sets the number of repetitions. Of each length's places, ``sampled`` or as many fewer are compared as keep that
+    recall (:func:`places_for`). Unedited copies always meet. Items of fewer than
     ``min_words`` words are no evidence and match nothing, as are null texts on either side. Rows that repeat a doc_id or an
     item_id each count: a pair then shows once per row of the documents and once per block of items. Other columns are not
     looked at; an empty table on either side gives an empty result.
@@ -201,7 +266,7 @@ def leaks(
     out = None
     for b in range(blocks):
         rows = numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        held = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], max_edits, min_words, times, sampled))
+        held = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], max_edits, min_words, times, sampled, recall))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items, ids, gathered = held.value, [], []

@@ -95,3 +95,27 @@ def test_edge_cases(spark):
     assert {(r["doc_id"], r["item_id"], r["edits"], r["start_word"]) for r in decontaminate.leaks(docs, items).collect()} == {(3, 7, 0, 0), (None, 7, 0, 0)}
     left = decontaminate.clean(docs, items)
     assert left.columns == docs.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2]
+
+
+def test_edit_distances_of_many_pairs_are_exact():
+    rng = random.Random(2)
+    for n in (1, 5, 9):
+        a, b = (np.array([[rng.randrange(3) for _ in range(n)] for _ in range(60)]) for _ in range(2))
+        for most in (0, 2, 9):
+            assert decontaminate.edit_distances(a, b, most).tolist() == [min(distance(x, y), most + 1) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def test_recall_at_the_edge_for_long_items(spark):
+    """Items of 40 to 200 words with exactly floor(0.2 L) words replaced: at least 0.95 are found at each length."""
+    rng = random.Random(12)
+    for n in (40, 60, 120, 200):
+        items = [(i, " ".join(f"n{n}i{i}w{k}" for k in range(n))) for i in range(120)]
+        docs = []
+        for i, text in items:
+            words = text.split()
+            for p in rng.sample(range(n), int(0.2 * n)):
+                words[p] = f"x{rng.randrange(10**9)}"
+            docs.append((i, " ".join([f"y{rng.randrange(10**9)}" for _ in range(20)] + words + [f"z{rng.randrange(10**9)}" for _ in range(20)])))
+        rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert all(r["doc_id"] == r["item_id"] and r["edits"] <= int(0.2 * n) for r in rows)
+        assert len(rows) >= 0.95 * len(items), n
