@@ -1,17 +1,19 @@
 """Benchmark decontamination: documents that hold a benchmark item, exactly or with a few words edited.
 
-A window of a document matches an item of L words when at most ``floor(max_edits * L)`` word edits turn one into the other.
+A document matches an item of L words when at most k = ``floor(max_edits * L)`` word edits turn one of its spans, of L - k to L + k
+words, into the item. Without ``free_ends`` only spans of L words count, so a dropped or added word costs two edits.
 Words are runs of letters, digits and non-ASCII characters in lower case, so punctuation and line breaks don't hide a copy.
 
 1. Windows of the item's length start at each word. The q-gram lemma keeps those that can match at all: within k edits an item
    keeps ``L - 1 - 2k`` of its word pairs, so a window with fewer pairs from items of its length, none counted more often than an item
-   has it, is left out. This drops no match.
+   has it, is left out. This drops no match. A text may end inside a window. Of a span that words were added to, the window
+   loses as many pairs at its end as additions broke fewer, so the bound holds for spans of every length.
 2. CGK embedding: a random walk reads the window with a pointer that a random function of step and word moves on or holds.
    After 3L steps, two sequences a few edits apart differ in few places: edit distance has become Hamming distance.
 3. Bit-sampling LSH: each repetition has its own walk and compares some sampled places of the embedding. The longer an item, the
    more places its allowed edits change, so :func:`places_for` samples as many places as a simulation of that length at its edit
    limit shows to keep the target recall.
-4. The word edit distance of each window and item that met is computed exactly and decides.
+4. The word edit distance of each item and the best span from the start of a window that met it is computed exactly and decides.
 
 The items are the query set: they go out in blocks of ``block_items``, each broadcast and held against all rows.
 """
@@ -48,7 +50,7 @@ def walk(windows: np.ndarray, n: np.ndarray | int, steps: np.ndarray, total: int
     """The word (a hash) that each repetition reads of each window (a padded row of n words) at each of the steps."""
     at, rows = np.zeros((len(steps), len(windows)), dtype=np.int64), np.arange(len(windows))
     for step in range(total):
-        word = windows[rows, at]
+        word = np.where(at < n, windows[rows, at], np.uint64(0))
         yield word
         at = np.minimum(at + ((word * steps[:, step, None]) >> np.uint64(63)).astype(np.int64), n)
 
@@ -90,8 +92,8 @@ def places_for(n: int, max_edits: float, most: int, repetitions: int, recall: fl
     return 0
 
 
-def edit_distances(windows: np.ndarray, items: np.ndarray, most: int) -> np.ndarray:
-    """Word edits between each row of windows and of items, or most + 1 where it takes more."""
+def edit_distances(windows: np.ndarray, items: np.ndarray, most: int, free_end: bool = False) -> np.ndarray:
+    """Word edits between each row of windows (with free_end, its best beginning) and of items, or most + 1 where it takes more."""
     out = np.full(len(windows), most + 1, dtype=np.int32)
     left, column = np.arange(len(windows)), np.arange(windows.shape[1] + 1, dtype=np.int32)
     row = np.broadcast_to(column, (len(windows), len(column)))
@@ -103,7 +105,7 @@ def edit_distances(windows: np.ndarray, items: np.ndarray, most: int) -> np.ndar
         near = row.min(axis=1) <= most
         if not near.all():
             left, row, windows, items = left[near], row[near], windows[near], items[near]
-    out[left] = np.minimum(row[:, -1], most + 1)
+    out[left] = np.minimum(row.min(axis=1) if free_end else row[:, -1], most + 1)
     return out
 
 
@@ -125,7 +127,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
 class Items:
     """A block of items in the form that windows are held against."""
 
-    def __init__(self, ids: list[int], texts: list[str], max_edits: float, min_words: int, repetitions: int, sampled: int, recall: float = 0.95):
+    def __init__(self, ids: list[int], texts: list[str], max_edits: float, min_words: int, repetitions: int, sampled: int, recall: float = 0.95, free_ends: bool = False):
+        self.free_ends = free_ends
         words, first = _words.hash_words(plain(texts))
         kept = [(i, words[first[k] : first[k + 1]]) for k, i in enumerate(ids) if first[k + 1] - first[k] >= min_words]
         self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
@@ -161,13 +164,22 @@ class Items:
     def edits(self, n: int) -> int:
         return int(self.max_edits * n)
 
+    def span(self, n: int) -> int:
+        """The most words that a copy of an item of n words can have."""
+        return n + self.edits(n) * self.free_ends
+
     def padded(self, windows: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(windows), self.longest + 1), dtype=np.uint64)
+        out = np.zeros((len(windows), self.span(self.longest) + 1), dtype=np.uint64)
         out[:, : windows.shape[1]] = windows
         return out
 
+    def cut(self, words: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+        """The words from each start on, as many as a copy of n words can have and zeros from its text's end on, padded."""
+        at = start[:, None] + np.arange(self.span(n))
+        return self.padded(np.where(at < end[:, None], words[np.minimum(at, len(words) - 1)], np.uint64(0)))
+
     def embed(self, windows: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """An LSH key for each repetition and each window (a padded row of n word hashes)."""
+        """An LSH key for each repetition and the first n word hashes of each window (a padded row)."""
         key = np.broadcast_to(n.astype(np.uint64), (self.repetitions, len(windows))).copy()
         which = np.searchsorted(self.lengths, n)
         for step, word in enumerate(walk(windows, n, self.steps, 3 * int(n.max(initial=0)))):
@@ -176,7 +188,7 @@ class Items:
         return key
 
     def windows(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each item length, the first words of windows inside one text that have pairs enough."""
+        """For each item length, the first words of windows that have pairs enough inside their text, which can end before them."""
         if len(words) < 2 or not len(self.pairs):
             return
         pair = words[:-1] * np.uint64(3) + words[1:]
@@ -184,6 +196,7 @@ class Items:
         at = np.minimum(np.searchsorted(self.pairs, pair[near]), len(self.pairs) - 1)
         same = self.pairs[at] == pair[near]
         hits, kind = near[same], at[same]
+        end = first[1:]
         # Where the pair stood as many times before as an item can have it: in windows from there on, this one adds nothing.
         order = np.argsort(kind, kind="stable")
         back = np.arange(len(hits)) - self.times[kind[order]]
@@ -207,8 +220,10 @@ class Items:
             np.add.at(spans, low[fit] + 1, -1)
             start = np.flatnonzero(np.cumsum(spans[:-1]) > 0)
             text = np.searchsorted(first, start, side="right") - 1
-            start = start[start + n <= first[text + 1]]
-            one, stop = np.searchsorted(hits, start), np.searchsorted(hits, start + n - 2, side="right")
+            if not self.free_ends:
+                inside = start + n <= end[text]
+                start, text = start[inside], text[inside]
+            one, stop = np.searchsorted(hits, start), np.searchsorted(hits, np.minimum(start + n, end[text]) - 2, side="right")
             shared = np.zeros(len(start), dtype=np.int32)
             for j in range(int((stop - one).max(initial=0))):
                 k = np.minimum(one + j, len(hits) - 1)
@@ -234,7 +249,7 @@ class Items:
             for some in np.array_split(of_length, -(-len(of_length) // GATHERED)):
                 theirs = np.stack([self.words[x] for x in j[some].tolist()])
                 limit[some] = self.edits(length)
-                edits[some] = edit_distances(windows[k[some], :length], theirs, self.edits(length))
+                edits[some] = edit_distances(windows[k[some], : self.span(length)], theirs, self.edits(length), self.free_ends)
         fit = np.flatnonzero(edits <= limit)
         fit = fit[np.lexsort((start[k[fit]], edits[fit], j[fit], text[k[fit]]))]
         same = np.zeros(len(fit), dtype=bool)
@@ -247,13 +262,14 @@ GATHERED = 8192
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words: int = 8, recall: float = 0.95, meet: float = 0.12, sampled: int = 6, block_items: int = 20_000
+    docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words: int = 8, recall: float = 0.95, meet: float = 0.12, sampled: int = 6, block_items: int = 20_000, free_ends: bool = False
 ) -> DataFrame:
     """(doc_id, item_id, start_word, edits): each document and item that match, with the first word of the best window found.
 
     ``meet`` is the probability with which one repetition should bring a window at the allowed edits together with its item; with
     ``recall`` it sets the number of repetitions. Of each length's places, ``sampled`` or as many fewer are compared as keep that
-    recall (:func:`places_for`). Unedited copies always meet. Items of fewer than
+    recall (:func:`places_for`). With ``free_ends`` (the query and :func:`clean`) edits are those to the best span that begins with
+    the window, else those to the window itself. Unedited copies always meet. Items of fewer than
     ``min_words`` words are no evidence and match nothing, as are null texts on either side. Rows that repeat a doc_id or an
     item_id each count: a pair then shows once per row of the documents and once per block of items. Other columns are not
     looked at; an empty table on either side gives an empty result.
@@ -266,7 +282,7 @@ def leaks(
     out = None
     for b in range(blocks):
         rows = numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        held = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], max_edits, min_words, times, sampled, recall))
+        held = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], max_edits, min_words, times, sampled, recall, free_ends))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items, ids, gathered = held.value, [], []
@@ -281,7 +297,7 @@ def leaks(
                 words, first = _words.hash_words(plain(texts))
                 for n, start in items.windows(words, first):
                     text = np.searchsorted(first, start, side="right") - 1
-                    grams = items.padded(np.lib.stride_tricks.sliding_window_view(words, n)[start])
+                    grams = items.cut(words, start, first[text + 1], n)
                     gathered.append((grams, np.full(len(start), n), text + len(ids), start - first[text]))
                 ids += batch.column(0).to_pylist()
                 if sum(len(x[0]) for x in gathered) >= GATHERED:
@@ -295,6 +311,6 @@ def leaks(
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that match an item. Rows whose doc_id is null stay, since no match can name them."""
-    found = leaks(docs, items, **options).select("doc_id").distinct()
+    """``docs`` without the documents that match an item, with free ends unless told otherwise. Rows whose doc_id is null stay, since no match can name them."""
+    found = leaks(docs, items, **({"free_ends": True} | options)).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

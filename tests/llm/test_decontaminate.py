@@ -119,3 +119,62 @@ def test_recall_at_the_edge_for_long_items(spark):
         rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
         assert all(r["doc_id"] == r["item_id"] and r["edits"] <= int(0.2 * n) for r in rows)
         assert len(rows) >= 0.95 * len(items), n
+
+
+def test_dropped_and_added_words_cost_one_edit_each(spark):
+    rng = random.Random(21)
+
+    def fresh(k):
+        return [f"f{rng.randrange(10**9)}" for _ in range(k)]
+
+    items = [(i, [f"i{i}w{k}" for k in range(n)]) for i, n in enumerate([8, 10, 15, 20, 30, 40, 59])]
+    docs, want = [], {}
+    for i, item in items:
+        n, most = len(item), int(0.2 * len(item))
+        for how in ("drop", "add", "drop more", "add more", "short"):
+            for _ in range(8):
+                k = 1 if how == "short" else most + how.endswith("more")
+                places = rng.sample(range(1, n - 1), k)
+                if how.startswith("add"):
+                    words = [y for p, w in enumerate(item) for y in ([w, *fresh(1)] if p in places else [w])]
+                else:
+                    words = [w for p, w in enumerate(item) if p not in places]
+                d = len(docs)
+                docs.append((d, " ".join(words if how == "short" else fresh(n) + words + fresh(n))))
+                if not how.endswith("more"):
+                    want[d] = (i, k)
+    item_rows = [(i, " ".join(w)) for i, w in items]
+    docs, item_rows = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(item_rows, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.leaks(docs, item_rows, free_ends=True).collect()}
+    assert got.keys() <= want.keys() and len(got) >= 0.95 * len(want)
+    assert all(r["item_id"] == want[d][0] and r["edits"] == want[d][1] for d, r in got.items() if r["start_word"] in (0, len(items[r["item_id"]][1])))
+    left = {r["doc_id"] for r in decontaminate.clean(docs, item_rows).collect()}
+    assert left == {r["doc_id"] for r in docs.collect()} - got.keys()
+
+
+def test_free_ends_against_brute_force(spark):
+    rng = random.Random(22)
+    vocabulary = [f"v{k}" for k in range(300)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 30)))) for i in range(12)]
+    docs = []
+    for d in range(90):
+        body = [rng.choice(vocabulary) for _ in range(rng.choice([0, 5, 30]))]
+        if d % 2:
+            words = items[d % 12][1].split()
+            body[len(body) // 2 : len(body) // 2] = edited(rng, words, rng.randint(0, int(0.2 * len(words))), vocabulary)
+        docs.append((d, " ".join(body)))
+
+    def free(w, v):
+        """The least distance of v to a span of w."""
+        row = [0] * (len(w) + 1)
+        for i, y in enumerate(v, 1):
+            now = [i]
+            for j, x in enumerate(w, 1):
+                now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+            row = now
+        return min(row)
+
+    want = {(d, i) for d, t in docs for i, v in items if free(t.split(), v.split()) <= int(0.2 * len(v.split()))}
+    rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), free_ends=True).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 30
