@@ -479,6 +479,12 @@ def sentence_spans(spark, d):
     return docs.select("doc_id", F.inline(text.sentence_spans("text"))).drop("sent_text")
 
 
+@query()
+def sentence_spans_whole(spark, d):
+    """Of every document, however long."""
+    return table(spark, d, "documents").select("doc_id", F.inline(text.sentence_spans("text"))).drop("sent_text")
+
+
 @query("""select event_id, cast(json_extract(props, '$.k') as bigint) as k, json_extract_string(props, '$.k') as k_text from events""")
 def json_fields(spark, d):
     return table(spark, d, "events").select("event_id", lists.json_struct("props", "k long")["k"].alias("k"), lists.json_query("props", ".k").alias("k_text"))
