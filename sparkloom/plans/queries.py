@@ -443,6 +443,12 @@ def str_normalize(spark, d):
     return docs.select("doc_id", text.normalize("text", remove_punct=True, lowercase=True, nfd_unicode=True, white_space=True).alias("plain"))
 
 
+@query()
+def str_normalize_whole(spark, d):
+    """Of every document, in any script."""
+    return table(spark, d, "documents").select("doc_id", text.normalize("text", remove_punct=True, lowercase=True, nfd_unicode=True, white_space=True).alias("plain"))
+
+
 @query("""select user_id, 'user ' || user_id || ' did ' || event_type || '.' as line, nullif(regexp_extract(event_type, '^([a-z]+)_', 1), '') as stem from events""")
 def str_format_extract(spark, d):
     return table(spark, d, "events").select("user_id", text.format_template("user {} did {}.", "user_id", "event_type").alias("line"), text.extract_or_null("event_type", "^([a-z]+)_").alias("stem"))
