@@ -171,12 +171,24 @@ def explode_parts(spark, d):
     return table(spark, d, "events").filter("event_id < 500").select("event_id", F.explode(text.split_plain("event_type", "_")).alias("part"))
 
 
+@query()
+def explode_parts_whole(spark, d):
+    return table(spark, d, "events").select("event_id", F.explode(text.split_plain("event_type", "_")).alias("part"))
+
+
 @query("""select vec_id, unnest(range(0, 8)) as place, unnest(embedding[1:8]) as value from embeddings where vec_id < 100""")
 def zip_explode(spark, d):
     e = table(spark, d, "embeddings").filter("vec_id < 100").select("vec_id", F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")).alias("place"), F.slice("embedding", 1, 8).alias("value"))
     return relational.zip_explode(e, "place", "value")
 
 
+@query()
+def zip_explode_whole(spark, d):
+    """All values of all vectors."""
+    places = F.transform("embedding", lambda x, i: i.cast("long"))
+    return relational.zip_explode(table(spark, d, "embeddings").select("vec_id", places.alias("place"), F.col("embedding").alias("value")), "place", "value")
+
+
 @query("select c_custkey, c_name as name, c_acctbal as balance from customer")
 def struct_unnest(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")).alias("s"))
@@ -230,6 +242,12 @@ def join_band(spark, d):
     return relational.band_join(e, e, "user_id", "t", 3000, 1000).select("event_id", "event_id_r")
 
 
+@query()
+def join_band_whole(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("t"))
+    return relational.band_join(e, e, "user_id", "t", 3000, 1000).select("event_id", "event_id_r")
+
+
 @query("""select o.o_orderkey, c.c_name, n.n_name from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey where o.o_totalprice > 150000""")
 def join_sql_temp_table(spark, d):
     for name in ("orders", "customer"):
@@ -259,6 +277,12 @@ def list_agg_sorted(spark, d):
     return e.agg(lists.list_join(lists.ordered_list("ts", F.col("event_id").cast("string")), ",").alias("ids"))
 
 
+@query()
+def list_agg_sorted_whole(spark, d):
+    e = table(spark, d, "events").groupBy("event_type")
+    return e.agg(lists.list_join(lists.ordered_list("ts", F.col("event_id").cast("string")), ",").alias("ids"))
+
+
 @query("""select l_returnflag, count(case when l_linestatus = 'F' then 1 end) as F, count(case when l_linestatus = 'O' then 1 end) as O from lineitem group by 1
 union all select 'ALL', count(case when l_linestatus = 'F' then 1 end), count(case when l_linestatus = 'O' then 1 end) from lineitem""")
 def pivot_with_total(spark, d):
@@ -602,6 +626,12 @@ def dedup_components(spark, d):
     return connected_components(edges)
 
 
+@query()
+def dedup_components_whole(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    return connected_components(o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("u"), (F.col("l_suppkey") + 1_000_000).alias("v")))
+
+
 @query("""with f as (select min(doc_id) as rep, text from documents group by text) select doc_id, rep, rep <> doc_id as is_duplicate from documents join f using (text)""")
 def dedup_mark_exact(spark, d):
     docs = table(spark, d, "documents")
@@ -719,6 +749,15 @@ def upsert_result(spark, d):
     return upsert.upsert(old, new, ["user_id"])
 
 
+@query()
+def upsert_result_whole(spark, d):
+    """Every third event is new and all others are old."""
+    e = table(spark, d, "events").withColumn("new", F.col("event_id") % 3 == 0)
+    old = e.filter("not new").groupBy("user_id").agg(F.max("event_id").alias("event_id")).withColumn("value", F.lit(0.0))
+    new = e.filter("new").groupBy("user_id").agg(F.max("event_id").alias("event_id")).withColumn("value", F.lit(1.0))
+    return upsert.upsert(old, new, ["user_id"])
+
+
 @query(f"""with {BARS} select ticker, day, round(avg(volume) over (partition by ticker order by day rows 6 preceding), 1) as trailing_mean from bars""")
 def trailing_avg7(spark, d):
     return upsert.trailing_mean(bars(spark, d), ["ticker"], "day", "volume").select("ticker", "day", "trailing_mean")
