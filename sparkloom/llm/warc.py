@@ -44,8 +44,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, run: str |
     Each file is one gzip stream, or plain with compression "none"; a plain file can be split among tasks.
     """
     run = run or f"urn:uuid:{uuid.uuid4()}"
-    found = headers(pages, least_bytes)
-    rows = pages.select("page_id", "html").join(found, "page_id")
+    # Rows that repeat a page_id have a header for each payload; equal rows share one and give a record each.
+    found = headers(pages, least_bytes).drop("url").dropDuplicates(["page_id", "payload_digest"])
+    digest = base32_sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    rows = pages.select("page_id", "url", "html", digest.alias("payload_digest")).join(found, ["page_id", "payload_digest"])
 
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -100,7 +102,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = None)
     """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from archives written for ``pages``.
 
     Bytes and digest are computed from the payload read, for revisits from the response that they refer to. Null html counts as empty.
-    Rows that repeat a page_id must repeat its html too and give records of their own; rows whose page_id is null have no record id
+    Rows that repeat a page_id give records of their own, with the same html or another; rows whose page_id is null have no record id
     and are left out. Other columns are not looked at; an empty table gives an empty result.
     """
     spark = pages.sparkSession
@@ -108,11 +110,11 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = None)
     path = path or new_path(spark, "warc")
     run = write_archives(pages, path, least_bytes)
     records = read_archives(spark, path, run)
-    found = records.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"))
+    found = records.select("page_id", "record_type", "refers_to", F.col("payload_digest").alias("says"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"))
     found = materialize(found, "records")
     # Only responses that are referred to meet revisits, each once.
-    revisits = found.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
+    revisits = found.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.col("says").alias("payload_digest"))
     originals = found.filter("record_type = 'response'").join(revisits.select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
     originals = originals.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
-    resolved = revisits.join(originals, "refers_to").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    resolved = revisits.join(originals, ["refers_to", "payload_digest"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return found.filter("record_type = 'response'").select(resolved.columns).unionByName(resolved)

@@ -39,3 +39,12 @@ def test_awkward_payloads(spark, tmp_path):
             assert rows[i]["payload"] == (t or "")
     assert rows[7]["url"] == "http://h/7  X: 1"
     assert warc.round_trip(frame.limit(0)).count() == 0
+
+
+def test_a_record_per_row_where_page_ids_repeat(spark):
+    pages = [(1, "a"), (1, "b"), (1, "b"), (2, "a"), (3, "b"), (3, "c"), (4, "d"), (4, "d"), (5, "e")] * 2 + [(6, "c"), (7, "a")]
+    frame = spark.createDataFrame([(i, f"http://h/{k}", h) for k, (i, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = sorted(map(str, (tuple(r) for r in warc.round_trip(frame.repartition(3)).collect())))
+    last = {h: max(i for i, g in pages if g == h) for _, h in pages}
+    want = [(i, 1, base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "revisit" if last[h] != i else "response", last[h] if last[h] != i else None) for i, h in pages]
+    assert got == sorted(map(str, want))
