@@ -1,15 +1,21 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame operations only.
 
 Weights share the whole corpus out among sources; a target stops at ``most`` times its source's size and what is over goes to
-the others by weight, until none is above. A document's expected number of copies is its source's factor (target over size), moved
-up for longer and down for shorter documents than the source's mean so that the source's expected words stay at its target. The
-whole part of that number is taken for certain. The rest is a chance below one, and documents are ranked by random odds over
-the odds of that chance: Pareto order sampling, which draws a sample of fixed size with unequal chances. Size is words here:
-a source's sample ends before its words pass what is still to be taken, and up to FILLS documents further on that fit the rest
-best round it off.
-
-The end of a sample is found by two histograms over rank, the second inside one cell of the first, so no source, however
-large, is ever sorted in one task. All tables but the documents' sizes hold a row per source or per cell.
+the others by weight, until none is above. Sizes are words. A source's factor is its target over its size:
+
+1. Every document is taken as often as the whole part of its source's factor says. These copies are certain.
+2. What the fraction still asks for is sampled. A source's documents are dealt to classes of like size, eight to a doubling, and
+   every class gives a fixed number of documents. From the largest class down, a class's share is what is left to take over
+   what is left to take it from; its number is that share of its documents, rounded up or down by a random draw, so each
+   document's chance of one more copy is the fraction. Where only one way of rounding can still reach the target with the
+   smaller classes, it is that one.
+3. Large classes are split into cells of about CELL_ROWS documents by a hash, and each cell gives its share of the class's number.
+4. A cell of n documents that gives m is a Pareto sample of fixed size m: a document of size s in a cell of mean size a has the
+   chance p (1 + t (s / a - 1)), with p = m / n and t the smaller of 1 and (1 - p) / p. These sum to m; up to p = 1/2 they are
+   proportional to size. Documents are ranked by random odds over the odds of their chance, and the first m are in.
+
+Only classes are ever held against targets (a row per source and class), and the only sort is inside cells, so no source,
+however large, is sorted or gathered in one task.
 """
 
 from __future__ import annotations
@@ -20,39 +26,40 @@ from pyspark.sql import functions as F
 from sparkloom.storage import materialize, release
 
 WORDS = r"[^\x20\x09-\x0D]+"
-CELLS = 1024
-#: Salts by which a source's row is repeated for the join with its documents.
-SALTS = 16
+#: Documents in a cell, about.
+CELL_ROWS = 8192
+#: Classes of size for each doubling; sizes in one differ by 9 % at most.
+CLASSES = 8
 
 
-def ranked(keys: DataFrame, name: str = "rank") -> DataFrame:
-    """``keys`` (one column, distinct) with its place by ascending value (strings by code point), null last, from 0.
+def running(rows: DataFrame, order: Column, **sums: Column) -> DataFrame:
+    """``rows`` with the sum, under each name, over the rows that come before in ``order``.
 
-    Values are dealt to ranges, counted per range, and numbered inside each; the dealt table is written, so that ranges stay.
+    Rows are dealt to ranges, summed per range, and summed up inside each; the dealt table is written, so that ranges stay.
     """
-    key = keys.columns[0]
-    dealt = keys.repartitionByRange(F.col(key).asc_nulls_last()).withColumn("_p", F.spark_partition_id())
-    dealt = materialize(dealt, "ranked")
-    starts = dealt.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(F.col(key).asc_nulls_last())) - 1
-    return dealt.withColumn("_k", inside).join(F.broadcast(starts), "_p").select(key, (F.col("_start") + F.col("_k")).alias(name))
+    dealt = materialize(rows.withColumn("_o", order).repartitionByRange(F.col("_o").asc_nulls_last()).withColumn("_p", F.spark_partition_id()), "running")
+    each = dealt.groupBy(F.col("_p").alias("_q")).agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    # A row per range: as many as there are shuffle partitions.
+    upto = Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    starts = each.select("_q", *[F.coalesce(F.sum(f"_{k}").over(upto), F.lit(0)).alias(f"_{k}") for k in sums])
+    inside = Window.partitionBy("_p").orderBy(F.col("_o").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{k}") for k, c in sums.items()])
+    return summed.join(F.broadcast(starts), F.col("_p") == F.col("_q")).select(*rows.columns, *[(F.col(f"_{k}") + F.col(f"_in_{k}")).alias(k) for k in sums])
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
-    """sources: source, source_size. Adds target: the share by weight, with the stop at ``most`` times the size applied."""
-    rows = materialize(ranked(sources.select("source")).withColumnRenamed("source", "_s").join(sources, F.col("_s").eqNullSafe(F.col("source"))).drop("_s"), "sources")
+    """sources: source (distinct, null too), source_size. Adds target: the share by weight, with the stop at ``most`` times the size.
+
+    With sources in order of stop over weight, the level at which target = min(stop, weight * level) adds up to the total is the
+    greatest of (total - stops before) / (weights from here on). An empty table, or one without any words, gives targets of 0.
+    """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    rows = rows.withColumn("w", weight).withColumn("stop", F.col("source_size") * float(most))
-    total = float(rows.agg(F.sum("source_size")).first()[0] or 0)
-    level, free = 0.0, None
-    while True:
-        # Who is above the level stops for good: the level only rises.
-        full = F.col("stop") <= F.col("w") * level if free is not None else F.lit(False)
-        row = rows.agg(F.sum(F.when(full, F.col("stop"))).alias("held"), F.sum(F.when(~full, F.col("w"))).alias("w"), F.count(F.when(~full, 1)).alias("n")).first()
-        if row["n"] == free or not row["w"]:
-            break
-        level, free = (total - (row["held"] or 0.0)) / row["w"], row["n"]
-    return rows.select("source", "source_size", F.least("stop", F.col("w") * level).alias("target"))
+    rows = running(sources.select("source", "source_size"), F.col("source"), rank=F.lit(1))
+    rows = materialize(rows.select("source", "source_size", weight.alias("w"), (F.col("source_size") * float(most)).alias("stop")), "weights")
+    whole = rows.agg(F.sum("source_size").alias("total"), F.sum("w").alias("w")).first()
+    before = running(rows, F.col("stop") / F.col("w"), stops=F.col("stop"), ws=F.col("w"))
+    level = before.agg(F.max((float(whole["total"] or 0) - F.col("stops")) / (float(whole["w"] or 0) - F.col("ws")))).first()[0] or 0.0
+    return rows.select("source", "source_size", F.least("stop", F.col("w") * max(0.0, level)).alias("target"))
 
 
 def _uniform(*of: str | Column) -> Column:
@@ -60,117 +67,101 @@ def _uniform(*of: str | Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*of), 11) + 0.5) / float(1 << 53)
 
 
-def _chances(sizes: DataFrame, sources: DataFrame, most: float, seed: int) -> DataFrame:
-    """Adds certain copies, chance of one more and rank (0 to 1, lower first) to rows of doc_id, source, size."""
-    log = F.log1p("size")
-    by_source = sizes.groupBy("source").agg(
-        F.sum("size").alias("own"), F.try_divide(F.sum(F.col("size") * log), F.sum("size")).alias("mean"), F.max(log).alias("high"), F.min(log).alias("low")
-    )
-    by_source = by_source.withColumnRenamed("source", "_s").join(sources, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
-    factor = F.when(F.col("own") > 0, F.col("target") / F.col("own")).otherwise(0.0)
-    by_source = by_source.select("source", "source_size", "target", "mean", F.greatest(F.col("high") - F.col("mean"), F.col("mean") - F.col("low")).alias("width"), factor.alias("factor"))
-    salted = by_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "_s")
-    salt = F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS)).cast("int")
-    rows = sizes.join(salted, F.col("_s").eqNullSafe(F.col("source")) & (F.col("salt") == salt), "left").drop("_s", "salt")
-    reach = 0.5 * F.least("factor", F.greatest(F.lit(most) - F.col("factor"), F.lit(0.0)))
-    tilt = F.when(F.col("width") > 1e-12, (log - F.col("mean")) / F.col("width")).otherwise(0.0)
-    copies = F.greatest(F.lit(0.0), F.least(F.lit(most), F.col("factor") + reach * tilt))
-    u = _uniform(F.lit(seed), "doc_id", "size")
-    rows = rows.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0.0)).withColumn("certain", F.floor(F.col("copies") + 1e-9))
-    rows = rows.withColumn("chance", F.greatest(F.col("copies") - F.col("certain"), F.lit(0.0)))
-    # odds / (1 + odds), where odds are u / (1 - u) over chance / (1 - chance)
-    a, b = u * (1 - F.col("chance")), (1 - u) * F.col("chance")
-    return rows.withColumn("rank", F.when(F.col("chance") > 1e-9, a / (a + b))).drop("mean", "width", "factor", "copies")
-
-
-def _ends(drawn: DataFrame, left: DataFrame) -> DataFrame:
-    """For each source, where in rank its sample ends; a source that is not in the result takes all its ranks.
-
-    drawn: source, size, rank, doc_id. left: source, words still to be taken. The cell that holds the end is spread over finer
-    cells; of the last cell's rows, the running sum decides that reaches furthest without passing what is left; rest is what it falls short.
-    """
-    left = left.select(F.col("source").alias("_s"), "left", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    for _ in range(2):
-        inside = drawn.join(left, F.col("_s").eqNullSafe(F.col("source"))).filter("rank >= low and rank < high")
-        cell = F.least(F.floor((F.col("rank") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS), F.lit(CELLS - 1))
-        sums = inside.withColumn("cell", cell).groupBy("_s", "left", "low", "high", "cell").agg(F.sum("size").alias("words"))
-        run = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("_s").orderBy("cell")))
-        # The first cell in which the running sum reaches what is left; without one, all are in.
-        hit = run.filter("upto >= left").groupBy("_s", "left", "low", "high").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("x"))
-        step = (F.col("high") - F.col("low")) / CELLS
-        new = hit.select("_s", (F.col("left") - F.col("x.before")).alias("left"), (F.col("low") + F.col("x.cell") * step).alias("low"), (F.col("low") + (F.col("x.cell") + 1) * step).alias("high"))
-        left = materialize(new, "cells")
-    inside = drawn.join(left, F.col("_s").eqNullSafe(F.col("source"))).filter("rank >= low and rank < high")
-    upto = F.sum("size").over(Window.partitionBy("_s").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    run = inside.withColumn("upto", upto).withColumn("over", F.abs(F.col("upto") - F.col("left")))
-    within = F.max(F.when(F.col("upto") <= F.col("left"), F.struct("upto", "rank")))
-    best = run.groupBy("_s").agg(within.alias("x"), F.first("left").alias("left"), F.first("low").alias("low"))
-    # Ranks below the last cell are in, and those in it up to end, if there is one.
-    return best.select(F.col("_s").alias("source"), "low", F.col("x.rank").alias("end"), (F.col("left") - F.coalesce("x.upto", F.lit(0))).alias("rest"))
-
-
-def _fills(drawn: DataFrame, ends: DataFrame, times: int) -> DataFrame:
-    """(source, doc_id, rank, size): up to ``times`` documents a source that come after its sample's end and fit what is left best.
-
-    In each turn the document whose size is nearest to what is left is taken, the first by rank on ties; only the last turn may go
-    past the target, if that brings the sum nearer.
+def _class(size: Column) -> Column:
+    """The class of a size; -1 for 0."""
+    return F.when(size > 0, F.floor(F.log2(size) * CLASSES)).otherwise(F.lit(-1)).cast("int")
+
+
+def _numbers(strata: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """strata: source, class, n, words, squares (of sizes). wanted: source, source_size, target.
+
+    Gives source, class, source_size, target, certain (copies of every document), n and m (documents of the class that get one more).
     """
-    state = ends.select(F.col("source").alias("_s"), "low", "end", "rest")
-    picks = None
-    for turn in range(times):
-        after = F.coalesce(F.col("rank") > F.col("end"), F.col("rank") >= F.col("low"))
-        miss = F.abs(F.col("rest") - F.col("size"))
-        rows = drawn.join(state, F.col("_s").eqNullSafe(F.col("source"))).filter(after & (miss < F.col("rest")) & ((F.col("size") <= F.col("rest")) | F.lit(turn + 1 == times)))
-        if picks is not None:
-            done = picks.select(F.col("doc_id").alias("_d"), F.col("rank").alias("_r"))
-            rows = rows.join(done, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_r") == F.col("rank")), "left_anti")
-        one = rows.groupBy("_s").agg(F.min(F.struct(miss.alias("miss"), "rank", "doc_id", "size")).alias("x"))
-        one = materialize(one.select("_s", "x.rank", "x.doc_id", "x.size"), "fills")
-        step = one.select(F.col("_s").alias("source"), "doc_id", "rank", "size")
-        picks = step if picks is None else picks.unionByName(step)
-        taken = one.select(F.col("_s").alias("_t"), F.col("size").alias("_size"))
-        state = state.join(taken, F.col("_t").eqNullSafe(F.col("_s"))).select("_s", "low", "end", (F.col("rest") - F.col("_size")).alias("rest")).filter("rest > 0")
-    return picks
-
-
-#: Documents by which a sample may be rounded towards its target after its end. Few, so that chances stay as they are.
-FILLS = 5
+    source = wanted.select(F.col("source").alias("_s"), "source_size", "target")
+    factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = strata.join(source, F.col("_s").eqNullSafe(F.col("source"))).withColumn("certain", F.floor(factor + 1e-9).cast("int"))
+    u = _uniform(F.lit(seed), F.lit("class"), "source", "class")
+    one = F.struct("class", "n", "words", "squares", u.alias("u"))
+    # At most a row per class of one source, about CLASSES for each doubling of size.
+    each = rows.groupBy("source", "source_size", "target", "certain").agg(F.reverse(F.array_sort(F.collect_list(one))).alias("classes"))
+    fold = """aggregate(filter(classes, x -> x.class >= 0),
+      named_struct('left', greatest(target - certain * source_size, 0D), 'pool', cast(source_size as double), 'out', cast(array() as array<struct<class: int, m: bigint>>)),
+      (acc, x) -> transform(array(named_struct('share', least(1D, greatest(0D, try_divide(acc.left, acc.pool))), 'below', acc.pool - x.words)),
+        y -> transform(array(named_struct('low', least(x.n, floor(x.n * y.share + 1e-9)), 'at', x.n * y.share,
+            'each', x.words / x.n + least(1D, coalesce(try_divide(1 - y.share, y.share), 1D)) * (x.squares / x.words - x.words / x.n))),
+          z -> transform(array(named_struct('a', acc.left - z.low * z.each, 'b', acc.left - least(x.n, z.low + 1) * z.each)),
+            v -> transform(array(case
+                when v.a between 0 and y.below and v.b between 0 and y.below then if(x.u < z.at - z.low, least(x.n, z.low + 1), z.low)
+                when greatest(-v.a, v.a - y.below, 0D) <= greatest(-v.b, v.b - y.below, 0D) then z.low
+                else least(x.n, z.low + 1) end),
+              m -> named_struct('left', acc.left - m * z.each, 'pool', y.below, 'out', concat(acc.out, array(named_struct('class', x.class, 'm', m)))))[0])[0])[0])[0],
+      acc -> acc.out)"""
+    picks = each.select("source", F.explode(F.expr(fold)).alias("x")).select(F.col("source").alias("_s"), F.col("x.class").alias("_c"), "x.m")
+    rows = rows.drop("_s").join(picks, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_c") == F.col("class")), "left")
+    return rows.select("source", "class", "source_size", "target", "certain", "n", F.coalesce("m", F.lit(0)).alias("m"))
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+def _plan(sized: DataFrame, weights: tuple[float, ...], most: int, seed: int) -> DataFrame:
+    """The numbers of every source and class, as a table. sized: source, size."""
+    size = F.col("size").cast("double")
+    strata = sized.groupBy("source", _class(F.col("size")).alias("class")).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.sum(size * size).alias("squares"))
+    strata = materialize(strata, "strata")
+    wanted = targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), weights, float(most))
+    return materialize(_numbers(strata, wanted, seed), "numbers")
+
+
+def _taken(sized: DataFrame, numbers: DataFrame, most: int, seed: int, *ties: str) -> DataFrame:
+    """sized (source, size, key and more) with source_size, target and copies; ``ties`` order rows of one key."""
+    few = numbers.select(F.col("source").alias("_s"), F.col("class").alias("_c"), "source_size", "target", "certain", F.col("n").alias("_n"), F.col("m").alias("_m"))
+    rows = sized.withColumn("_class", _class(F.col("size")))
+    rows = rows.join(few, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_c") == F.col("_class")))
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed), F.lit("cell"), "key"), F.ceil(F.col("_n") / CELL_ROWS)))
+    group = ("source", "_class", "_cell")
+    cell = Window.partitionBy(*group)
+    rows = rows.withColumn("_k", F.count("*").over(cell)).withColumn("_mean", F.sum("size").over(cell) / F.col("_k"))
+    # A class in one cell gives just its number; of several cells each rounds its share by a draw of its own.
+    share = F.floor(F.col("_k") * F.col("_m") / F.col("_n") + _uniform(F.lit(seed), F.lit("round"), *group))
+    rows = rows.withColumn("_give", F.when(F.col("_k") == F.col("_n"), F.col("_m")).otherwise(F.least(share, "_k")))
+    p = F.col("_give") / F.col("_k")
+    tilt = F.least(F.lit(1.0), F.coalesce(F.try_divide(1 - p, p), F.lit(1.0)))
+    chance = p * (1 + tilt * F.coalesce(F.try_divide(F.col("size"), F.col("_mean")) - 1, F.lit(0.0)))
+    u = _uniform(F.lit(seed), F.lit("rank"), "key")
+    rank = F.try_divide(u * (1 - chance), (1 - u) * chance)
+    place = F.row_number().over(cell.orderBy(rank.asc_nulls_last(), "key", *ties))
+    copies = F.least(F.lit(most), F.col("certain") + (place <= F.col("_give")).cast("int"))
+    copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long")
+    return rows.withColumn("copies", copies).drop("_s", "_c", "_n", "_m", "_class", "_cell", "_k", "_mean", "_give", "certain")
+
+
+def _sized(docs: DataFrame, size: Column, *more: Column) -> DataFrame:
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("key"), *more)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 17, sizes: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of ``docs``.
 
     Sources are ordered by code point, null last, and weigh ``weights``, repeating. ``size`` is the number of words (0 for null).
-    Texts without words are never taken. Rows that repeat a doc_id and size share a rank and are in or out together. Reruns agree,
-    on any partitioning. Other columns are not looked at; an empty table gives an empty result.
+    Texts without words are never taken. Rows that repeat a doc_id and text are documents of their own, with one random number in
+    common, and null ids are ids like others. Reruns agree, on any partitioning. Other columns are not looked at; an empty table
+    gives an empty result.
+    """
+    sized = materialize(_sized(docs, sizes if sizes is not None else _size()), "sizes")
+    rows = _taken(sized, _plan(sized, weights, most, seed), most, seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
+    """``docs`` with each row as often as :func:`mix` takes it; rows that it leaves out are gone.
+
+    Texts move once, to their cells. Rows equal in doc_id and text are told apart by a hash of all columns; rows equal in all are alike.
     """
-    size = sizes if sizes is not None else F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    narrow = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
-    sources = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, float(most))
-    drawn = materialize(_chances(narrow, sources, float(most), seed), "chances")
-    certain = drawn.groupBy("source", "target").agg(F.sum(F.col("certain") * F.col("size")).alias("words"))
-    left = certain.select("source", (F.col("target") - F.col("words")).alias("left")).filter("left > 0")
-    ranked_rows = drawn.filter("rank is not null").select("source", "size", "rank", "doc_id")
-    ends = materialize(_ends(ranked_rows, left), "ends")
-    fills = _fills(ranked_rows, ends, FILLS).select(F.col("doc_id").alias("_fd"), F.col("rank").alias("_fr"), F.lit(True).alias("_fill")).distinct()
-    none = left.select(F.col("source").alias("_l"), F.lit(True).alias("_some"))
-    salted = none.join(ends, F.col("_l").eqNullSafe(F.col("source")), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("source")
-    salt = F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS)).cast("int")
-    rows = drawn.join(salted, F.col("_l").eqNullSafe(F.col("source")) & (F.col("_salt") == salt), "left")
-    rows = rows.join(fills, F.col("_fd").eqNullSafe(F.col("doc_id")) & (F.col("_fr") == F.col("rank")), "left")
-    more = F.col("_some") & F.col("rank").isNotNull() & (F.col("low").isNull() | (F.col("rank") < F.col("low")) | F.coalesce(F.col("rank") <= F.col("end"), F.lit(False)) | F.col("_fill").isNotNull())
-    copies = F.least(F.lit(most), F.col("certain") + F.coalesce(more, F.lit(False)).cast("int")).cast("long")
-    out = rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
-    release(narrow)
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows that it leaves out are gone."""
-    # A row's copies follow from doc_id, source and size, so the narrow result has one such row for all that share them. Whole rows
-    # travel as one struct, whose fields' names clash with nothing.
-    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    taken = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.max("copies").alias("_c"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), size.alias("_size"))
-    same = F.col("_row.doc_id").eqNullSafe(F.col("_d")) & F.col("_row.source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    return whole.join(taken, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).select("_row.*")
+    # Whole rows travel as one struct, whose fields' names clash with nothing.
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    rows = _sized(docs, _size(), F.xxhash64(*plain).alias("_tie"), F.struct(*plain).alias("_row"))
+    numbers = _plan(rows.select("source", "size"), weights, most, seed)
+    taken = _taken(rows, numbers, most, seed, "_tie").filter("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -37,7 +37,7 @@ def check(rows, docs, tight=True):
         assert r["target"] == pytest.approx(want[s]) and 0 <= r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
         taken[s] += r["taken"]
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= largest[s], (s, taken[s], want[s])
+        assert abs(taken[s] - want[s]) <= max(largest[s], 0 if tight else 0.02 * want[s]), (s, taken[s], want[s])
     assert sum(want.values()) == pytest.approx(sum(sizes.values()))
 
 
@@ -54,12 +54,50 @@ def test_query_reaches_its_targets_and_reruns_agree(spark):
     assert {(r["doc_id"], r["taken"]) for r in rows} == {(r["doc_id"], r["taken"]) for r in again}
 
 
-def test_longer_documents_are_likelier(spark):
-    docs = [(i, "w " * (1 if i % 2 else 40), "ab"[i % 3 == 0]) for i in range(6000)]
-    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
-    share = lambda size: sum(r["taken"] for r in rows if r["size"] == size and r["source"] == "a") / sum(r["size"] for r in rows if r["size"] == size and r["source"] == "a")
-    assert share(40) > share(1)
+def test_every_document_has_its_chance(spark):
+    """Sources with the same sizes are trials of the same draw: over them, mean copies are the source's factor, whatever the size."""
+    sizes = [1] * 20 + [2] * 10 + [3] * 8 + [5] * 6 + [8] * 5 + [13] * 4 + [21] * 3 + [34, 55, 55, 60, 62, 64]
+    docs = [(s * 100 + i, "w " * n, f"{s:04d}") for s in range(600) for i, n in enumerate(sizes)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(8)).collect()
     check(rows, docs)
+    copies = defaultdict(list)
+    for r in rows:
+        copies[int(r["source"]) % 3, r["doc_id"] % 100].append(r["copies"])
+    for (k, i), got in copies.items():
+        factor = (15 / 8, 6 / 8, 3 / 8)[k]
+        assert len(got) == 200 and {*got} <= {int(factor), int(factor) + 1}
+        # Five standard errors; inside a class of many sizes chances grow with size, and the smallest make up for what rounding leaves.
+        assert abs(sum(got) / 200 - factor) < 0.17 + 0.05 * (sizes[i] == 1), (k, i, sizes[i], sum(got) / 200)
+
+
+def test_a_cell_gives_a_fixed_number_by_pareto_order(spark):
+    """One class, one cell: the number taken is the plan's, and who is taken are the first by odds over the odds of their chance."""
+    docs = [(i, "w " * (100 + i % 9), "ab"[i % 4 == 0]) for i in range(800)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    sized = mixing._sized(frame, mixing._size())
+    numbers = {(r["source"], r["class"]): r for r in mixing._plan(sized, (5, 2, 1), 3, 17).collect()}
+    uniform = {r["doc_id"]: r["u"] for r in sized.withColumn("u", mixing._uniform(mixing.F.lit(17), mixing.F.lit("rank"), "key")).collect()}
+    key = {r["doc_id"]: r["key"] for r in sized.collect()}
+    rows = defaultdict(list)
+    for r in mixing.mix(frame).withColumn("class", mixing._class(mixing.F.col("size"))).collect():
+        rows[r["source"], r["class"]].append(r)
+    assert sum(0 < numbers[k]["m"] < len(v) for k, v in rows.items()) >= 2
+    for k, v in rows.items():
+        want, n = numbers[k], len(v)
+        p, mean = want["m"] / n, sum(r["size"] for r in v) / n
+        chance = {r["doc_id"]: p * (1 + min(1, (1 - p) / p if p else 1) * (r["size"] / mean - 1)) for r in v}
+        assert want["n"] == n and abs(sum(chance.values()) - want["m"]) < 1e-9 and all(0 <= c <= 1 for c in chance.values())
+        odds = lambda d: uniform[d] * (1 - chance[d]) / ((1 - uniform[d]) * chance[d]) if chance[d] else 9e9  # noqa: B023, E731
+        first = {r["doc_id"] for r in sorted(v, key=lambda r: (odds(r["doc_id"]), key[r["doc_id"]]))[: want["m"]]}
+        assert {r["doc_id"] for r in v if r["copies"] > want["certain"]} == first
+
+
+def test_large_classes_are_split_into_cells(spark, monkeypatch):
+    docs = [(i, "w " * (1 + i % 3), "abc"[i % 3]) for i in range(9000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "CELL_ROWS", 100)
+    rows = mixing.mix(frame).collect()
+    check(rows, docs, tight=False)
 
 
 def test_edge_cases(spark):
