@@ -43,8 +43,11 @@ def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (seen["n"], seen["s"])
 
 
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    """Components of a table that one task can hold, by union-find."""
+def _forest(edges: DataFrame, held: int = 0) -> DataFrame:
+    """Each partition's edges as stars, by union-find: an edge from every node to the least that the partition's edges reach from it.
+
+    With ``held``, a partition passes on what it has whenever it holds so many nodes, so memory is bounded and stars may still touch.
+    """
     kind = edges.schema["u"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,17 +60,23 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
                 x = p
             return x
 
+        def stars() -> pa.RecordBatch:
+            nodes = list(parent)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, schema), pa.array([root(x) for x in nodes], schema)], ["u", "v"])
+
         for batch in batches:
             schema = batch.schema.field(0).type
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
+            if held and len(parent) > held:
+                yield stars()
+                parent.clear()
         if parent:
-            nodes = list(parent)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, schema), pa.array([root(x) for x in nodes], schema)], ["node", "component"])
+            yield stars()
 
-    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+    return edges.mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, one_task_rows: int = 0) -> DataFrame:
@@ -75,11 +84,15 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
 
     Nulls and self loops are ignored, repeated edges count once, and any orderable type will do for nodes. An empty edge
     table gives an empty result. Raises if ``max_rounds`` do not suffice, which paths of fewer than 2**60 nodes never reach.
-    Up to ``one_task_rows`` distinct edges are joined in one Python task instead, without the rounds' fixed cost; the result is the same.
+    With ``one_task_rows`` Python helps: partitions first contract their edges to stars, and if no more than so many edges are left,
+    one task joins them, without the rounds' fixed cost. The result is the same.
     """
-    now, mark = _write(_clean(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))))
+    pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
+    if one_task_rows:
+        pairs = _forest(pairs.filter("u is not null and v is not null and u <> v"), one_task_rows)
+    now, mark = _write(_clean(pairs))
     if mark[0] <= one_task_rows:
-        found = materialize(_in_one_task(now), "components")
+        found = materialize(_forest(now.coalesce(1)).select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
         release(now)
         return found
     for _ in range(max_rounds):
