@@ -267,7 +267,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: str = "0.8",
     heads = materialize(_first_keys(docs, size, t), "heads")
     known = heads.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head")), "classes")
-    parts = materialize(connected_components(_to_least(classes.select("rep", F.explode("head").alias("token")))), "parts")
+    parts = materialize(connected_components(_to_least(classes.select("rep", F.explode("head").alias("token"))), one_task_rows=FEW_EDGES), "parts")
 
     # A small table of members goes to the texts, a large one meets them by a shuffle.
     near = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
@@ -281,7 +281,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: str = "0.8",
     members = materialize(texts.mapInArrow(to_sets, "component long, id long, shingles binary"), "sets")
     large = members.groupBy("component").agg(F.sum(F.length("shingles")).alias("bytes")).filter(F.col("bytes") > 8 * block_shingles)
     if not large.isEmpty():
-        finer = connected_components(_to_least(_rarest(members.join(large.select("component"), "component", "left_semi"), t)))
+        finer = connected_components(_to_least(_rarest(members.join(large.select("component"), "component", "left_semi"), t)), one_task_rows=FEW_EDGES)
         kept = members.join(large, "component", "left_anti").unionByName(members.drop("component").join(finer.withColumnRenamed("node", "id"), "id").select("component", "id", "shingles"))
         members, before = materialize(kept, "sets"), members
         release(before)

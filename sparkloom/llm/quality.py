@@ -6,8 +6,8 @@ each task can send every distinct one it holds to the counts, which words are no
 1. Each task sends the distinct n-grams of its documents, with how often its trusted documents hold them.
 2. Counts are summed per n-gram, sharded by n-gram; lower orders count distinct left neighbours; contexts count how many
    followers have count one, two, or more. Discounts come from the counts of counts of each order.
-3. Probabilities are computed for every n-gram of the corpus, order by order, as joins of the n-grams with their counts, their
-   contexts' sums and the probability one order down. Nothing here is collected but four numbers per order.
+3. Probabilities are computed for every n-gram of the corpus, order by order, from the n-grams' counts, their contexts' sums and
+   the probability one order down. Nothing here is collected but five numbers per order.
 4. Documents get the mean negative log probability of their characters (log perplexity). If the scored n-grams are few enough
    (``broadcast_ngrams``, checked by a count), they go to every task as one table and texts stay where they are. Otherwise
    texts and the n-grams that each block of documents needs meet by block; results are the same.
@@ -17,16 +17,17 @@ each task can send every distinct one it holds to the counts, which words are no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _words
-from sparkloom.storage import materialize, release
+from sparkloom.storage import materialize, materialize_observed, release
 
 #: Stands before each text order - 1 times, so that its first characters have a context too.
 PAD = "\x02"
@@ -110,44 +111,54 @@ def _taken(c: Column, d: tuple[float, float, float]):
     return F.when(c == 1, d[0]).when(c == 2, d[1]).when(c >= 3, d[2]).otherwise(0.0)
 
 
-def score_grams(grams: DataFrame, order: int) -> DataFrame:
-    """(gram, logp) for every row of ``grams`` (gram, count): the natural log of the last character's probability."""
-    tables = {order: grams.filter("count > 0").select("gram", "count")}
-    for n in range(order - 1, 0, -1):
-        tables[n] = materialize(tables[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("count")), f"grams{n}")
-    wanted = {order: grams.select("gram")}
+def _counts_of() -> dict[str, Column]:
+    """What the discounts of an order need: how many of its n-grams have count one, two, three and four, and how many have any."""
+    c = F.col("count")
+    return {f"n{k}": F.sum((c == k).cast("long")) for k in (1, 2, 3, 4)} | {"known": F.sum((c > 0).cast("long"))}
+
+
+def score_grams(grams: DataFrame, order: int, seen: dict) -> DataFrame:
+    """(gram, logp) for every row of ``grams`` (gram, count): the natural log of the last character's probability. The result is a table.
+
+    ``seen``: :func:`_counts_of` of ``grams``. Each order is one grouping of the order above: every n-gram, with the number of distinct left
+    neighbours that it has in trusted text (0 where it has none). Contexts are summed by a window, whose partitions hold a row per
+    character that follows, and probabilities one order down come by a join.
+    """
+    tables, counts = {order: grams}, {order: seen}
     for n in range(order - 1, 0, -1):
-        wanted[n] = wanted[n + 1].select(F.substring("gram", 2, n).alias("gram")).distinct()
-    scored, done = None, []
+        each = tables[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.sum((F.col("count") > 0).cast("long")).alias("count"))
+        tables[n], counts[n] = materialize_observed(each, f"grams{n}", **_counts_of())
+    scored = None
     for n in range(1, order + 1):
-        c = F.col("count")
-        ones = [F.sum((c == k).cast("long")) for k in (1, 2, 3, 4)]
-        of_order = [x or 0 for x in tables[n].agg(*ones).first()]
-        d = discounts(*of_order)
-        context = tables[n].groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("count").alias("total"), F.sum(_taken(c, d)).alias("given"))
-        rows = wanted[n].join(tables[n], "gram", "left").withColumn("context", F.substring("gram", 1, n - 1)).join(context, "context", "left")
+        c, of = F.col("count"), {k: v or 0 for k, v in counts[n].items()}
+        d = discounts(of["n1"], of["n2"], of["n3"], of["n4"])
+        context = Window.partitionBy(F.substring("gram", 1, n - 1))
+        rows = tables[n].select("gram", "count", F.sum("count").over(context).alias("total"), F.sum(_taken(c, d)).over(context).alias("given"))
         if n == 1:
-            size = tables[1].count() + 1  # and one for every character that trusted texts don't have
-            rows = rows.withColumn("lower", F.lit(1.0 / size))
+            rows = rows.withColumn("lower", F.lit(1.0 / (of["known"] + 1)))  # and one for every character that trusted texts don't have
         else:
-            below = scored.select(F.col("gram").alias("tail"), F.col("p").alias("lower"))
-            rows = rows.withColumn("tail", F.substring("gram", 2, n - 1)).join(below, "tail")
-        own = F.greatest(F.coalesce(c, F.lit(0)) - _taken(F.coalesce(c, F.lit(0)), d), F.lit(0.0))
-        p = F.when(F.col("total").isNull(), F.col("lower")).otherwise((own + F.col("given") * F.col("lower")) / F.col("total"))
-        scored = materialize(rows.select("gram", p.alias("p")), f"scored{n}")
-        done.append(scored)
-    release(*(tables[n] for n in range(1, order)), *done[:-1])
-    return scored.select("gram", F.log("p").alias("logp"))
+            rows = rows.join(scored.select(F.col("gram").alias("tail"), F.col("p").alias("lower")), F.substring("gram", 2, n - 1) == F.col("tail"))
+        own = F.greatest(c - _taken(c, d), F.lit(0.0))
+        p = F.when(F.col("total") == 0, F.col("lower")).otherwise((own + F.col("given") * F.col("lower")) / F.col("total"))
+        scored = rows.select("gram", p.alias("p"))
+    out = materialize(scored.select("gram", F.log("p").alias("logp")), "scored")
+    release(*tables.values())
+    return out
+
+
+def _gram_hashes(grams: list[str], order: int) -> np.ndarray:
+    """The hash of each n-gram, as :func:`_grams` has it."""
+    a = np.frombuffer("".join(grams).encode("utf-32-le", "replace"), dtype=np.uint32).reshape(-1, order).astype(np.uint64) + np.uint64(1)
+    h = a[:, 0].copy()
+    for n in range(1, order):
+        h = h * _K + a[:, n]
+    return h
 
 
 class Scores:
     """Scored n-grams by hash: a table with a slot for most, and a sorted rest for those whose slot is taken."""
 
-    def __init__(self, grams: list[str], logp: np.ndarray, order: int):
-        a = np.frombuffer("".join(grams).encode("utf-32-le", "replace"), dtype=np.uint32).reshape(-1, order).astype(np.uint64) + np.uint64(1)
-        h = a[:, 0].copy()
-        for n in range(1, order):
-            h = h * _K + a[:, n]
+    def __init__(self, h: np.ndarray, logp: np.ndarray):
         self.shift = np.uint64(64 - max(10, int(len(h) * 4).bit_length()))
         self.key = np.zeros(1 << int(np.uint64(64) - self.shift), dtype=np.uint64)
         self.value = np.zeros(len(self.key), dtype=np.float32)
@@ -181,55 +192,87 @@ def _means(texts: list[str], scores: Scores, order: int) -> tuple[np.ndarray, np
     return n, np.where(n > 0, -sums / np.maximum(n, 1), np.nan)
 
 
-def log_perplexity(docs: DataFrame, labels: DataFrame, order: int = 5, broadcast_ngrams: int = 1_000_000, broadcast_ids: int = 2_000_000, block_chars: int = 32_000_000) -> DataFrame:
-    """doc_id, lang, trusted, n_chars and log_ppl for every row of ``docs``; trusted are those that ``labels`` gives quality 1.
-
-    A text without characters has a null log_ppl. Without any trusted text all n-grams are equally unknown.
-    """
+def _log_perplexity(docs: DataFrame, labels: DataFrame, order: int = 5, broadcast_ngrams: int = 1_000_000, broadcast_ids: int = 2_000_000, block_chars: int = 32_000_000) -> tuple[DataFrame, Callable]:
+    """The rows of :func:`log_perplexity`, still to be computed, and what to call once they are."""
     spark = _words.small_batches(docs)
     sure = labels.filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     if sure.count() <= broadcast_ids:
         sure = F.broadcast(sure)
     joined = docs.select("doc_id", "lang", "text").join(sure, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    grams = materialize(_count(joined, order), "grams")
-    scored = score_grams(grams, order)
+    grams, seen = materialize_observed(_count(joined, order), "grams", n=F.count(F.lit(1)), **_counts_of())
+    scored = score_grams(grams, order, seen)
     schema = "doc_id long, lang string, trusted boolean, n_chars long, log_ppl double"
     names = ["doc_id", "lang", "trusted", "n_chars", "log_ppl"]
+    arrow = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64()), strict=True)))
 
     def rows(ids: list, means: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         means = pa.array(means[0], pa.int64()), pa.Array.from_pandas(means[1], type=pa.float64())
-        return pa.RecordBatch.from_arrays([*ids, *means], names)
+        return pa.RecordBatch.from_arrays([*ids, *means], schema=arrow)
 
-    if grams.count() <= broadcast_ngrams:
-        table = scored.toArrow()
-        held = spark.sparkContext.broadcast(Scores(table.column(0).to_pylist(), table.column(1).to_numpy(), order))
+    if seen["n"] <= broadcast_ngrams:
+        # Twelve bytes an n-gram, hashed by the executors; each worker makes its own table of them, once.
+        packed = scored.mapInArrow(lambda batches: _packed(batches, order), "h binary, logp binary").toArrow()
+        h, logp = (np.frombuffer(b"".join(packed.column(k).to_pylist()), dtype=kind) for k, kind in ((0, np.uint64), (1, np.float32)))
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, h, logp))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scores = _table_of(*held.value)
             for batch, texts in _words.chunks(batches, 3):
-                yield rows(batch.columns[:3], _means(texts, held.value, order))
+                yield rows(batch.columns[:3], _means(texts, scores, order))
 
-        return joined.select("doc_id", "lang", "trusted", "text").mapInArrow(run, schema)
+        return joined.select("doc_id", "lang", "trusted", "text").mapInArrow(run, schema), lambda: (release(scored), held.destroy())
 
     chars = joined.agg(F.sum(F.length("text"))).first()[0] or 0
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-chars // block_chars))))
     texts = joined.withColumn("block", block)
 
-    def needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for b, part in pdf.groupby("block"):
-                text, h, at = _grams([t or "" for t in part["text"]], order)
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text in _words.chunks(batches):
+            where = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            for b in np.unique(where).tolist():
+                joined, h, at = _grams([t for t, k in zip(text, where.tolist(), strict=True) if k == b], order)
                 place = np.flatnonzero(_inside(at, order, len(h)))
                 first = place[np.unique(h[place], return_index=True)[1]]
-                yield pd.DataFrame({"block": b, "gram": pd.Series([text[i : i + order] for i in first.tolist()], dtype=object)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), b)), pa.array([joined[i : i + order] for i in first.tolist()], pa.string())], ["block", "gram"])
 
-    wanted = texts.select("block", "text").mapInPandas(needs, "block long, gram string").distinct().join(scored, "gram")
+    wanted = texts.select("block", "text").mapInArrow(needs, "block long, gram string").distinct().join(scored, "gram")
 
-    def meet(part: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
-        scores = Scores(grams["gram"].tolist(), grams["logp"].to_numpy(), order)
-        n, means = _means([t or "" for t in part["text"]], scores, order)
-        return part[["doc_id", "lang", "trusted"]].astype({"lang": object}).assign(n_chars=n, log_ppl=means)
+    def meet(part: pa.Table, grams: pa.Table) -> pa.Table:
+        scores = Scores(_gram_hashes(grams.column("gram").to_pylist(), order), grams.column("logp").to_numpy())
+        part = part.select(["doc_id", "lang", "trusted", "text"])
+        out = [rows(batch.columns[:3], _means(text, scores, order)) for batch, text in _words.chunks(iter(part.to_batches()), 3)]
+        return pa.Table.from_batches(out, arrow)
 
-    return texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(meet, schema)
+    return texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(meet, schema), lambda: release(scored)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            h = _gram_hashes(batch.column(0).to_pylist(), order)
+            yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()], pa.binary()), pa.array([batch.column(1).to_numpy().astype(np.float32).tobytes()], pa.binary())], ["h", "logp"])
+
+
+_tables: dict[str, Scores] = {}
+
+
+def _table_of(model: str, h: np.ndarray, logp: np.ndarray) -> Scores:
+    """The scores of a model, kept in this worker until another model comes."""
+    if model not in _tables:
+        _tables.clear()
+        _tables[model] = Scores(h, logp)
+    return _tables[model]
+
+
+def log_perplexity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, lang, trusted, n_chars and log_ppl for every row of ``docs``; trusted are those that ``labels`` gives quality 1.
+
+    A text without characters has a null log_ppl. Without any trusted text all n-grams are equally unknown. The result is a table.
+    """
+    found, done = _log_perplexity(docs, labels, **options)
+    found = materialize(found, "perplexity")
+    done()
+    return found
 
 
 def judge(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, slack: float = 0.1, fewest: int = 20, folds: int = 5, **options) -> DataFrame:
@@ -241,10 +284,12 @@ def judge(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float =
     language, use the limits over all. Without any, all are kept. Null, empty and blank texts have no perplexity and are rejected.
     """
     outside = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
-    scored = materialize(log_perplexity(docs, labels.filter(~outside), **options), "perplexity")
+    scored = log_perplexity(docs, labels.filter(~outside), **options)
     sure = scored.filter(outside & F.col("log_ppl").isNotNull()).join(labels.filter("quality = 1").filter(outside).select("doc_id").distinct(), "doc_id", "left_semi")
     # Short texts vary more, by the root of the length. What a limit holds is the text's excess over that.
-    ends = [F.percentile_approx(_centred(F.col("log_ppl"), -1), low, 10_000).alias("a"), F.percentile_approx(_centred(F.col("log_ppl"), 1), high, 10_000).alias("b")]
+    # Four decimals keep the distinct values few, however many documents there are, so that the quantiles are exact and reruns agree.
+    sure = sure.select("lang", *[F.round(_centred(F.col("log_ppl"), side), 4).alias(k) for side, k in ((-1, "_low"), (1, "_high"))])
+    ends = [F.expr(f"percentile_disc({share}) within group (order by {c})").alias(k) for c, share, k in (("_low", low, "a"), ("_high", high, "b"))]
     by_lang = sure.filter("lang is not null").groupBy("lang").agg(*ends, F.count("*").alias("n")).filter(F.col("n") >= fewest).drop("n")
     every = sure.agg(F.first(F.lit(1)).alias("one"), *[e.alias(k) for e, k in zip(ends, ("all_a", "all_b"), strict=True)]).drop("one")
     rows = scored.join(by_lang, "lang", "left").crossJoin(F.broadcast(every))
