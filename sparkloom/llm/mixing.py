@@ -9,7 +9,7 @@ the others by weight, until none is above. Sizes are words. A source's factor is
    what is left to take it from; its number is that share of its documents, rounded up or down by a random draw, so each
    document's chance of one more copy is the fraction. Where only one way of rounding can still reach the target with the
    smaller classes, it is that one.
-3. Large classes are split into cells of about CELL_ROWS documents by a hash, and each cell gives its share of the class's number.
+3. Large classes are split into cells of about CELL_ROWS documents or CELL_WORDS words by a hash, and each cell gives its share of the class's number.
 4. A cell of n documents that gives m is a Pareto sample of fixed size m: a document of size s in a cell of mean size a has the
    chance p (1 + t (s / a - 1)), with p = m / n and t the smaller of 1 and (1 - p) / p. These sum to m; up to p = 1/2 they are
    proportional to size. Documents are ranked by random odds over the odds of their chance, and the first m are in.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from sparkloom.storage import materialize, release
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Documents in a cell, about.
-CELL_ROWS = 8192
+#: Documents and words in a cell, about.
+CELL_ROWS, CELL_WORDS = 8192, 1 << 20
 #: Classes of size for each doubling; sizes in one differ by 9 % at most.
 CLASSES = 8
 
@@ -75,7 +75,7 @@ def _class(size: Column) -> Column:
 def _numbers(strata: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """strata: source, class, n, words, squares (of sizes). wanted: source, source_size, target.
 
-    Gives source, class, source_size, target, certain (copies of every document), n and m (documents of the class that get one more).
+    Gives source, class, source_size, target, certain (copies of every document), n, m (documents of the class that get one more), cells.
     """
     source = wanted.select(F.col("source").alias("_s"), "source_size", "target")
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -98,7 +98,8 @@ def _numbers(strata: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
       acc -> acc.out)"""
     picks = each.select("source", F.explode(F.expr(fold)).alias("x")).select(F.col("source").alias("_s"), F.col("x.class").alias("_c"), "x.m")
     rows = rows.drop("_s").join(picks, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_c") == F.col("class")), "left")
-    return rows.select("source", "class", "source_size", "target", "certain", "n", F.coalesce("m", F.lit(0)).alias("m"))
+    cells = F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("words") / CELL_WORDS)).alias("cells")
+    return rows.select("source", "class", "source_size", "target", "certain", "n", F.coalesce("m", F.lit(0)).alias("m"), cells)
 
 
 def _size() -> Column:
@@ -116,16 +117,16 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], most: int, seed: int) ->
 
 def _taken(sized: DataFrame, numbers: DataFrame, most: int, seed: int, *ties: str) -> DataFrame:
     """sized (source, size, key and more) with source_size, target and copies; ``ties`` order rows of one key."""
-    few = numbers.select(F.col("source").alias("_s"), F.col("class").alias("_c"), "source_size", "target", "certain", F.col("n").alias("_n"), F.col("m").alias("_m"))
+    few = numbers.select(F.col("source").alias("_s"), F.col("class").alias("_c"), "source_size", "target", "certain", F.col("n").alias("_n"), F.col("m").alias("_m"), "cells")
     rows = sized.withColumn("_class", _class(F.col("size")))
-    rows = rows.join(few, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_c") == F.col("_class")))
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed), F.lit("cell"), "key"), F.ceil(F.col("_n") / CELL_ROWS)))
+    rows = rows.join(few, F.col("_s").eqNullSafe(F.col("source")) & F.col("_c").eqNullSafe(F.col("_class")))
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed), F.lit("cell"), "key"), F.col("cells")))
     group = ("source", "_class", "_cell")
     cell = Window.partitionBy(*group)
     rows = rows.withColumn("_k", F.count("*").over(cell)).withColumn("_mean", F.sum("size").over(cell) / F.col("_k"))
     # A class in one cell gives just its number; of several cells each rounds its share by a draw of its own.
     share = F.floor(F.col("_k") * F.col("_m") / F.col("_n") + _uniform(F.lit(seed), F.lit("round"), *group))
-    rows = rows.withColumn("_give", F.when(F.col("_k") == F.col("_n"), F.col("_m")).otherwise(F.least(share, "_k")))
+    rows = rows.withColumn("_give", F.when(F.col("cells") == 1, F.col("_m")).otherwise(F.least(share, "_k")))
     p = F.col("_give") / F.col("_k")
     tilt = F.least(F.lit(1.0), F.coalesce(F.try_divide(1 - p, p), F.lit(1.0)))
     chance = p * (1 + tilt * F.coalesce(F.try_divide(F.col("size"), F.col("_mean")) - 1, F.lit(0.0)))
@@ -134,7 +135,7 @@ def _taken(sized: DataFrame, numbers: DataFrame, most: int, seed: int, *ties: st
     place = F.row_number().over(cell.orderBy(rank.asc_nulls_last(), "key", *ties))
     copies = F.least(F.lit(most), F.col("certain") + (place <= F.col("_give")).cast("int"))
     copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long")
-    return rows.withColumn("copies", copies).drop("_s", "_c", "_n", "_m", "_class", "_cell", "_k", "_mean", "_give", "certain")
+    return rows.withColumn("copies", copies).drop("_s", "_c", "_n", "_m", "_class", "_cell", "_k", "_mean", "_give", "certain", "cells")
 
 
 def _sized(docs: DataFrame, size: Column, *more: Column) -> DataFrame:

@@ -83,13 +83,24 @@ l as (select x, y from c join n p on x = p.doc_id join n q on y = q.doc_id where
 b as (select x, y from l union select y, x from l),
 reach(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, b.y from reach r join b on r.other = b.x)
 select doc_id, any_value(n_shingles) as n_shingles, min(other) as component_id from n join reach using (doc_id) group by doc_id""",
-    "op7_url_filter": r"""with recursive p as (select page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    # Links with dot segments and pages with <base>, which these tables lack, are held against brute force in the tests.
+    "op7_url_filter": r"""with recursive q as (select page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+p as (select *, case when contains(url, '://') then lower(regexp_extract(url, '(?s)^(.*?)://', 1)) || '://' || host || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) end as node from q),
+tags as (select node, url, path, unnest([regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) as t from p where node is not null),
+named as (select node, url, path, regexp_replace(t, '&(?:amp|#38|#[xX]26);', '&', 'g') as t from tags where t <> '' and not starts_with(t, '#')),
+full_urls as (select node, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') then t when starts_with(t, '//') then regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || t
+when starts_with(t, '/') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t when starts_with(t, '?') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || path || t
+else regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || t end as t from named),
+e as (select node as u, lower(regexp_extract(t, '(?s)^(.*?://[^/?#]*)', 1)) || regexp_extract(t, '(?s)^.*?://[^/?#]*([^#]*)', 1) as v from full_urls where contains(t, '://')),
+links as (select u, v from e union select v, u from e),
 rules(verdict, h, t) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-found as (select page_id, url, arg_max(struct_pack(rule := h || t, verdict := verdict), length(h || t)) as r from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, t) group by 1, 2),
-alias as (select url as u, 'canonical://' || regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '(?:/+|/?index\.html?|\.html?)$', '') as v from p where host <> ''),
-hit as (select distinct v from alias join found on u = found.url where found.r.verdict = 'block')
-select p.page_id, p.host, p.path, found.r.rule as rule, coalesce(found.r.verdict, case when p.url in (select u from alias join hit using (v)) then 'block' else 'allow' end) as verdict
+ends as (select distinct u, regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1) as host, regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from links),
+judged as (select u, arg_max(verdict, length(h || t)) as verdict from ends join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, t) group by u),
+hit(u) as (select u from judged where verdict = 'block' union select links.v from hit join links using (u)),
+found as (select page_id, url, arg_max(struct_pack(rule := h || t, verdict := verdict), length(h || t)) as r from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, t) group by 1, 2)
+select p.page_id, p.host, p.path, found.r.rule as rule, coalesce(found.r.verdict, case when p.node in (select u from hit) then 'block' else 'allow' end) as verdict
 from p left join found on p.page_id = found.page_id and p.url = found.url""",
     "op8_warc_revisits": r"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as original from pages),
 d as (select page_id, html, original, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, cast(1 + 5 * (i // 4) as int), 5) as bigint) >> (5 * (3 - i % 4))) & 31 as int) + 1, 1)), '') as payload_digest from p)

@@ -96,6 +96,7 @@ def test_large_classes_are_split_into_cells(spark, monkeypatch):
     docs = [(i, "w " * (1 + i % 3), "abc"[i % 3]) for i in range(9000)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
     monkeypatch.setattr(mixing, "CELL_ROWS", 100)
+    monkeypatch.setattr(mixing, "CELL_WORDS", 300)
     rows = mixing.mix(frame).collect()
     check(rows, docs, tight=False)
 
