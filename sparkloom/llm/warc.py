@@ -1,23 +1,36 @@
 """WARC archives without repeated payloads: revisit records for equal payloads, written and read back with Spark's text files.
 
-Only headers (page_id, digest, length) are shuffled by payload digest to find which record is the response; payloads meet their header
-by page_id and are written once. Records are WARC/1.1 with fresh headers. Every record begins with the version line and the
-``WARC-Warcinfo-ID`` of its run, and no payload can contain a run's id unless it was made from that run's archives, so files are
-read and split by Spark at these two lines, whatever a payload holds. A revisit record has no block; it refers to the response record,
-and reading joins it to that record's payload.
+Headers (ids, digest, length) are shuffled by payload digest to find which record is the response; payloads are shuffled once, to
+meet the header of the response that holds them. Records are WARC/1.1 with fresh ids, date, digest and length: responses hold an
+HTTP message, revisits no block but the id, URL and date of the response that they refer to.
+
+Every record is a gzip member of its own, as the format asks. Files are written and read by Spark's text source, whose separator
+is an empty gzip member: other readers see nothing in it, and Spark splits files there, whatever payloads hold. (That a
+compressed payload holds these 20 bytes has a chance of 2**-160 a byte.) Reading joins revisits to their responses by record id.
 """
 
 from __future__ import annotations
 
+import base64
+import datetime
+import gzip
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm._words import small_batches
 from sparkloom.storage import materialize, new_path
 
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A gzip member of no bytes, between two records.
+BETWEEN = bytes.fromhex("1f8b08000000000000030300000000000000" + "0000")
+#: Salts by which the headers of responses are repeated for the join with the revisits that refer to them.
+SALTS = 16
 
 
 def base32_sha1(data: Column) -> Column:
@@ -27,94 +40,128 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*four)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def headers(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to: which record holds a payload and which refer to it."""
+def headers(pages: DataFrame, run: str, least_bytes: int = 0) -> DataFrame:
+    """A row for each row of ``pages``: page_id, url, payload_bytes, payload_digest, id, record_type, and the response's to_id, to_url, refers_to.
+
+    Of rows with equal payloads of ``least_bytes`` or more, the one with the largest page_id (then url; null before all others) is
+    the response and the rest, rows equal to it among them, are revisits; rows with shorter payloads are all responses.
+    """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("payload_digest"))
-    rows = materialize(rows, "headers")
-    first = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(first, "payload_digest", "left")
-    revisit = F.coalesce((F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("original")) & F.col("original").isNotNull(), F.lit(False))
-    return joined.select("page_id", "url", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("payload_digest"))
+    # Rows that are equal so far are counted before they move, and numbered when they are written out again.
+    rows = materialize(rows.groupBy("page_id", "url", "payload_bytes", "payload_digest").agg(F.count("*").alias("n")), "headers")
+    first = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("to"))
+    joined = rows.join(first.withColumnRenamed("payload_digest", "_d"), F.col("payload_digest") == F.col("_d"), "left").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
 
+    def record_id(page: Column, url: Column, k: Column) -> Column:
+        h = F.sha1(F.concat_ws("|", F.lit(run), F.coalesce(page.cast("string"), F.lit("-")), k.cast("string"), "payload_digest", url).cast("binary"))
+        cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+        return F.concat(F.lit("urn:uuid:"), cut[0], F.lit("-"), cut[1], F.lit("-5"), cut[2], F.lit("-8"), cut[3], F.lit("-"), cut[4])
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, run: str | None = None, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> str:
-    """Write a record per row of ``pages`` (page_id, url, html) under ``path`` and return the run's id, which readers need.
+    original = F.col("to").isNull() | (F.struct("page_id", "url").eqNullSafe(F.col("to")) & (F.col("k") == 1))
+    to = {"to_id": record_id(F.col("to.page_id"), F.col("to.url"), F.lit(1)), "to_url": F.col("to.url"), "refers_to": F.col("to.page_id")}
+    return joined.select(
+        "page_id", "url", "payload_bytes", "payload_digest", record_id(F.col("page_id"), F.col("url"), F.col("k")).alias("id"),
+        F.when(original, "response").otherwise("revisit").alias("record_type"), *[F.when(~original, c).alias(k) for k, c in to.items()],
+    )
 
-    Each file is one gzip stream, or plain with compression "none"; a plain file can be split among tasks.
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, run: str | None = None, date: str | None = None, level: int = 6) -> None:
+    """Write a record per row of ``pages`` (page_id, url, html) under ``path``, as files of gzip members (``level`` of compression).
+
+    ``run`` (by default a new one) goes into record ids, which are unique; ``date`` is the time of writing unless given.
     """
-    run = run or f"urn:uuid:{uuid.uuid4()}"
-    # Rows that repeat a page_id have a header for each payload; equal rows share one and give a record each.
-    found = headers(pages, least_bytes).drop("url").dropDuplicates(["page_id", "payload_digest"])
-    digest = base32_sha1(F.coalesce("html", F.lit("")).cast("binary"))
-    rows = pages.select("page_id", "url", "html", digest.alias("payload_digest")).join(found, ["page_id", "payload_digest"])
+    small_batches(pages)
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = headers(pages, run or uuid.uuid4().hex, least_bytes)
 
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
-    def record_id(page: Column) -> Column:
-        return F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
+    def in_line(url: Column) -> Column:
+        return F.regexp_replace(url, r"[\r\n]", " ")  # a line break in a URL would end its header line
 
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     revisit = F.col("record_type") == "revisit"
-    # A line break in a URL would end its header line.
-    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
+    same = F.concat(line("WARC-Refers-To", F.concat(F.lit("<"), "to_id", F.lit(">"))), line("WARC-Refers-To-Target-URI", in_line(F.col("to_url"))), line("WARC-Refers-To-Date", F.lit(date)), line("WARC-Profile", F.lit(PROFILE)))
     head = F.concat(
+        F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", record_id(F.col("page_id"))),
+        line("WARC-Record-ID", F.concat(F.lit("<"), "id", F.lit(">"))),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", url),
+        line("WARC-Target-URI", in_line(F.col("url"))),
+        F.when(F.col("page_id").isNull(), F.lit("")).otherwise(line("Page-ID", F.col("page_id").cast("string"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
-        F.when(revisit, F.concat(line("WARC-Refers-To", record_id(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("text/html")),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
+        F.when(revisit, same).otherwise(F.lit("")),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", F.when(revisit, F.lit("0")).otherwise((F.octet_length(http) + F.col("payload_bytes")).cast("string"))),
         F.lit("\r\n"),
+        F.when(revisit, F.lit("")).otherwise(http),
     )
-    block = F.when(revisit, F.lit("")).otherwise(F.coalesce("html", F.lit("")))
-    start = F.lit(f"WARC/1.1\r\nWARC-Warcinfo-ID: <{run}>\r\n")
-    rows.select(F.concat(start, head, block).alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
-    return run
-
-
-def read_archives(spark: SparkSession, path: str, run: str) -> DataFrame:
-    """Records of a run: page_id, url, record_type, refers_to, payload_digest (as its header says), payload (null for a revisit)."""
-    rows = spark.read.option("lineSep", f"WARC/1.1\r\nWARC-Warcinfo-ID: <{run}>\r\n").text(path).filter("value <> ''")
-    value = F.col("value")
-    cut = F.instr(value, END)
-    head = F.concat(F.lit("\n"), F.substring(value, F.lit(1), cut + 1))
-
-    def field(name: str, pattern: str) -> Column:
-        return F.regexp_extract("head", f"\n{name}: {pattern}\r", 1)
-
-    # What stands between a record and the next one's lines belongs to no block.
-    rows = rows.select(head.alias("head"), F.substring(value, cut + 4, F.length(value) - cut - 3 - len(END)).alias("block"))
-    kind = field("WARC-Type", "([a-z]+)")
-    return rows.select(
-        field("WARC-Record-ID", "<urn:page:(-?\\d+)>").cast("long").alias("page_id"),
-        field("WARC-Target-URI", "([^\r\n]*)").alias("url"),
-        kind.alias("record_type"),
-        F.nullif(field("WARC-Refers-To", "<urn:page:(-?\\d+)>"), F.lit("")).cast("long").alias("refers_to"),
-        field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("payload_digest"),
-        F.when(kind == "response", F.col("block")).alias("payload"),
-    )
+    rows = rows.select("record_type", "page_id", "url", "payload_digest", head.alias("head"))
+    # Equal rows give one payload, before it moves.
+    html = pages.select(F.col("page_id").alias("_p"), F.coalesce("url", F.lit("")).alias("_u"), base32_sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("_d"), F.coalesce("html", F.lit("")).alias("html"))
+    html = html.groupBy("_p", "_u", "_d").agg(F.first("html").alias("html"))
+    same_row = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("url") == F.col("_u")) & (F.col("payload_digest") == F.col("_d"))
+    responses = rows.filter("record_type = 'response'").join(html, same_row).select("head", "html")
+    records = responses.unionByName(rows.filter(revisit).select("head", F.lit("").alias("html")))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(f"{h}{t}".encode("utf-8", "surrogatepass") + END, level, mtime=0) for h, t in both], pa.binary())], ["value"])
+
+    packed = records.mapInArrow(members, "value binary").select(F.col("value").cast("string"))  # the bytes as they are
+    packed.write.option("encoding", "ISO-8859-1").option("lineSep", BETWEEN.decode("latin-1")).text(path)
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Records: id, page_id, url, record_type, to_id, says (the digest in the header), payload_bytes and payload_digest of the payload as read
+    (null for revisits) and, with ``payloads``, payload (binary)."""
+    files = spark.read.option("encoding", "ISO-8859-1").option("lineSep", BETWEEN.decode("latin-1")).text(path)
+    schema = "id string, page_id long, url string, record_type string, to_id string, says string, payload_bytes long, payload_digest string" + ", payload binary" * payloads
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), *[pa.binary()] * payloads]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for member in batch.column(0).to_pylist():
+                head, _, rest = gzip.decompress(member).partition(END)
+                field = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
+                block = rest[: int(field["Content-Length"])]
+                page = [int(field["Page-ID"]) if "Page-ID" in field else None, field["WARC-Target-URI"], field["WARC-Type"]]
+                row = [field["WARC-Record-ID"][1:-1], *page, field["WARC-Refers-To"][1:-1] if "WARC-Refers-To" in field else None, field["WARC-Payload-Digest"].partition(":")[2]]
+                data = block.partition(END)[2] if page[2] == "response" else None
+                row += [None, None] if data is None else [len(data), base64.b32encode(hashlib.sha1(data).digest()).decode()]
+                out.append([*row, data][: len(names)])
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return files.filter("octet_length(value) > 0").select(F.col("value").cast("binary")).mapInArrow(parse, schema)
+
+
+def resolve(records: DataFrame) -> DataFrame:
+    """``records`` (of :func:`read_archives`) with refers_to, and with bytes and digest of a revisit taken from the response that it refers to."""
+    own = ["id", "page_id", "url", "record_type"]
+    responses = records.filter("record_type = 'response'").select(*own, "payload_bytes", "payload_digest", F.lit(None).cast("long").alias("refers_to"))
+    revisits = records.filter("record_type = 'revisit'").select(*own, "to_id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    # Only responses that are referred to meet revisits; one that very many refer to does so in many tasks.
+    wanted = revisits.select(F.col("to_id").alias("id"), "salt").distinct()
+    found = responses.join(wanted, "id").select(F.col("id").alias("to_id"), "salt", "payload_bytes", "payload_digest", F.col("page_id").alias("refers_to"))
+    return responses.unionByName(revisits.join(found, ["to_id", "salt"]).select(responses.columns))
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from archives written for ``pages``.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: a row per row of ``pages``, read back from archives written for them.
 
-    Bytes and digest are computed from the payload read, for revisits from the response that they refer to. Null html counts as empty.
-    Rows that repeat a page_id give records of their own, with the same html or another; rows whose page_id is null have no record id
-    and are left out. Other columns are not looked at; an empty table gives an empty result.
+    Bytes and digest are computed from the payload read, for revisits from the response that they refer to. Null html counts as
+    empty and a null url too. Rows that repeat a page_id, with the same html or another, and rows whose page_id is null have
+    records of their own; which of equal payloads is the response says :func:`headers`. Other columns are not looked at; an empty
+    table gives an empty result.
     """
-    spark = pages.sparkSession
-    pages = pages.select("page_id", "url", "html").filter("page_id is not null")
-    path = path or new_path(spark, "warc")
-    run = write_archives(pages, path, least_bytes)
-    records = read_archives(spark, path, run)
-    found = records.select("page_id", "record_type", "refers_to", F.col("payload_digest").alias("says"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"))
-    found = materialize(found, "records")
-    # Only responses that are referred to meet revisits, each once.
-    revisits = found.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.col("says").alias("payload_digest"))
-    originals = found.filter("record_type = 'response'").join(revisits.select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
-    originals = originals.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
-    resolved = revisits.join(originals, ["refers_to", "payload_digest"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return found.filter("record_type = 'response'").select(resolved.columns).unionByName(resolved)
+    pages = pages.select("page_id", "url", "html")
+    path = path or new_path(pages.sparkSession, "warc")
+    write_archives(pages, path, least_bytes)
+    records = materialize(read_archives(pages.sparkSession, path, payloads=False), "records")
+    return resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
