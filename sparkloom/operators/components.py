@@ -91,7 +91,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     if one_task_rows:
         pairs = _forest(pairs.filter("u is not null and v is not null and u <> v"), one_task_rows)
     now, mark = _write(_clean(pairs))
-    if mark[0] <= one_task_rows:
+    if one_task_rows and mark[0] <= one_task_rows:
         found = materialize(_forest(now.coalesce(1)).select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
         release(now)
         return found
