@@ -98,12 +98,14 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, run: str |
         F.lit("\r\n"),
         F.when(revisit, F.lit("")).otherwise(http),
     )
-    rows = rows.select("record_type", "page_id", "url", "payload_digest", head.alias("head"))
-    # Equal rows give one payload, before it moves.
-    html = pages.select(F.col("page_id").alias("_p"), F.coalesce("url", F.lit("")).alias("_u"), base32_sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("_d"), F.coalesce("html", F.lit("")).alias("html"))
-    html = html.groupBy("_p", "_u", "_d").agg(F.first("html").alias("html"))
-    same_row = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("url") == F.col("_u")) & (F.col("payload_digest") == F.col("_d"))
-    responses = rows.filter("record_type = 'response'").join(html, same_row).select("head", "html")
+    def row_key(page: str, url: Column, digest: Column) -> Column:
+        return F.concat_ws("|", F.coalesce(F.col(page).cast("string"), F.lit("-")), digest, url).alias("key")
+
+    rows = rows.select("record_type", row_key("page_id", F.col("url"), F.col("payload_digest")), head.alias("head"))
+    # Equal rows give one payload, before it moves; the join takes it where it is.
+    html = F.coalesce("html", F.lit(""))
+    html = pages.select(row_key("page_id", F.coalesce("url", F.lit("")), base32_sha1(html.cast("binary"))), html.alias("html")).groupBy("key").agg(F.first("html").alias("html"))
+    responses = rows.filter("record_type = 'response'").join(html, "key").select("head", "html")
     records = responses.unionByName(rows.filter(revisit).select("head", F.lit("").alias("html")))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
