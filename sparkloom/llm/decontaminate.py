@@ -2,7 +2,8 @@
 
 A document matches an item of L words when at most k = ``floor(max_edits * L)`` word edits turn one of its spans, of L - k to L + k
 words, into the item. Without ``free_ends`` only spans of L words count, so a dropped or added word costs two edits.
-Words are runs of letters, digits and non-ASCII characters in lower case, so punctuation and line breaks don't hide a copy.
+Words are runs of letters, digits and non-ASCII characters in lower case, so punctuation and line breaks don't hide a copy; characters
+of scripts that are written without blanks are words of their own. Items of fewer than ``min_words`` words match unedited or not at all.
 
 1. Windows of the item's length start at each word. The q-gram lemma keeps those that can match at all: within k edits an item
    keeps ``L - 1 - 2k`` of its word pairs, so a window with fewer pairs from items of its length, none counted more often than an item
@@ -14,6 +15,9 @@ Words are runs of letters, digits and non-ASCII characters in lower case, so pun
    more places its allowed edits change, so :func:`places_for` samples as many places as a simulation of that length at its edit
    limit shows to keep the target recall.
 4. The word edit distance of each item and the best span from the start of a window that met it is computed exactly and decides.
+5. Of items of more than LONG words few windows are left by step 1, and neighbours nearly always together. Each run of them goes to
+   the exact check as one stretch of text, in which the least distance of any span is found bit-parallel, in memory linear in
+   the item and the stretch.
 
 The items are the query set: they go out in blocks of ``block_items``, each broadcast and held against all rows.
 """
@@ -22,22 +26,34 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _words
 from sparkloom.llm._words import mix
+from sparkloom.storage import materialize
 
 SEED = 71
 #: Every byte that is neither an ASCII letter or digit nor part of a non-ASCII character separates words.
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
+#: Characters of scripts without blanks between words: kana, Han, Thai, Lao, Burmese, Khmer.
+_ALONE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+
+
+#: Full-width punctuation, which stands between words as ASCII punctuation does.
+_MARKS = re.compile("[\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
 def plain(texts: list[str]) -> list[bytes]:
+    texts = [t if t.isascii() or not _ALONE.search(t) else _MARKS.sub(" ", _ALONE.sub(r" \1 ", t)) for t in texts]
     return [t.lower().encode("utf-8", "surrogatepass").translate(_TO_SPACE) for t in texts]
 
 
@@ -109,19 +125,39 @@ def edit_distances(windows: np.ndarray, items: np.ndarray, most: int, free_end:
     return out
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Word edits between a and b, or most + 1 where it takes more."""
-    if np.array_equal(a, b):
-        return 0
-    a, b = a.tolist(), b.tolist()
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row = row, [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            row[j] = last[j - 1] if x == y else 1 + min(last[j - 1], last[j], row[j - 1])
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+def best_span(item: list[int], text: list[int], most: int) -> tuple[int, int] | None:
+    """(start, edits) of a span of text with the least word edits to item, or None if that takes more than ``most``.
+
+    A column of the table of distances is two integers of a bit for each word of the item (Myers 1999, as Hyyro states it).
+    """
+    m = len(item)
+    full, high = (1 << m) - 1, 1 << (m - 1)
+
+    def scores(of: list[int], words: list[int], carry: int) -> Iterator[int]:
+        """The distance of ``of`` to the best span that ends at each word (carry 0), or to all words up to there (carry 1)."""
+        where: dict[int, int] = {}
+        for k, w in enumerate(of):
+            where[w] = where.get(w, 0) | 1 << k
+        up, down, score = full, 0, m
+        for w in words:
+            same = where.get(w, 0)
+            vertical = same | down
+            level = (((same & up) + up) ^ up) | same
+            more, less = down | (full & ~(level | up)), up & level
+            score += bool(more & high) - bool(less & high)
+            more, less = more << 1 | carry, less << 1
+            up, down = (less | ~(vertical | more)) & full, more & vertical & full
+            yield score
+
+    least, end = min(((x, k) for k, x in enumerate(scores(item, text, 0))), default=(most + 1, 0))
+    if least > most or least >= m:
+        return None
+    back = next(k for k, x in enumerate(scores(item[::-1], text[end::-1], 1)) if x == least)
+    return end - back, least
+
+
+#: Words of an item from which on it is searched for in stretches of text.
+LONG = 1024
 
 
 class Items:
@@ -130,10 +166,10 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str], max_edits: float, min_words: int, repetitions: int, sampled: int, recall: float = 0.95, free_ends: bool = False):
         self.free_ends = free_ends
         words, first = _words.hash_words(plain(texts))
-        kept = [(i, words[first[k] : first[k + 1]]) for k, i in enumerate(ids) if first[k + 1] - first[k] >= min_words]
-        self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
+        kept = [(i, words[first[k] : first[k + 1]]) for k, i in enumerate(ids) if first[k + 1] - first[k] >= LEAST_WORDS]
+        self.ids, self.words, self.min_words = [i for i, _ in kept], [w for _, w in kept], min_words
         self.lengths = sorted({len(w) for w in self.words})
-        self.longest = max(self.lengths, default=0)
+        self.long = {n: [(i, w.tolist()) for i, w in kept if len(w) == n] for n in self.lengths if n > LONG}
         each = [np.unique(w[:-1] * np.uint64(3) + w[1:], return_counts=True) for w in self.words]
         self.pairs, at = np.unique(np.concatenate([p for p, _ in each]), return_inverse=True) if kept else (np.empty(0, np.uint64), None)
         # How often one item has a pair at most: no window can share more of it.
@@ -147,43 +183,50 @@ class Items:
         self.seen = np.zeros(1 << 16, dtype=bool)
         self.seen[mix(self.pairs) >> np.uint64(48)] = True
         self.max_edits, self.repetitions = max_edits, repetitions
-        # Each repetition has a random function of step and word, and its share of the embedding's places for every length.
+        # Each repetition has a random function of step and word, and some places of the embedding for every length.
         rng = np.random.default_rng(SEED)
-        self.steps = rng.integers(1, 2**63, (repetitions, 3 * self.longest), dtype=np.uint64) | np.uint64(1)
-        self.sampled = np.zeros((len(self.lengths), repetitions, 3 * self.longest), dtype=bool)
-        for k, n in enumerate(self.lengths):
-            places = places_for(n, max_edits, min(sampled, 3 * n), repetitions, recall)
-            for r in range(repetitions):
-                self.sampled[k, r, rng.choice(3 * n, places, replace=False)] = True
-        self.keys = []
-        if kept:
-            keys = self.embed(np.stack([self.padded(w[None])[0] for w in self.words]), np.array([len(w) for w in self.words]))
+        short = [n for n in self.lengths if n <= LONG]
+        self.steps = rng.integers(1, 2**63, (repetitions, 3 * max(short, default=0)), dtype=np.uint64) | np.uint64(1)
+        self.places = {}
+        for n in short:
+            places = places_for(n, max_edits, min(sampled, 3 * n), repetitions, recall) if n >= min_words else min(sampled, 3 * n)
+            self.places[n] = [rng.choice(3 * n, places, replace=False) for _ in range(repetitions)]
+        # Items whose length has as many bits are embedded and met together, so that short ones don't walk as far as long ones.
+        self.bands = {}
+        for band in sorted({n.bit_length() for n in short}):
+            own = [k for k, w in enumerate(self.words) if len(w) <= LONG and len(w).bit_length() == band]
+            width = max(len(self.words[k]) for k in own)
+            keys = self.embed(np.stack([self.padded(self.words[k][None], width)[0] for k in own]), np.array([len(self.words[k]) for k in own]))
             order = np.argsort(keys, axis=1, kind="stable")
-            self.keys = [(k[o], o) for k, o in zip(keys, order, strict=True)]
+            self.bands[band] = (np.array(own), width, [(k[o], o) for k, o in zip(keys, order, strict=True)])
 
     def edits(self, n: int) -> int:
-        return int(self.max_edits * n)
+        return int(self.max_edits * n) if n >= self.min_words else 0
 
     def span(self, n: int) -> int:
         """The most words that a copy of an item of n words can have."""
         return n + self.edits(n) * self.free_ends
 
-    def padded(self, windows: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(windows), self.span(self.longest) + 1), dtype=np.uint64)
+    def padded(self, windows: np.ndarray, longest: int) -> np.ndarray:
+        out = np.zeros((len(windows), self.span(longest) + 1), dtype=np.uint64)
         out[:, : windows.shape[1]] = windows
         return out
 
     def cut(self, words: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-        """The words from each start on, as many as a copy of n words can have and zeros from its text's end on, padded."""
+        """The words from each start on, as many as a copy of n words can have and zeros from its text's end on, padded for n's band."""
         at = start[:, None] + np.arange(self.span(n))
-        return self.padded(np.where(at < end[:, None], words[np.minimum(at, len(words) - 1)], np.uint64(0)))
+        return self.padded(np.where(at < end[:, None], words[np.minimum(at, len(words) - 1)], np.uint64(0)), self.bands[n.bit_length()][1])
 
     def embed(self, windows: np.ndarray, n: np.ndarray) -> np.ndarray:
         """An LSH key for each repetition and the first n word hashes of each window (a padded row)."""
         key = np.broadcast_to(n.astype(np.uint64), (self.repetitions, len(windows))).copy()
-        which = np.searchsorted(self.lengths, n)
-        for step, word in enumerate(walk(windows, n, self.steps, 3 * int(n.max(initial=0)))):
-            hit = np.nonzero(self.sampled[which, :, step].T)
+        lengths, which = np.unique(n, return_inverse=True)
+        sampled = np.zeros((3 * int(n.max(initial=0)), self.repetitions, len(lengths)), dtype=bool)
+        for k, length in enumerate(lengths.tolist()):
+            for r, places in enumerate(self.places[length]):
+                sampled[places, r, k] = True
+        for step, word in enumerate(walk(windows, n, self.steps, len(sampled))):
+            hit = np.nonzero(sampled[step][:, which])
             key[hit] = mix(key[hit] * np.uint64(31) + word[hit] + np.uint64(1))
         return key
 
@@ -232,21 +275,34 @@ class Items:
             if len(start):
                 yield n, start
 
-    def matches(self, windows: np.ndarray, n: np.ndarray, text: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, item, first word, edits) for each text and item that a window shows to match, the best window of those."""
+    def stretches(self, words: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """(place in start, item, first word, edits) of items of n words, a long length, in the stretches that windows cover."""
+        if not len(start):
+            return
+        cuts = np.flatnonzero(np.concatenate([[True], (start[1:] > start[:-1] + n) | (end[1:] != end[:-1])]))
+        for one, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), len(start)], strict=True):
+            text = words[start[one] : min(end[one], start[stop - 1] + n + int(self.max_edits * n))].tolist()
+            for i, item in self.long[n]:
+                if found := best_span(item, text, self.edits(n)):
+                    yield one, i, int(start[one]) + found[0], found[1]
+
+    def matches(self, band: int, windows: np.ndarray, n: np.ndarray, text: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, first word, edits) for each text and item of a band that a window shows to match, the best window of those."""
+        own, _, table = self.bands[band]
         keys = self.embed(windows, n)
         met = np.empty(0, dtype=np.int64)
-        for mine, (theirs, order) in zip(keys, self.keys, strict=True):
+        for mine, (theirs, order) in zip(keys, table, strict=True):
             low, high = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine, side="right")
             times = high - low
             k = np.repeat(np.arange(len(mine)), times)
             j = order[np.arange(len(k)) + np.repeat(low - np.cumsum(times) + times, times)]
-            met = np.union1d(met, k * len(self.words) + j)
-        k, j = np.divmod(met, max(1, len(self.words)))
+            met = np.union1d(met, k * len(own) + j)
+        k, j = np.divmod(met, len(own))
+        j = own[j]
         edits, limit = np.empty(len(met), dtype=np.int64), np.empty(len(met), dtype=np.int64)
         for length in np.unique(n[k]).tolist():
             of_length = np.flatnonzero(n[k] == length)
-            for some in np.array_split(of_length, -(-len(of_length) // GATHERED)):
+            for some in np.array_split(of_length, -(-len(of_length) * length // HELD_WORDS)):
                 theirs = np.stack([self.words[x] for x in j[some].tolist()])
                 limit[some] = self.edits(length)
                 edits[some] = edit_distances(windows[k[some], : self.span(length)], theirs, self.edits(length), self.free_ends)
@@ -257,8 +313,10 @@ class Items:
         return [(int(text[k[x]]), self.ids[j[x]], int(start[k[x]]), int(edits[x])) for x in fit[~same].tolist()]
 
 
-#: Windows that a task gathers before it embeds them together.
-GATHERED = 8192
+#: Items of fewer words name too little to be evidence.
+LEAST_WORDS = 4
+#: Words of windows that a task gathers before it embeds them together.
+HELD_WORDS = 1 << 19
 
 
 def leaks(
@@ -269,10 +327,13 @@ def leaks(
     ``meet`` is the probability with which one repetition should bring a window at the allowed edits together with its item; with
     ``recall`` it sets the number of repetitions. Of each length's places, ``sampled`` or as many fewer are compared as keep that
     recall (:func:`places_for`). With ``free_ends`` (the query and :func:`clean`) edits are those to the best span that begins with
-    the window, else those to the window itself. Unedited copies always meet. Items of fewer than
-    ``min_words`` words are no evidence and match nothing, as are null texts on either side. Rows that repeat a doc_id or an
+    the window, else those to the window itself; items of over LONG words have free ends in any case. Unedited copies always
+    meet. Items of fewer than LEAST_WORDS words match nothing, nor do null texts on either side. Rows that repeat a doc_id or an
     item_id each count: a pair then shows once per row of the documents and once per block of items. Other columns are not
     looked at; an empty table on either side gives an empty result.
+
+    Items are read in blocks of ``block_items``, each held against all rows; with several, each block's matches are written
+    before the next block is read, so one block at a time is in memory.
     """
     spark = _words.small_batches(docs)
     times = repetitions_for(recall, meet)
@@ -283,34 +344,54 @@ def leaks(
     for b in range(blocks):
         rows = numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         held = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], max_edits, min_words, times, sampled, recall, free_ends))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            items, ids, gathered = held.value, [], []
-
-            def done() -> pa.RecordBatch:
-                found = [(ids[t], i, s, e) for t, i, s, e in items.matches(*(np.concatenate(x) for x in zip(*gathered, strict=True)))] if gathered else []
-                columns = list(zip(*found, strict=True)) if found else [[]] * 4
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start_word", "edits"])
-
-            for batch, texts in _words.chunks(batches):
-                words, first = _words.hash_words(plain(texts))
-                for n, start in items.windows(words, first):
-                    text = np.searchsorted(first, start, side="right") - 1
-                    grams = items.cut(words, start, first[text + 1], n)
-                    gathered.append((grams, np.full(len(start), n), text + len(ids), start - first[text]))
-                ids += batch.column(0).to_pylist()
-                if sum(len(x[0]) for x in gathered) >= GATHERED:
-                    yield done()
-                    ids, gathered = [], []
-            yield done()
-
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        del rows
+        part = docs.select("doc_id", "text").mapInArrow(functools.partial(_search, held), schema)
+        if blocks > 1:
+            part = materialize(part, "leaks")
+            held.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _search(held: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matches of a task's documents (doc_id, text) with the items of a broadcast block."""
+    items, ids, found = held.value, [], []
+    gathered: dict[int, list] = {}
+
+    def done() -> pa.RecordBatch:
+        rows = [(ids[t], i, s, e) for band, some in gathered.items() for t, i, s, e in items.matches(band, *(np.concatenate(x) for x in zip(*some, strict=True)))]
+        columns = list(zip(*found, *rows, strict=True)) if found or rows else [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start_word", "edits"])
+
+    for batch, texts in _words.chunks(batches):
+        words, first = _words.hash_words(plain(texts))
+        for n, start in items.windows(words, first):
+            text = np.searchsorted(first, start, side="right") - 1
+            if n > LONG:
+                for place, i, s, e in items.stretches(words, start, first[text + 1], n):
+                    found.append((batch.column(0)[int(text[place])].as_py(), i, s - int(first[text[place]]), e))
+                continue
+            some = gathered.setdefault(n.bit_length(), [])
+            for part in np.array_split(np.arange(len(start)), -(-len(start) * n // HELD_WORDS)):
+                some.append((items.cut(words, start[part], first[text[part] + 1], n), np.full(len(part), n), text[part] + len(ids), start[part] - first[text[part]]))
+        ids += batch.column(0).to_pylist()
+        if sum(x[0].size for some in gathered.values() for x in some) >= HELD_WORDS:
+            yield done()
+            ids, found = [], []
+            gathered.clear()
+    yield done()
+
+
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that match an item, with free ends unless told otherwise. Rows whose doc_id is null stay, since no match can name them."""
-    found = leaks(docs, items, **({"free_ends": True} | options)).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the documents that match an item, with free ends unless told otherwise.
+
+    Every row is judged by its own text, whatever its doc_id: null ids, and ids that several rows share, are no exception. Null texts
+    match nothing and stay, as do all rows if there are no items.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = leaks(docs.select(key.alias("doc_id"), "text"), items, **({"free_ends": True} | options)).select(F.col("doc_id").alias("_key")).distinct()
+    plain_columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Whole rows travel as one struct, whose fields' names clash with nothing.
+    rows = docs.select(F.struct(*plain_columns).alias("_row"), key.alias("_k"))
+    return rows.join(found, F.col("_k") == F.col("_key"), "left_anti").select("_row.*")

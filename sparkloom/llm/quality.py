@@ -198,12 +198,12 @@ def _log_perplexity(docs: DataFrame, labels: DataFrame, order: int = 5, broadcas
     sure = labels.filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     if sure.count() <= broadcast_ids:
         sure = F.broadcast(sure)
-    joined = docs.select("doc_id", "lang", "text").join(sure, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    joined = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "lang", "text").join(sure, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     grams, seen = materialize_observed(_count(joined, order), "grams", n=F.count(F.lit(1)), **_counts_of())
     scored = score_grams(grams, order, seen)
-    schema = "doc_id long, lang string, trusted boolean, n_chars long, log_ppl double"
-    names = ["doc_id", "lang", "trusted", "n_chars", "log_ppl"]
-    arrow = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64()), strict=True)))
+    schema = "doc_id long, row_key long, lang string, trusted boolean, n_chars long, log_ppl double"
+    carried, kinds = ["doc_id", "row_key", "lang", "trusted"], (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64())
+    arrow = pa.schema(list(zip([*carried, "n_chars", "log_ppl"], kinds, strict=True)))
 
     def rows(ids: list, means: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         means = pa.array(means[0], pa.int64()), pa.Array.from_pandas(means[1], type=pa.float64())
@@ -217,10 +217,10 @@ def _log_perplexity(docs: DataFrame, labels: DataFrame, order: int = 5, broadcas
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scores = _table_of(*held.value)
-            for batch, texts in _words.chunks(batches, 3):
-                yield rows(batch.columns[:3], _means(texts, scores, order))
+            for batch, texts in _words.chunks(batches, len(carried)):
+                yield rows(batch.columns[:-1], _means(texts, scores, order))
 
-        return joined.select("doc_id", "lang", "trusted", "text").mapInArrow(run, schema), lambda: (release(scored), held.destroy())
+        return joined.select(*carried, "text").mapInArrow(run, schema), lambda: (release(scored), held.destroy())
 
     chars = joined.agg(F.sum(F.length("text"))).first()[0] or 0
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-chars // block_chars))))
@@ -239,8 +239,8 @@ def _log_perplexity(docs: DataFrame, labels: DataFrame, order: int = 5, broadcas
 
     def meet(part: pa.Table, grams: pa.Table) -> pa.Table:
         scores = Scores(_gram_hashes(grams.column("gram").to_pylist(), order), grams.column("logp").to_numpy())
-        part = part.select(["doc_id", "lang", "trusted", "text"])
-        out = [rows(batch.columns[:3], _means(text, scores, order)) for batch, text in _words.chunks(iter(part.to_batches()), 3)]
+        part = part.select([*carried, "text"])
+        out = [rows(batch.columns[:-1], _means(text, scores, order)) for batch, text in _words.chunks(iter(part.to_batches()), len(carried))]
         return pa.Table.from_batches(out, arrow)
 
     return texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(meet, schema), lambda: release(scored)
@@ -265,7 +265,7 @@ def _table_of(model: str, h: np.ndarray, logp: np.ndarray) -> Scores:
 
 
 def log_perplexity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, lang, trusted, n_chars and log_ppl for every row of ``docs``; trusted are those that ``labels`` gives quality 1.
+    """doc_id, row_key (xxhash64 of doc_id and text), lang, trusted, n_chars and log_ppl for every row of ``docs``; trusted are those that ``labels`` gives quality 1.
 
     A text without characters has a null log_ppl. Without any trusted text all n-grams are equally unknown. The result is a table.
     """
@@ -276,7 +276,7 @@ def log_perplexity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, slack: float = 0.1, fewest: int = 20, folds: int = 5, **options) -> DataFrame:
-    """doc_id, lang, n_chars, log_ppl, low_limit, high_limit, keep: one row per row of ``docs``.
+    """doc_id, row_key, lang, n_chars, log_ppl, low_limit, high_limit, keep: one row per row of ``docs``; row_key is xxhash64(doc_id, text).
 
     One trusted document in ``folds`` (by a hash of doc_id) stays out of the model, as most documents that it judges are; limits
     come from these. A language's limits are the ``low`` and ``high`` quantiles of their log perplexity, moved outwards by
@@ -295,7 +295,7 @@ def judge(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float =
     rows = scored.join(by_lang, "lang", "left").crossJoin(F.broadcast(every))
     spread = SHORT / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
     rows = rows.select(
-        "doc_id", "lang", "n_chars", "log_ppl",
+        "doc_id", "row_key", "lang", "n_chars", "log_ppl",
         (F.coalesce("a", "all_a") - slack - spread).alias("low_limit"),
         (F.coalesce("b", "all_b") + slack + spread).alias("high_limit"),
     )

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -35,13 +36,29 @@ def brute(docs, items, max_edits=0.2, least=8):
     return out
 
 
-def test_edit_distance_is_exact():
+def span_distance(w, v):
+    """The least distance of v to a span of w."""
+    row = [0] * (len(w) + 1)
+    for i, y in enumerate(v, 1):
+        now = [i]
+        for j, x in enumerate(w, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+        row = now
+    return min(row)
+
+
+def test_best_span_is_exact():
     rng = random.Random(1)
-    for _ in range(200):
-        a, b = ([rng.randrange(4) for _ in range(rng.randint(0, 9))] for _ in range(2))
-        d = distance(a, b)
+    for _ in range(400):
+        item, text = ([rng.randrange(4) for _ in range(rng.randint(a, 14))] for a in (1, 0))
+        d = span_distance(text, item)
         for most in (0, 2, 9):
-            assert decontaminate.edit_distance(np.array(a), np.array(b), most) == min(d, most + 1)
+            found = decontaminate.best_span(item, text, most)
+            if d > most or d >= len(item):
+                assert found is None
+            else:
+                start, edits = found
+                assert edits == d and any(distance(text[start:e], item) == d for e in range(start, len(text) + 1))
 
 
 def edited(rng, words, k, vocabulary):
@@ -94,7 +111,7 @@ def test_edge_cases(spark):
     assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.leaks(docs.limit(0), items).count() == 0
     assert {(r["doc_id"], r["item_id"], r["edits"], r["start_word"]) for r in decontaminate.leaks(docs, items).collect()} == {(3, 7, 0, 0), (None, 7, 0, 0)}
     left = decontaminate.clean(docs, items)
-    assert left.columns == docs.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2]
+    assert left.columns == docs.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [1, 2]
 
 
 def test_edit_distances_of_many_pairs_are_exact():
@@ -106,9 +123,9 @@ def test_edit_distances_of_many_pairs_are_exact():
 
 
 def test_recall_at_the_edge_for_long_items(spark):
-    """Items of 40 to 200 words with exactly floor(0.2 L) words replaced: at least 0.95 are found at each length."""
+    """Items of 8 to 400 words with exactly floor(0.2 L) words replaced: at least 0.95 are found at each length."""
     rng = random.Random(12)
-    for n in (40, 60, 120, 200):
+    for n in (8, 20, 40, 60, 120, 200, 400):
         items = [(i, " ".join(f"n{n}i{i}w{k}" for k in range(n))) for i in range(120)]
         docs = []
         for i, text in items:
@@ -164,17 +181,32 @@ def test_free_ends_against_brute_force(spark):
             body[len(body) // 2 : len(body) // 2] = edited(rng, words, rng.randint(0, int(0.2 * len(words))), vocabulary)
         docs.append((d, " ".join(body)))
 
-    def free(w, v):
-        """The least distance of v to a span of w."""
-        row = [0] * (len(w) + 1)
-        for i, y in enumerate(v, 1):
-            now = [i]
-            for j, x in enumerate(w, 1):
-                now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
-            row = now
-        return min(row)
-
-    want = {(d, i) for d, t in docs for i, v in items if free(t.split(), v.split()) <= int(0.2 * len(v.split()))}
+    want = {(d, i) for d, t in docs for i, v in items if span_distance(t.split(), v.split()) <= int(0.2 * len(v.split()))}
     rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), free_ends=True).collect()
     got = {(r["doc_id"], r["item_id"]) for r in rows}
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 30
+
+
+def test_very_long_items_in_bounded_memory(spark):
+    """An item of 20 000 words beside short ones: its edited copy is found, and what goes to the executors stays below 100 MB."""
+    rng = random.Random(31)
+    long = [f"l{k}" for k in range(20_000)]
+    copy = [w if rng.random() > 0.1 else f"x{k}" for k, w in enumerate(long)]
+    del copy[5000:5400]
+    short = " ".join(f"s{k}" for k in range(30))
+    items = [(1, " ".join(long)), (2, short), (3, " ".join(f"m{k}" for k in range(1500)))]
+    block = decontaminate.Items([i for i, _ in items], [t for _, t in items], 0.2, 8, 24, 6, 0.95, True)
+    assert len(pickle.dumps(block)) < 100e6
+    far = [w if k % 3 else f"y{k}" for k, w in enumerate(long)]
+    docs = [(1, " ".join(["a"] * 50 + copy + ["b"] * 50)), (2, "c " + short), (3, " ".join(far)), (4, " ".join(["d"] * 9 + [f"m{k}" for k in range(1500)] + long))]
+    rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), free_ends=True).collect()
+    edits = 400 + sum(w.startswith("x") for w in copy)
+    first = next(k for k, w in enumerate(copy) if w.startswith("l"))  # a replaced word before it may be in the span or not
+    assert {(r["doc_id"], r["item_id"], r["start_word"], r["edits"]) for r in rows} == {(1, 1, 50 + first, edits), (2, 2, 1, 0), (4, 3, 9, 0), (4, 1, 1509, 0)}
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "what is the boiling point"), (2, "two words"), (3, "水は百度で沸騰しますがどうですか"), (4, "ああああああああああああ")]
+    docs = [(1, "So: What is the BOILING point?"), (2, "what is the melting point"), (3, "two words"), (4, "前 水は百度で沸騰します、がどうですか 後"), (5, "水は五十度で沸騰しませんがこうですか"), (6, "水")]
+    rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), free_ends=True).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in rows} == {(1, 1, 0), (4, 3, 0)}

@@ -53,3 +53,24 @@ def test_run_and_empty_input(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null and shared doc_ids: a bad text goes, and takes no other row with it."""
+    d = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    schema = "doc_id long, text string, lang string, source string"
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
+    good = [r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'en' and n_chars between 300 and 2000").limit(2).collect()]
+    noise = "zqxj vkw qqzx jjxv " * 40
+    rows = [(None, good[0], "en", "s"), (None, noise, "en", "s"), (5, good[1], "en", "s"), (5, noise + "q", "en", "s")]
+    texts = lambda name, rows: sorted(r["text"] for r in stages[name](spark, spark.createDataFrame(rows, schema), d).collect())
+    # The model learns from the labelled documents among those that it judges.
+    docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    kept = texts("quality", docs + rows)
+    assert all(kept.count(t) > texts("quality", docs).count(t) for t in good) and not any(t.startswith("zqxj") for t in kept)
+    rows = [(None, f"{noise} {item}", "en", "s"), (None, good[0], "en", "s"), (5, item, "en", "s"), (5, good[1], "en", "s")]
+    assert texts("decontamination", rows) == sorted(good)
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(None, one, "en", "s"), (7, one + " x", "en", "s"), (None, two, "en", "s"), (8, two + " x", "en", "s"), (8, "another text", "en", "s"), (3, two + " y", "en", "s")]
+    assert texts("near_copies", rows) == sorted([one + " x", "another text", two + " y"])
