@@ -13,7 +13,7 @@
    Every run that the pair shares goes too, wherever it stands: of the lines of the later text, as they stood together there, no
    run with ``least_words`` words that an earlier document has is left.
 
-Pairs and alignments carry line hashes; texts move once, to meet what is deleted from them.
+Pairs and alignments carry line hashes, an earlier document's once per task; texts move once, to meet what is deleted from them.
 """
 
 from __future__ import annotations
@@ -160,15 +160,24 @@ def overlaps(docs: DataFrame, rare: int = 16, least_words: int = 20) -> DataFram
     each = materialize(_tokens(lines, least_words), "tokens")
     shared = each.groupBy("token", "run").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("docs"))
     telling = shared.filter((F.col("docs") > 1) & (F.col("run") | (F.col("docs") <= rare))).select("token", "run", "earlier")
+    telling = materialize(telling, "telling")  # a table of its own, so that the join can split a token that very many documents have
     pairs = each.join(telling, ["token", "run"]).filter("earlier < doc_id").select(F.col("doc_id").alias("later"), "earlier").distinct()
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("later"), F.lit(SALTS)).cast("int"))
+    # The earlier document of many pairs goes once to each task that aligns with it, ahead of its later documents.
     early = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("a"))
-    late = lines.select(F.col("doc_id").alias("later"), F.col("hashes").alias("b"), "words", "version")
-    meet = pairs.join(early, "earlier").join(late, "later").select("later", "version", "earlier", "a", "b", "words")
+    late = lines.select(F.col("doc_id").alias("later"), "version", F.col("hashes").alias("b"), "words")
+    ahead = pairs.select("earlier", "salt").distinct().join(early, "earlier").select("earlier", "salt", F.lit(None).cast("long").alias("later"), F.lit(None).cast("long").alias("version"), F.col("a").alias("lines"), F.lit(None).cast("array<int>").alias("words"))
+    after = pairs.join(late, "later").select("earlier", "salt", "later", "version", F.col("b").alias("lines"), "words")
+    meet = ahead.unionByName(after).repartition("earlier", "salt").sortWithinPartitions("earlier", "salt", F.col("later").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = None
         for batch in batches:
             out = []
-            for later, version, earlier, a, b, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for earlier, _, later, version, b, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if later is None:
+                    a = b
+                    continue
                 gone = {j for part in blocks(patience(a, b)) if sum(words[j] for j in part) >= least_words for j in part}
                 gone = sorted(gone.union(shared_lines(a, b, words, least_words).tolist()))
                 if gone:
@@ -180,6 +189,10 @@ def overlaps(docs: DataFrame, rare: int = 16, least_words: int = 20) -> DataFram
     return meet.mapInArrow(run, "later long, version long, earlier long, lines array<int>")
 
 
+#: Tasks among which the later documents of one earlier document are dealt, at most.
+SALTS = 1024
+
+
 def _version(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
