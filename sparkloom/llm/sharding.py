@@ -1,6 +1,6 @@
 """Uniform shuffling into shards of exact size through a communication matrix, with DataFrame operations only.
 
-Rows are dealt to ``parts`` parts by a hash. A uniform shuffle of all rows into shards of given sizes sends from each part to each
+Rows are dealt by a hash to parts of about PART_ROWS rows. A uniform shuffle of all rows into shards of given sizes sends from each part to each
 shard a number of rows that follows the multivariate hypergeometric law; the matrix of these numbers is drawn exactly, on
 the driver, from one count per part. Each part then permutes its rows and cuts them by its row of the matrix (who goes where
 is uniform given the numbers), rows move to their shards, and each shard permutes again, which gives the slots. Shard sizes come
@@ -13,45 +13,35 @@ import json
 import math
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.storage import materialize
 
-PARTS = 1024
+#: Rows of a part, and of a cell of a shard, about; and the fewest parts.
+PART_ROWS, LEAST_PARTS = 100_000, 256
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many of ``draws`` from good + bad, without return, are good: inversion outwards from the mode, exact for any size."""
+    """How many of ``draws`` from good + bad, without return, are good, by inversion.
+
+    Chances are products of the ratios of neighbours, from the mode out to 40 deviations, and are divided by their sum, so no
+    factorial is ever needed; the law is met but for some 1e-16 a step, whatever the size of the numbers.
+    """
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low
     mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    lg = math.lgamma
-
-    def choose(n: int, k: int) -> float:
-        return lg(n + 1) - lg(k + 1) - lg(n - k + 1)
-
-    at_mode = math.exp(choose(good, mode) + choose(bad, draws - mode) - choose(good + bad, draws))
-    u = rng.random()
-    u -= at_mode
-    up, down, p_up, p_down = mode, mode, at_mode, at_mode
-    while u > 0:
-        if up < high:
-            p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
-            up += 1
-            u -= p_up
-            if u <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
-            down -= 1
-            u -= p_down
-            if u <= 0:
-                return down
-        if (up == high or p_up < 1e-300) and (down == low or p_down < 1e-300):
-            return mode  # what rounding has left over
-    return mode
+    share, total = good / (good + bad), good + bad
+    far = int(40 * math.sqrt(draws * share * (1 - share) * max(1, total - draws) / max(1, total - 1))) + 40
+    up, down = np.arange(min(high - mode, far), dtype=np.float64), np.arange(min(mode - low, far), dtype=np.float64)
+    # Whole numbers are subtracted before they become floats.
+    above = np.cumprod(((good - mode) - up) / ((mode + 1) + up) * (((draws - mode) - up) / ((bad - draws + mode + 1) + up)))
+    below = np.cumprod((mode - down) / ((good - mode + 1) + down) * (((bad - draws + mode) - down) / ((draws - mode + 1) + down)))
+    chances = np.concatenate([below[::-1], [1.0], above])
+    upto = np.cumsum(chances)
+    return mode - len(below) + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
 
 
 def communication_matrix(rows: list[int], columns: list[int], seed: int) -> list[list[int]]:
@@ -69,14 +59,16 @@ def communication_matrix(rows: list[int], columns: list[int], seed: int) -> list
     return out
 
 
-def assign(docs: DataFrame, shards: int = 8, seed: int = 23, parts: int = PARTS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, seed: int = 23, parts: int | None = None) -> DataFrame:
     """``docs`` with shard (0 to shards - 1) and slot (gapless from 0 inside a shard); shard sizes differ by one at most.
 
     The result depends on the rows alone, not on their partitioning: rows are told apart by doc_id and a hash of all columns, and
     rows that are equal throughout change places only among themselves. All rows stay, whatever is null; an empty table gives
-    an empty result. Columns named shard or slot are replaced.
+    an empty result. Columns named shard or slot are replaced. ``parts`` is set by the number of rows unless given.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    total = docs.count()
+    parts, cells = parts or max(LEAST_PARTS, -(-total // PART_ROWS)), max(LEAST_PARTS // shards, -(-total // (PART_ROWS * shards)), 1)
     plain = [F.col(f"`{c}`") for c in kept]
     # Whole rows travel as one struct, whose fields' names clash with nothing.
     rows = docs.select(F.struct(*plain).alias("_doc"), F.xxhash64(F.lit(seed), *plain).alias("_row"))
@@ -92,7 +84,7 @@ def assign(docs: DataFrame, shards: int = 8, seed: int = 23, parts: int = PARTS)
     sent = rows.withColumn("_n", local).join(F.broadcast(table), F.col("_part") == F.col("_p")).withColumn("shard", F.size(F.filter("_upto", lambda c: c < F.col("_n"))))
     # The second permutation: by another hash, in cells of it so that no shard is sorted in one task.
     key = F.xxhash64(F.lit("shard"), "_row", "_n")
-    placed = sent.withColumn("_key", key).withColumn("_cell", F.shiftrightunsigned("_key", 54).cast("int")).drop("_p", "_upto", "_part", "_n")
+    placed = sent.withColumn("_key", key).withColumn("_cell", F.shiftrightunsigned(F.shiftrightunsigned("_key", 33) * F.lit(cells), 31).cast("int")).drop("_p", "_upto", "_part", "_n")
     cells = placed.groupBy("shard", "_cell").agg(F.count("*").alias("_c"))
     starts = cells.select("shard", "_cell", (F.sum("_c").over(Window.partitionBy("shard").orderBy("_cell")) - F.col("_c")).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_key", "_row")) - 1
@@ -101,7 +93,10 @@ def assign(docs: DataFrame, shards: int = 8, seed: int = 23, parts: int = PARTS)
 
 
 def shard_digest(docs: DataFrame, shards: int = 8, **options) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row: sizes, checksums and places, without the texts."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row: sizes, checksums and places, without the texts.
+
+    Null texts count as empty; null and repeated doc_ids are rows like others.
+    """
     narrow = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
     placed = assign(materialize(narrow, "narrow"), shards, **options)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
