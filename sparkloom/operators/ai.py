@@ -200,6 +200,26 @@ def classify_text(c: str | Column, labels: Sequence[str], provider: str | Provid
     return run(c)
 
 
+def classify_image(c: str | Column, labels: Sequence[str], provider: str | Provider | None = None) -> Column:
+    """The label whose embedding is nearest to the image's, the first on ties; null for null."""
+    p, labels = _provider(provider), list(labels)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = np.array([p.embed_text(x, 64) for x in labels])
+        for s in batches:
+            yield s.map(lambda b: labels[int(np.argmax(known @ np.array(p.embed_image(bytes(b), 64))))], na_action="ignore").astype(object)
+
+    return run(c)
+
+
+def llm_generate(input_column: str | Column, model: str | None = None, provider: str | Provider | None = None, concurrency: int = 8, extra_body: dict | None = None, **options: Any) -> Column:
+    """A model's text for each input, the older form of :func:`prompt`; ``guided_choice`` in ``extra_body`` limits the answers to a list."""
+    body = dict(extra_body or {})
+    choices = body.pop("guided_choice", None)
+    return prompt(input_column, provider=provider, concurrency=concurrency, **({"choices": choices} if choices else {}), **({"model": model} if model else {}), **body, **options)
+
+
 #: Spark types of Python annotations.
 _TYPES = {str: T.StringType(), int: T.LongType(), float: T.DoubleType(), bool: T.BooleanType(), bytes: T.BinaryType()}
 

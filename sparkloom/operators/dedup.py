@@ -8,14 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from sparkloom.functions.text import normalize
+from sparkloom.functions.words import CHUNK_BYTES, hash_words, shingle_hashes
 from sparkloom.operators.components import FEW_EDGES, connected_components
-from sparkloom.storage import materialize, release
-
-#: The prime that permutations are taken modulo.
-PRIME = (1 << 31) - 1
+from sparkloom.storage import materialize, release, spread
 
 
 def shingle_list(c: str | Column, n: int = 5) -> Column:
@@ -30,35 +27,39 @@ def shingle_list(c: str | Column, n: int = 5) -> Column:
 
 def _permutations(num_hashes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(1, PRIME, num_hashes, dtype=np.uint64), rng.integers(0, PRIME, num_hashes, dtype=np.uint64)
+    return rng.integers(1, 2**63, num_hashes, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, num_hashes, dtype=np.uint64)
+
+
+def signatures(words: np.ndarray, first: np.ndarray, num_hashes: int, ngram_size: int, seed: int) -> np.ndarray:
+    """A row of minima for each text with words, from word hashes of many texts and where each text's begin."""
+    a, b = _permutations(num_hashes, seed)
+    runs, at = shingle_hashes(words, first, ngram_size)
+    at = at[:-1][np.diff(at) > 0]
+    # One permutation at a time over the runs of all texts: multiply, add, and keep the upper half.
+    return np.stack([np.minimum.reduceat((runs * x + y) >> np.uint64(32), at) for x, y in zip(a, b, strict=True)], axis=1).astype(np.int64)
 
 
 def minhash(c: str | Column, num_hashes: int = 64, ngram_size: int = 5, seed: int = 42) -> Column:
     """The signature of a text's word n-grams (array of long), null for null or blank text.
 
-    Words are hashed one by one, shingles and permutations are NumPy arrays of a whole text.
+    Words, n-grams and permutations are NumPy arrays over a chunk of texts, however short each text is.
     """
-    a, b = _permutations(num_hashes, seed)
-    places = np.random.default_rng(seed + 1).integers(1, 2**63, ngram_size, dtype=np.uint64) | np.uint64(1)
 
     @F.pandas_udf("array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(text: str) -> np.ndarray | None:
-            words = text.split()
-            if not words:
-                return None
-            h = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-            n = min(ngram_size, len(words))
-            runs = sum(h[j : len(h) - n + 1 + j] * places[j] for j in range(n))
-            runs = (runs ^ (runs >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            runs = np.unique((runs >> np.uint64(32)) % np.uint64(PRIME))
-            out = np.full(num_hashes, PRIME, dtype=np.uint64)
-            for k in range(0, len(runs), 4096):
-                out = np.minimum(out, ((runs[k : k + 4096, None] * a + b) % np.uint64(PRIME)).min(axis=0))
-            return out.astype(np.int64)
-
         for s in batches:
-            yield s.map(one, na_action="ignore").astype(object)
+            texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in s]
+            out: list = []
+            begin = size = 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= CHUNK_BYTES or i + 1 == len(texts):
+                    words, first = hash_words(texts[begin : i + 1])
+                    some = np.diff(first) > 0
+                    found = iter(signatures(words, first, num_hashes, ngram_size, seed) if some.any() else ())
+                    out += [next(found) if x else None for x in some]
+                    begin, size = i + 1, 0
+            yield pd.Series(out, dtype=object)
 
     return sign(c)
 
@@ -85,16 +86,17 @@ def band_edges(signatures: DataFrame, node: str, signature: str, bands: int, row
     """Edges (u, v) from each node to the least node that agrees with it in a band; a bucket of n nodes gives n - 1 at most."""
     pieces = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(F.col(signature), i * rows + 1, rows)))
     hashed = signatures.filter(F.col(signature).isNotNull() & F.col(node).isNotNull()).select(F.col(node).alias("v"), F.explode(pieces).alias("bucket"))
-    hashed = hashed.repartition("bucket")
-    least = hashed.groupBy("bucket").agg(F.min("v").alias("u"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Minima are combined before they move, and a table of them leaves the join free to split a bucket that very many share.
+    least = materialize(hashed.groupBy("bucket").agg(F.min("v").alias("u"), F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
     return hashed.join(least, "bucket").filter("u <> v").select("u", "v").distinct()
 
 
 def dedup(docs: DataFrame, node: str, text: str, threshold: float = 0.7, num_hashes: int = 64, ngram_size: int = 5, bands: tuple[int, int] | None = None) -> DataFrame:
     """``docs`` with rep, the least node of each group of near-duplicates (itself for rows without one), and is_duplicate."""
     b, r = bands or optimal_bands(threshold, num_hashes)
-    plain = normalize(text, remove_punct=True, lowercase=True, white_space=True)
-    signed = docs.select(F.col(node).alias("node"), minhash(plain, num_hashes, ngram_size).alias("signature"))
+    plain = normalize("text", remove_punct=True, lowercase=True, white_space=True)
+    signed = spread(docs.select(F.col(node).alias("node"), F.col(text).alias("text")))
+    signed = signed.select("node", minhash(plain, num_hashes, ngram_size).alias("signature"))
     signed = materialize(signed, "signatures")
     found = connected_components(band_edges(signed, "node", "signature", b, r), one_task_rows=FEW_EDGES)
     release(signed)

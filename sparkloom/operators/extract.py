@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import headings
+from sparkloom.storage import spread
 
 #: Tags whose text is a block, and tags whose content never is.
-BLOCK_TAGS = ("title", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "section", "blockquote", "td", "th", "pre", "figcaption")
+BLOCK_TAGS = ("title", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "section", "figcaption", "caption", "blockquote", "th", "td", "pre", "code", "summary")
 HIDDEN_TAGS = ("script", "style", "noscript")
 _VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
 
@@ -58,14 +62,15 @@ def blocks_of(html: str | None) -> list[tuple[str, str]]:
 def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, tag, text, block_id): a row per block of each page; equal blocks of one page share an id."""
 
-    @F.udtf(returnType="tag string, text string")
-    class Blocks:
-        def eval(self, page: str):
-            yield from blocks_of(page)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [blocks_of(page) for page in batch.column(1).to_pylist()]
+            each = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            flat = [x for some in found for x in some]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(each), pa.array([t for t, _ in flat], pa.string()), pa.array([x for _, x in flat], pa.string())], ["k", "tag", "text"])
 
-    spark = pages.sparkSession
-    spark.udtf.register("sparkloom_html_blocks", Blocks)
-    rows = spark.sql("select p.k, b.tag, b.text from {p} p, lateral sparkloom_html_blocks(p.h) b", p=pages.select(F.col(key).alias("k"), F.col(html).alias("h")))
+    source = spread(pages.select(F.col(key).alias("k"), F.col(html).alias("h")))
+    rows = source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, tag string, text string")
     return rows.select(F.col("k").alias(key), "tag", "text", F.concat_ws("-", F.col("k").cast("string"), "tag", F.xxhash64("text").cast("string")).alias("block_id"))
 
 
@@ -129,13 +134,13 @@ def github_url(c):
 
 #: File suffixes by kind.
 KINDS = {
-    "code": ("py", "js", "ts", "java", "c", "cpp", "go", "rs", "rb", "sh", "sql"),
-    "doc": ("md", "txt", "rst", "html"),
+    "code": ("py", "js", "ts", "rs", "go", "java"),
+    "doc": ("md", "txt", "rst"),
     "pdf": ("pdf",),
-    "image": ("png", "jpg", "jpeg", "gif", "webp", "bmp"),
-    "audio": ("mp3", "wav", "flac", "ogg", "m4a"),
-    "video": ("mp4", "mov", "mkv", "webm", "avi"),
-    "data": ("csv", "json", "jsonl", "parquet", "yaml", "yml", "toml"),
+    "image": ("jpg", "jpeg", "png", "gif", "webp"),
+    "audio": ("mp3", "wav", "flac", "ogg"),
+    "video": ("mp4", "mov", "avi", "mkv"),
+    "data": ("parquet", "csv", "json", "jsonl"),
 }
 
 

@@ -6,6 +6,7 @@ import asyncio
 import functools
 import inspect
 import typing
+import warnings
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -123,37 +124,86 @@ def _instance(cls: type, args: tuple, kwargs: tuple) -> Any:
     return _instances[key]
 
 
+def batch_method(*, return_dtype: Any, batch_size: int | None = None):
+    """Marks a method as one of whole Series to a Series; :class:`Remote` calls it so."""
+
+    def wrap(f: Callable) -> Callable:
+        f._batch = (return_dtype, batch_size)
+        return f
+
+    return wrap
+
+
 class Remote:
-    """A class whose instances are made once in each worker process; its methods are row functions on columns."""
+    """A class whose instances are made once in each worker process; its methods are functions on columns.
 
-    def __init__(self, cls: type, *args: Any, **kwargs: Any):
-        self._cls, self._args, self._kwargs = cls, args, tuple(sorted(kwargs.items()))
+    Plain methods run row by row, ``async def`` methods on the rows of a batch together, at most ``max_concurrency`` at a time, and
+    those marked :func:`batch_method` on whole Series. on_error: "raise", "null" or "log" (null, with a warning in the worker's log).
+    """
+
+    def __init__(self, cls: type, *args: Any, max_concurrency: int | None = None, **kwargs: Any):
+        self._cls, self._args, self._kwargs, self._most = cls, args, tuple(sorted(kwargs.items())), max_concurrency
+
+    def with_init_args(self, *args: Any, **kwargs: Any) -> Remote:
+        return Remote(self._cls, *args, max_concurrency=self._most, **kwargs)
+
+    def with_concurrency(self, most: int) -> Remote:
+        return Remote(self._cls, *self._args, max_concurrency=most, **dict(self._kwargs))
 
     def __call__(self, *cols: Any, **kw: Any) -> Column:
         return self.method("__call__")(*cols, **kw)
 
     def method(self, name: str, return_dtype: Any = None, on_error: str = "raise") -> Callable[..., Column]:
-        cls, args, kwargs = self._cls, self._args, self._kwargs
+        cls, args, kwargs, most = self._cls, self._args, self._kwargs, self._most
         f = getattr(cls, name)
         names = list(inspect.signature(f).parameters)[1:]
-        kind = _returns(f, return_dtype)
+        given_kind, batch_size = getattr(f, "_batch", (return_dtype, None))
+        # Settled here: a worker imports the class anew, without the marks that it was given in the driver.
+        whole, waits = hasattr(f, "_batch"), inspect.iscoroutinefunction(f)
+        kind = _returns(f, given_kind)
 
         def build(*given: Any, **kw: Any) -> Column:
             cols, place = _split(given, names, kw)
 
+            def failed(error: Exception) -> None:
+                if on_error == "raise":
+                    raise error
+                if on_error == "log":
+                    warnings.warn(f"{cls.__name__}.{name}: {error!r}", stacklevel=2)
+
             def rows_of(batches: Iterator) -> Iterator[list]:
                 one = getattr(_instance(cls, args, kwargs), name)
 
                 def row(values):
                     try:
                         return _plain(one(**place(values)))
-                    except Exception:
-                        if on_error == "raise":
-                            raise
-                        return None
-
-                for parts in map(_tuple, batches):
-                    yield [row(r) for r in zip(*parts, strict=True)]
+                    except Exception as e:
+                        return failed(e)
+
+                async def together(rows):
+                    gate = asyncio.Semaphore(most or max(1, len(rows)))
+
+                    async def each(values):
+                        async with gate:
+                            try:
+                                return _plain(await one(**place(values)))
+                            except Exception as e:
+                                return failed(e)
+
+                    return await asyncio.gather(*[each(r) for r in rows])
+
+                # One loop for all batches of a task, so that clients which an instance keeps stay usable.
+                with asyncio.Runner() as loop:
+                    for parts in map(_tuple, batches):
+                        rows = list(zip(*parts, strict=True))
+                        if whole:
+                            step = batch_size or max(1, len(rows))
+                            done = [list(one(**place([p.iloc[i : i + step] for p in parts]))) for i in range(0, len(rows), step)]
+                            yield [_plain(x) for some in done for x in some]
+                        elif waits:
+                            yield loop.run(together(rows))
+                        else:
+                            yield [row(r) for r in rows]
 
             def series(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
                 for out in rows_of(batches):
@@ -169,6 +219,21 @@ class Remote:
         return build
 
 
+def legacy_udf(*, return_dtype: Any, batch_size: int | None = None):
+    """The older form of user functions: a function of whole Series, or a class whose ``__call__`` is one; it may give a list.
+
+    A class gives a maker: call it with its arguments (or none) for the column function.
+    """
+
+    def wrap(f: Any) -> Any:
+        if inspect.isclass(f):
+            f.__call__ = batch_method(return_dtype=return_dtype, batch_size=batch_size)(f.__call__)
+            return functools.partial(Remote, f)
+        return batch(return_dtype=return_dtype, batch_size=batch_size)(f)
+
+    return wrap
+
+
 def generator(*, return_dtype: str):
     """A generator function as a table function: each value yielded is a row, sibling columns repeat, and parents without rows go unless ``outer``."""
 

@@ -17,10 +17,13 @@ _NAMED = ("WARC-Record-ID", "WARC-Target-URI", "WARC-Type", "WARC-Date", "WARC-I
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple]:
-    """Records of an archive, compressed or not: named fields, block, and all other fields as JSON. Blocks are cut by Content-Length."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)  # all members, one after another
+    """Records of an archive, compressed or not: named fields, block, and all other fields as JSON. Blocks are cut by Content-Length.
+
+    A compressed archive is read as a stream of its members, so that one record at a time is in memory besides ``raw``.
+    """
     stream = io.BytesIO(raw)
+    if raw[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -92,7 +95,8 @@ def read_sql(spark: SparkSession, query: str, connect: Callable, schema: str, sl
     arrow = _arrow(spark, schema)
 
     def make(k: int) -> Iterator[pa.RecordBatch]:
-        text = f"select * from ({query}) q" + (f" where abs({slice_by}) % {slices} = {k}" if slice_by else "")
+        mine = f"abs({slice_by}) % {slices} = {k}" + (f" or {slice_by} is null" if k == 0 else "")
+        text = f"select * from ({query}) q" + (f" where {mine}" if slice_by else "")
         con = connect()
         try:
             cursor = con.cursor()

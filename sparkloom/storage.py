@@ -52,3 +52,12 @@ def release(*tables: DataFrame | None) -> None:
             spark = df.sparkSession
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where a plan without shuffles would leave some idle, as small files and single row groups do."""
+    plan, cores = df._jdf.queryExecution().executedPlan(), df.sparkSession.sparkContext.defaultParallelism
+    # A plan with shuffles is adaptive, and asking it for its partitions would run it.
+    if plan.nodeName().startswith("AdaptiveSparkPlan") or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

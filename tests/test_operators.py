@@ -96,6 +96,7 @@ def test_html_blocks(spark):
     page = '<title>T</title><script>var t="<p>no</p>";</script><div>a<p>b &amp; c<p>d</div><ul><li>x<li>y</ul><br><style>p{}</style></q><p> </p>'
     assert extract.blocks_of(page) == [("title", "T"), ("div", "a b & c d"), ("p", "b & c"), ("p", "d"), ("li", "x"), ("li", "y")]
     assert extract.blocks_of(None) == []
+    assert extract.blocks_of("<table><caption>c</caption><tr><th>h<td>d</table><pre><code>x</code></pre><details><summary>s</summary></details><img alt='a'>") == [("caption", "c"), ("th", "h d"), ("td", "d"), ("pre", "x"), ("code", "x"), ("summary", "s")]
     df = spark.createDataFrame([(1, "<p>a</p><p>a</p><h1>a</h1>"), (2, None)], "id long, html string")
     found = extract.html_blocks(df, "id", "html").collect()
     assert len(found) == 3 and len({r["block_id"] for r in found}) == 2

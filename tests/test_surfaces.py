@@ -1,3 +1,4 @@
+import asyncio
 import gzip
 import sqlite3
 from collections.abc import Iterator
@@ -82,6 +83,58 @@ def test_row_batch_async_class_and_generator_functions(spark):
     assert z[0] == pytest.approx(-(2**0.5)) and sum(z) == pytest.approx(0)
 
 
+class Client:
+    """A class with every form of method."""
+
+    def __init__(self, base: int = 0):
+        self.base, self.running, self.most = base, 0, 0
+
+    async def later(self, x: int) -> int:
+        self.running += 1
+        self.most = max(self.most, self.running)
+        await asyncio.sleep(0.01)
+        self.running -= 1
+        if x == 3:
+            raise ValueError("three")
+        return self.base + x
+
+    async def peak(self, x: int) -> int:
+        await self.later(0)
+        return self.most
+
+    @udf.batch_method(return_dtype="long", batch_size=2)
+    def add(self, s: pd.Series, by: int) -> pd.Series:
+        assert len(s) <= 2
+        return s + self.base + by
+
+
+class OldStyle:
+    def __init__(self, by: int = 2):
+        self.by = by
+
+    def __call__(self, s):
+        return [x * self.by for x in s]
+
+
+def test_methods_of_every_form_and_the_older_ones(spark):
+    df = spark.range(6).coalesce(1)
+    c, client = F.col("id"), udf.Remote(Client).with_init_args(10)
+    got = df.select(client.method("later", on_error="log")(c), client.method("add")(c, 5)).collect()
+    assert [tuple(r) for r in got] == [(None if k == 3 else 10 + k, 15 + k) for k in range(6)]
+    with pytest.raises(Exception, match="three"):
+        df.select(client.method("later")(c)).collect()
+    assert max(r[0] for r in df.select(udf.Remote(Client, 77).with_concurrency(2).method("peak")(c)).collect()) <= 2
+    twice = udf.legacy_udf(return_dtype="long")(lambda s: [x * 2 for x in s])
+    old = udf.legacy_udf(return_dtype="long", batch_size=3)(OldStyle)
+    assert [tuple(r) for r in df.select(twice(c), old()(c), old(by=5)(c)).collect()] == [(2 * k, 2 * k, 5 * k) for k in range(6)]
+
+
+def test_images_and_generation(spark):
+    df = spark.createDataFrame([(b"abc", "Q one"), (None, None)], "b binary, q string")
+    got = df.select(ai.classify_image("b", ["cat", "dog"], "offline"), ai.llm_generate("q", model="any", provider="offline", extra_body={"guided_choice": ["A", "B"]}), ai.llm_generate("q", provider="offline")).collect()
+    assert got[0][0] in ("cat", "dog") and got[0][1] in ("A", "B") and got[0][2] == "answer: Q one" and tuple(got[1]) == (None, None, None)
+
+
 def test_model_calls(spark):
     df = spark.createDataFrame([("good news",), (None,)], "t string")
     calls = df.select(ai.prompt("t", "Say"), ai.prompt(["t", "t"], return_format=Point)["name"], ai.embed_text("t"), ai.classify_text("t", ["news", "law"]), ai.classify_text("t", ["news", "law"], multi_label=True)).collect()
