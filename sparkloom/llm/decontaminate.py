@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import _words
 from sparkloom.llm._words import mix
-from sparkloom.storage import materialize
+from sparkloom.storage import materialize, spread
 
 SEED = 71
 #: Every byte that is neither an ASCII letter or digit nor part of a non-ASCII character separates words.
@@ -345,7 +345,7 @@ def leaks(
         rows = numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         held = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], max_edits, min_words, times, sampled, recall, free_ends))
         del rows
-        part = docs.select("doc_id", "text").mapInArrow(functools.partial(_search, held), schema)
+        part = spread(docs.select("doc_id", "text")).mapInArrow(functools.partial(_search, held), schema)
         if blocks > 1:
             part = materialize(part, "leaks")
             held.destroy()

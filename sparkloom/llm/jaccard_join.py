@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import _words
 from sparkloom.operators.components import FEW_EDGES, connected_components
-from sparkloom.storage import materialize, release
+from sparkloom.storage import materialize, release, spread
 
 #: Points under a node of the tree.
 NODE = 16
@@ -79,9 +79,8 @@ def first_keys(s: np.ndarray, t: Fraction, most: int) -> np.ndarray:
     return np.concatenate(out) if out else s
 
 
-def _first_keys(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
+def _first_keys(docs: DataFrame, size: int, t: Fraction, most: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, and its keys."""
-    most = runs_for(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _words.chunks(batches):
@@ -96,7 +95,7 @@ def _first_keys(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
                 ["doc_id", "n_shingles", "digest", "head"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, head array<long>")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, head array<long>")
 
 
 def rare_parts(sets: list[np.ndarray], t: Fraction) -> list[list[int]]:
@@ -234,37 +233,38 @@ def _link_parts(rows: DataFrame, t: Fraction, groups: int) -> DataFrame:
 
 def _to_least(rows: DataFrame) -> DataFrame:
     """rows: rep, token. An edge (u, v) from each rep to the least one with the same token."""
-    rows = rows.repartition("token")
-    shared = rows.groupBy("token").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Minima are combined before they move, and a table of them leaves the join free to split a token that very many sets have.
+    shared = materialize(rows.groupBy("token").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
     return rows.join(shared, "token").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
 
 
 def _rarest(members: DataFrame, t: Fraction) -> DataFrame:
     """members: component, id, shingles. (rep, token): each set's rarest shingles, counted among all members."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(b, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, dtype=np.int64)), pa.array(s)], ["rep", "token"])
 
-    rows = members.select("id", "shingles").mapInArrow(spread, "rep long, token long").repartition("token")
+    rows = members.select("id", "shingles").mapInArrow(tokens, "rep long, token long").repartition("token")
     counted = rows.join(rows.groupBy("token").agg(F.count("*").alias("n")), "token")
     keep = F.size("all") - F.ceil(F.lit(t.numerator) * F.size("all") / F.lit(t.denominator)) + 1
     each = counted.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))  # one set a row
     return each.select("rep", F.explode(F.slice("all", 1, keep.cast("int"))).alias("x")).select("rep", "x.token")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, similarity: str = "0.8", groups: int = 256, block_shingles: int = 4_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, similarity: str = "0.8", groups: int = 256, block_shingles: int = 4_000_000, exact: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id, the least doc_id reachable by links.
 
     Other columns of ``docs`` are not looked at. Null or empty texts, and texts without words, have no shingles and link with
     nothing. Rows that repeat a doc_id count as one document. Rows whose doc_id is null get a null component and link with
-    nothing. An empty table gives an empty result. Sets are compared by 64-bit shingle hashes.
+    nothing. An empty table gives an empty result. Sets are compared by 64-bit shingle hashes. With ``exact`` large sets send all the
+    runs that counting asks for, not the first ``runs_for(t)``: no pair is left to chance, for several times the keys.
     """
     _words.small_batches(docs)
     t = Fraction(similarity)
-    heads = materialize(_first_keys(docs, size, t), "heads")
+    heads = materialize(_first_keys(docs, size, t, 1 << 62 if exact else runs_for(t)), "heads")
     known = heads.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head")), "classes")
     parts = materialize(connected_components(_to_least(classes.select("rep", F.explode("head").alias("token"))), one_task_rows=FEW_EDGES), "parts")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm._words import mix, small_batches
-from sparkloom.storage import materialize
+from sparkloom.storage import materialize, spread
 
 
 def line_hashes() -> Column:
@@ -153,7 +153,7 @@ def _inverse(n: int) -> np.ndarray:
 def overlaps(docs: DataFrame, rare: int = 16, least_words: int = 20) -> DataFrame:
     """(later, version, earlier, lines): the places, from 0, of lines to delete from each later document; version is its text's hash."""
     small_batches(docs)
-    lines = docs.filter("doc_id is not null").select("doc_id", _version(F.col("text")).alias("version"), line_hashes().alias("hashes"), line_words().alias("words"))
+    lines = spread(docs.select("doc_id", "text")).filter("doc_id is not null").select("doc_id", _version(F.col("text")).alias("version"), line_hashes().alias("hashes"), line_words().alias("words"))
     # Rows that repeat a doc_id: one text of them stands for it.
     lines = lines.groupBy("doc_id").agg(F.min_by(F.struct("version", "hashes", "words"), "version").alias("x")).select("doc_id", "x.*")
     lines = materialize(lines, "lines")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _words
-from sparkloom.storage import materialize, materialize_observed, release
+from sparkloom.storage import materialize, materialize_observed, release, spread
 
 #: Stands before each text order - 1 times, so that its first characters have a context too.
 PAD = "\x02"
@@ -198,7 +198,7 @@ def _log_perplexity(docs: DataFrame, labels: DataFrame, order: int = 5, broadcas
     sure = labels.filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     if sure.count() <= broadcast_ids:
         sure = F.broadcast(sure)
-    joined = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "lang", "text").join(sure, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    joined = spread(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "lang", "text")).join(sure, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     grams, seen = materialize_observed(_count(joined, order), "grams", n=F.count(F.lit(1)), **_counts_of())
     scored = score_grams(grams, order, seen)
     schema = "doc_id long, row_key long, lang string, trusted boolean, n_chars long, log_ppl double"

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _words
-from sparkloom.storage import materialize, release
+from sparkloom.storage import materialize, release, spread
 
 ORDERS = (4, 5, 6, 7)
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -117,7 +117,7 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge
 def labelled_texts(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, text and label of documents that ``labels`` (doc_id, label) names. Few labels go to the texts, many meet them by a shuffle."""
     labels = labels.select("doc_id", "label")
-    return docs.select("doc_id", "text").join(F.broadcast(labels) if labels.count() <= broadcast_rows else labels, "doc_id")
+    return spread(docs.select("doc_id", "text")).join(F.broadcast(labels) if labels.count() <= broadcast_rows else labels, "doc_id")
 
 
 def fit(labelled: DataFrame, bits: int = 20, features: int = 4096, sample: int = 20_000, alpha: float = 1.0) -> tuple[np.ndarray, float]:
@@ -174,7 +174,7 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, *keep: str | C
     """``keep`` columns (doc_id by default) and score, the probability of label 1; null and empty texts score as a text without features does."""
     bits = int(len(weights)).bit_length() - 1
     held = _words.small_batches(docs).sparkContext.broadcast(weights)
-    kept = docs.select(*(keep or ("doc_id",)), "text")
+    kept = spread(docs.select(*(keep or ("doc_id",)), "text"))
     schema = kept.drop("text").withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

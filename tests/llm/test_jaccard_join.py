@@ -64,6 +64,8 @@ def test_query_matches_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op4_jaccard_join"](spark, d).collect()}
     assert got == brute(rows)
+    exact = jaccard_join.jaccard_components(spark.read.parquet(f"{d}/documents.parquet"), exact=True).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in exact} == got
 
 
 def test_empty_nulls_repeats_and_other_columns(spark):
