@@ -84,13 +84,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
 
     Nulls and self loops are ignored, repeated edges count once, and any orderable type will do for nodes. An empty edge
     table gives an empty result. Raises if ``max_rounds`` do not suffice, which paths of fewer than 2**60 nodes never reach.
-    With ``one_task_rows`` Python helps: partitions first contract their edges to stars, and if no more than so many edges are left,
-    one task joins them, without the rounds' fixed cost. The result is the same.
+    With ``one_task_rows`` Python helps: if there are no more than so many distinct edges, one task joins them, without the rounds'
+    fixed cost; if there are more, partitions contract theirs to stars first. The result is the same.
     """
-    pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
-    if one_task_rows:
-        pairs = _forest(pairs.filter("u is not null and v is not null and u <> v"), one_task_rows)
-    now, mark = _write(_clean(pairs))
+    now, mark = _write(_clean(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))))
+    if one_task_rows and mark[0] > one_task_rows:
+        before = now
+        now, mark = _write(_clean(_forest(before, one_task_rows)))
+        release(before)
     if one_task_rows and mark[0] <= one_task_rows:
         found = materialize(_forest(now.coalesce(1)).select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
         release(now)
