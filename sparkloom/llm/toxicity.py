@@ -161,6 +161,7 @@ def fit(labelled: DataFrame, bits: int = 20, features: int = 4096, sample: int =
         share = min(1.0, half / total)
         kept.append(part.filter(F.col("order") <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else part)
     rows = kept[0].unionByName(kept[1]).select("order", "label", "text").mapInArrow(run, "order long, label int, present binary").collect()
+    held.destroy()
     rows.sort(key=lambda r: (r["order"], r["label"], bytes(r["present"])))
     y = np.array([r["label"] for r in rows], dtype=np.float64)
     w, b = fit_logistic([np.frombuffer(r["present"], dtype=np.int32).astype(np.int64) for r in rows], y, scale)

@@ -38,6 +38,7 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
         block = block[:-width] * np.uint64(pow(_BASE, width, 2**64)) + block[width:]
         width *= 2
     h = mix(h)
+    # Two hashes that agree in all but these bits (a chance of 2^-44 in a text of a million code points) would count as a tie.
     # Position in the low bits, counted from the end: the least key of a window is its least hash, rightmost on ties.
     n, w = len(h), min(window, len(h))
     bits = np.uint64(max(1, int(n).bit_length()))
@@ -69,7 +70,11 @@ def digest(hashes: np.ndarray, places: np.ndarray) -> str:
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """doc_id and entries (array of hash, position) for every row; null texts count as empty. Other columns are not looked at."""
+    """doc_id and entries (array of hash, position) for every row; null texts count as empty.
+
+    Null and repeated doc_ids are rows like others, each with its own text's entries. Other columns are not looked at; an empty
+    table gives an empty result.
+    """
 
     small_batches(docs)
 
