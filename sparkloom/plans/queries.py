@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import lists, media, text, vector
 from sparkloom.operators import ai, dedup, evaluation, extract, mapreduce, relational, retrieval, upsert, windows
 from sparkloom.operators.components import connected_components
+from sparkloom.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -593,6 +594,13 @@ def dedup_minhash(spark, d):
     return dedup.dedup(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "rep", "is_duplicate")
 
 
+@query()
+def dedup_blocks(spark, d):
+    """Pages to blocks of text, and of near-duplicate blocks the least; equal blocks of one page are one."""
+    blocks = extract.html_blocks(table(spark, d, "pages"), "page_id", "html").select("block_id", "text").dropDuplicates(["block_id"])
+    return dedup.keep_representatives(dedup.dedup(materialize(blocks, "blocks"), "block_id", "text")).select("block_id")
+
+
 @query()
 def dedup_keep_representative(spark, d):
     marked = dedup.dedup(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
