@@ -1,7 +1,8 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model trained on trusted text.
 
-Texts are lower-cased with white space runs as one space, and the model reads characters: character n-grams are few enough that
-each task can send every distinct one it holds to the counts, which words are not (nearly every word trigram is new).
+White space runs are one space, letters keep their case (capitals in the wrong places are noise), and the model reads characters:
+character n-grams are few enough that each task can send every distinct one it holds to the counts, which words are not (nearly
+every word trigram is new).
 
 1. Each task sends the distinct n-grams of its documents, with how often its trusted documents hold them.
 2. Counts are summed per n-gram, sharded by n-gram; lower orders count distinct left neighbours; contexts count how many
@@ -11,8 +12,9 @@ each task can send every distinct one it holds to the counts, which words are no
 4. Documents get the mean negative log probability of their characters (log perplexity). If the scored n-grams are few enough
    (``broadcast_ngrams``, checked by a count), they go to every task as one table and texts stay where they are. Otherwise
    texts and the n-grams that each block of documents needs meet by block; results are the same.
-5. Each language's limits are quantiles over its trusted documents; outside them a document is rejected. The upper limit finds
-   noise, the lower one text that repeats itself.
+5. Each language's limits are quantiles over its trusted documents of like length, as the perplexities of long texts lie far closer
+   together than those of short ones; outside them a document is rejected. The upper limit finds noise and ordinary words in
+   unlikely order, the lower one text that repeats itself.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ SCHEMA = "gram string, count long"
 
 def _grams(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray]:
     """The padded texts as one string, the hash of the n-gram ending at each character, and where texts begin in the hashes."""
-    plain = [" ".join(t.replace(PAD, " ").lower().split()) for t in texts]
+    plain = [" ".join(t.replace(PAD, " ").split()) for t in texts]
     joined = PAD * (order - 1) + (PAD * (order - 1)).join(plain)
     a = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
     h = a.copy()
@@ -275,29 +277,39 @@ def log_perplexity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return found
 
 
-def judge(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, slack: float = 0.1, fewest: int = 20, folds: int = 5, **options) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, slack: float = 0.07, fewest: int = 20, folds: int = 5, **options) -> DataFrame:
     """doc_id, row_key, lang, n_chars, log_ppl, low_limit, high_limit, keep: one row per row of ``docs``; row_key is xxhash64(doc_id, text).
 
     One trusted document in ``folds`` (by a hash of doc_id) stays out of the model, as most documents that it judges are; limits
-    come from these. A language's limits are the ``low`` and ``high`` quantiles of their log perplexity, moved outwards by
-    ``slack`` and by what the length allows (:data:`SHORT`). A language with fewer than ``fewest`` of them, and rows without a
-    language, use the limits over all. Without any, all are kept. Null, empty and blank texts have no perplexity and are rejected.
+    come from these. The limits of a language and a band of lengths (:func:`_band`) are the ``low`` and ``high`` quantiles of their
+    log perplexity, moved outwards by what the length allows (:data:`SHORT`) and by ``slack``, fourfold for quantiles of ``fewest``
+    documents and falling to itself as they grow in number. A band with fewer than ``fewest`` of them uses the limits over its
+    language, a language with fewer, and rows without a language, those over all. Without any, all are kept. Null,
+    empty and blank texts have no perplexity and are rejected.
     """
     outside = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
     scored = log_perplexity(docs, labels.filter(~outside), **options)
     sure = scored.filter(outside & F.col("log_ppl").isNotNull()).join(labels.filter("quality = 1").filter(outside).select("doc_id").distinct(), "doc_id", "left_semi")
     # Short texts vary more, by the root of the length. What a limit holds is the text's excess over that.
     # Four decimals keep the distinct values few, however many documents there are, so that the quantiles are exact and reruns agree.
-    sure = sure.select("lang", *[F.round(_centred(F.col("log_ppl"), side), 4).alias(k) for side, k in ((-1, "_low"), (1, "_high"))])
+    sure = sure.select("lang", _band().alias("band"), *[F.round(_centred(F.col("log_ppl"), side), 4).alias(k) for side, k in ((-1, "_low"), (1, "_high"))])
     ends = [F.expr(f"percentile_disc({share}) within group (order by {c})").alias(k) for c, share, k in (("_low", low, "a"), ("_high", high, "b"))]
-    by_lang = sure.filter("lang is not null").groupBy("lang").agg(*ends, F.count("*").alias("n")).filter(F.col("n") >= fewest).drop("n")
-    every = sure.agg(F.first(F.lit(1)).alias("one"), *[e.alias(k) for e, k in zip(ends, ("all_a", "all_b"), strict=True)]).drop("one")
-    rows = scored.join(by_lang, "lang", "left").crossJoin(F.broadcast(every))
+    # One pass for all three: whether a row of limits is for a language and whether it is for a band. A band over all languages is not asked for.
+    limits = sure.rollup("lang", "band").agg(F.grouping_id().alias("over"), *ends, F.count("*").alias("n"))
+    limits = materialize(limits, "limits")
+    loose = F.lit(slack) * (1 + F.lit(3 * fewest) / F.col("n"))
+    limits = limits.select("lang", "band", "over", "n", (F.col("a") - loose).alias("a"), (F.col("b") + loose).alias("b"))
+    enough = limits.filter((F.col("n") >= fewest) & F.col("lang").isNotNull())
+    by_band = enough.filter("over = 0").select("lang", "band", F.col("a").alias("band_a"), F.col("b").alias("band_b"))
+    by_lang = enough.filter("over = 1").select("lang", "a", "b")
+    every = limits.filter("over = 3").select(F.col("a").alias("all_a"), F.col("b").alias("all_b"))
+    every = every.agg(F.first("all_a").alias("all_a"), F.first("all_b").alias("all_b"))  # a row of nulls where there are no limits
+    rows = scored.withColumn("band", _band()).join(by_band, ["lang", "band"], "left").join(by_lang, "lang", "left").crossJoin(F.broadcast(every))
     spread = SHORT / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
     rows = rows.select(
         "doc_id", "row_key", "lang", "n_chars", "log_ppl",
-        (F.coalesce("a", "all_a") - slack - spread).alias("low_limit"),
-        (F.coalesce("b", "all_b") + slack + spread).alias("high_limit"),
+        (F.coalesce("band_a", "a", "all_a") - spread).alias("low_limit"),
+        (F.coalesce("band_b", "b", "all_b") + spread).alias("high_limit"),
     )
     ok = F.coalesce(F.col("log_ppl").between(F.col("low_limit"), F.col("high_limit")), F.col("log_ppl").isNotNull())
     return rows.withColumn("keep", ok)
@@ -305,7 +317,14 @@ def judge(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float =
 
 #: Nats that the log perplexity of a text of one character may lie further out; a text of n may by this over the root of n.
 SHORT = 2.0
+#: Longest texts, in characters, of the bands of length but the last.
+BANDS = (64, 256, 1024, 4096)
 
 
 def _centred(c, side: int):
     return c - side * SHORT / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
+
+
+def _band() -> Column:
+    """The number of the first band of :data:`BANDS` that holds a text of n_chars characters."""
+    return sum((F.col("n_chars") > n).cast("int") for n in BANDS)
