@@ -504,9 +504,12 @@ def top_hosts(spark, d):
     return table(spark, d, "pages").groupBy(host).agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "host").limit(10)
 
 
-@query()
+@query(r"""with e as (select doc_id, text as a, regexp_replace(text, '[\w.+-]+@[\w-]+\.[\w.-]*\w', '[EMAIL]', 'g') as b from documents),
+i as (select *, regexp_replace(b, '\b(?:\d{1,3}\.){3}\d{1,3}\b', '[IP]', 'g') as c from e), p as (select *, regexp_replace(c, '\+?\d[\d ().-]{7,}\d', '[PHONE]', 'g') as safe_text from i)
+select doc_id, safe_text, concat_ws(',', case when a <> b then 'EMAIL' end, case when b <> c then 'IP' end, case when c <> safe_text then 'PHONE' end) as pii_types from p""")
 def pii_redaction(spark, d):
-    return relational.unnest(table(spark, d, "documents").select("doc_id", text.redact_pii("text").alias("p")), "p")
+    out = relational.unnest(table(spark, d, "documents").select("doc_id", text.redact_pii("text").alias("p")), "p")
+    return out.withColumn("pii_types", F.array_join("pii_types", ","))
 
 
 # ---------------------------------------------------------------- extraction
@@ -681,7 +684,14 @@ def pair_grid(spark, d):
     return evaluation.pair_grid(table(spark, d, "nation"), ["n_regionkey"], "n_name", "n_nationkey")
 
 
-@query()
+@query("""with recursive g as (select a.n_regionkey as k, a.n_name as x, b.n_name as y, [1.0, 0.0, 0.5][(a.n_nationkey * b.n_nationkey) % 3 + 1] as s,
+row_number() over (partition by a.n_regionkey order by a.n_name, b.n_name) as i from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_name < b.n_name),
+play(k, i, m) as (select k, cast(0 as bigint), list({'model': model, 'rating': cast(1000 as double)}) from (select k, x as model from g union select k, y from g) group by k
+union all select k, i, list_transform(m, lambda e: {'model': e.model, 'rating': e.rating + change * case e.model when x then 1 when y then -1 else 0 end})
+from (select k, g.i, x, y, m, 32 * (s - 1 / (1 + pow(10, (list_filter(m, lambda e: e.model = y)[1].rating - list_filter(m, lambda e: e.model = x)[1].rating) / 400))) as change
+from play join g using (k) where g.i = play.i + 1)),
+ended as (select k, unnest(arg_max(m, i)) as e from play group by k)
+select k as n_regionkey, e.model as model, round(e.rating, 6) as rating from ended""")
 def elo_ratings(spark, d):
     games = pair_grid(spark, d).withColumn("verdict", evaluation.verdict(F.element_at(F.array(*[F.lit(x) for x in (" a.", "B", "unsure")]), ((F.col("response_a") * F.col("response_b")) % 3 + 1).cast("int"))))
     return evaluation.elo(games, ["model_a", "model_b"], by="n_regionkey").withColumn("rating", r("rating", 6))
@@ -753,7 +763,10 @@ def mapreduce_classify(spark, d):
     return mapreduce.classify(table(spark, d, "documents"), "source", "text", ["finance", "science", "sport"], "offline")
 
 
-@query()
+# The offline provider answers with the instruction and the first 12 words.
+@query(r"""with p as (select conv_id, turn, 'Summarize.: ' || array_to_string(regexp_extract_all(text, '\S+')[1:12], ' ') as part from conversations),
+d as (select conv_id, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn) as joined from p group by conv_id)
+select conv_id, 'Summarize.: ' || array_to_string(regexp_extract_all(joined, '\S+')[1:12], ' ') as summary from d""")
 def mapreduce_summarize(spark, d):
     return mapreduce.summarize(table(spark, d, "conversations"), "conv_id", "turn", "text", provider="offline")
 
