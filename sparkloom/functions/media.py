@@ -1,7 +1,8 @@
 """Images, frames and segments.
 
 An image is a struct of height, width, channels, mode and raw bytes, row by row. PNG (8 bits, not interlaced) and binary
-PPM/PGM are decoded without further libraries; anything else is null or an error, as asked for.
+PPM/PGM are decoded without further libraries; other formats, such as JPEG, by a function of the caller's. What neither can read
+is null or an error, as asked for.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import io
 import struct
 import wave
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -102,14 +104,22 @@ def _frame(rows: list[dict | None]) -> pd.DataFrame:
     return pd.DataFrame([r or dict.fromkeys(names) for r in rows], columns=names).astype({"mode": object, "data": object})
 
 
-def decode_image(c: str | Column, on_error: str = "null") -> Column:
-    """File bytes to an image; ``on_error``: "null" or "raise"."""
+def _pixels(raw: bytes, decode: Callable[[bytes], np.ndarray] | None) -> np.ndarray:
+    """By the decoder that is built in if the file is one of its formats, else by ``decode``; two dimensions are one channel."""
+    if decode is None or raw[:2] in (b"P5", b"P6") or raw[:8] == b"\x89PNG\r\n\x1a\n":
+        return decode_array(raw)
+    a = np.asarray(decode(raw), dtype=np.uint8)
+    return a[:, :, None] if a.ndim == 2 else a
+
+
+def decode_image(c: str | Column, on_error: str = "null", decode: Callable[[bytes], np.ndarray] | None = None) -> Column:
+    """File bytes to an image; ``on_error``: "null" or "raise". ``decode(bytes)`` gives the pixels (height, width, channels) of formats not built in."""
 
     @F.pandas_udf(IMAGE)
     def run(s: pd.Series) -> pd.DataFrame:
         def one(raw: bytes | None) -> dict | None:
             try:
-                return None if raw is None else _row(decode_array(bytes(raw)))
+                return None if raw is None else _row(_pixels(bytes(raw), decode))
             except Exception:
                 if on_error == "raise":
                     raise
@@ -149,12 +159,12 @@ def crop(c: str | Column, x: int, y: int, width: int, height: int) -> Column:
     return _each(c, lambda a: a[y : y + height, x : x + width])
 
 
-def encode_image(c: str | Column) -> Column:
-    """An image as PNG bytes."""
+def encode_image(c: str | Column, encode: Callable[[np.ndarray], bytes] | None = None) -> Column:
+    """An image as PNG bytes, or as what ``encode(pixels)`` makes of it."""
 
     @F.pandas_udf("binary")
     def run(images: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if r["data"] is None else encode_png(_array(r)) for r in images.to_dict("records")], dtype=object)
+        return pd.Series([None if r["data"] is None else (encode or encode_png)(_array(r)) for r in images.to_dict("records")], dtype=object)
 
     return run(c)
 

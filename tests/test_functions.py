@@ -79,6 +79,26 @@ def test_images(spark):
     assert np.array_equal(media.decode_array(bytes(again)), red)
 
 
+def test_images_of_other_formats(spark):
+    """A format that only the caller's functions know; built-in formats don't reach them."""
+
+    def decode(raw):
+        if raw[:2] != b"X:":
+            raise ValueError("not X")
+        return np.frombuffer(raw[3:], dtype=np.uint8).reshape(raw[2], -1)
+
+    def encode(a):
+        return b"X:" + bytes([a.shape[0]]) + a[:, :, 0].tobytes()
+
+    grey = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
+    df = spark.createDataFrame([(encode(grey),), (media.encode_png(grey),), (b"?",), (None,)], "raw binary").withColumn("image", media.decode_image("raw", decode=decode))
+    out = df.select(media.encode_image("image", encode).alias("x"), "image").collect()
+    assert [r["x"] and bytes(r["x"]) for r in out] == [encode(grey), encode(grey), None, None]
+    assert (out[0]["image"]["height"], out[0]["image"]["width"], out[0]["image"]["mode"]) == (2, 3, "L")
+    with pytest.raises(Exception, match="not X"):
+        df.select(media.decode_image("raw", "raise", decode)).collect()
+
+
 def test_sound_and_segments(spark):
     raw = io.BytesIO()
     with wave.open(raw, "wb") as w:
