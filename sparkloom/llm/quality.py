@@ -194,7 +194,7 @@ def _means(texts: list[str], scores: Scores, order: int) -> tuple[np.ndarray, np
     return n, np.where(n > 0, -sums / np.maximum(n, 1), np.nan)
 
 
-def _log_perplexity(docs: DataFrame, labels: DataFrame, order: int = 5, broadcast_ngrams: int = 1_000_000, broadcast_ids: int = 2_000_000, block_chars: int = 32_000_000) -> tuple[DataFrame, Callable]:
+def _log_perplexity(docs: DataFrame, labels: DataFrame, order: int = 5, broadcast_ngrams: int = 2_000_000, broadcast_ids: int = 2_000_000, block_chars: int = 32_000_000) -> tuple[DataFrame, Callable]:
     """The rows of :func:`log_perplexity`, still to be computed, and what to call once they are."""
     spark = _words.small_batches(docs)
     sure = labels.filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
