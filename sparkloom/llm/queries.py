@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, jaccard_join, linededup, mixing, quality, sharding, toxicity, urlfilter, warc, winnow
+from sparkloom.llm import decontaminate, divergence, jaccard_join, linededup, mixing, quality, sharding, toxicity, urlfilter, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,10 +75,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_revisits,
         op9_toxicity,
         op10_line_dedup,
+        op13_divergence,
     )
 }
 #: SQL for the operators whose results SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op13_divergence": r"""with d as (select row_number() over () as r, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, cast(count(*) as bigint) as lang_n from w group by 1, 2 having count(distinct r) >= 30),
+g as (select distinct lang, source from d), v as (select lang, cast(count(*) as bigint) as v, cast(sum(lang_n) as bigint) as lang_total from k group by 1),
+c as (select lang, source, term, cast(count(*) as bigint) as n from w group by 1, 2, 3),
+s as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.lang_n, v.v, v.lang_total, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as total
+from g join k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (select lang, source, term, n, cast(1 + 1000000000 * (n + 5)::hugeint // (total + 5 * v)::hugeint as bigint) as p, cast(1 + 1000000000 * (lang_n + 5)::hugeint // (lang_total + 5 * v)::hugeint as bigint) as q from s),
+f as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+rows as (select * from pairs union all select lang, source, 'term', term, p - q from p where n > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as int) as rank from rows)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50""",
     "op4_jaccard_join": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
 s as (select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as sh from w),
 n as (select doc_id, cast(len(sh) as bigint) as n_shingles from s), e as (select doc_id, unnest(sh) as g from s),
