@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, divergence, jaccard_join, linededup, mixing, quality, sharding, toxicity, urlfilter, warc, winnow
+from sparkloom.llm import decontaminate, divergence, jaccard_join, linededup, mixing, pointintime, quality, sharding, toxicity, urlfilter, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pointintime.features(*[_table(spark, sf_dir, t) for t in ("clicks", "sales", "sale_lines")])
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -75,11 +79,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_revisits,
         op9_toxicity,
         op10_line_dedup,
+        op12_point_in_time,
         op13_divergence,
     )
 }
 #: SQL for the operators whose results SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op12_point_in_time": r"""with s as (select client_id, sale_id, epoch_us(sold_at) as sold, epoch_us(arrived_at) + 14400000000 as seen, coalesce(cast(floor(100 * total + 0.5) as bigint), 0) as cents
+from sales where client_id is not null and sold_at is not null),
+crc as (select n, list_reduce(list_prepend(n, range(0, 8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(0, 256) t(n)),
+tab as (select list(c order by n) as tab from crc),
+p as (select client_id, sale_id, sold + (xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(sale_id as varchar), ''), lambda ch: ascii(ch)::bigint)), lambda c, b: xor(c >> 8, tab[cast(xor(c, b) & 255 as int) + 1])), 4294967295::bigint) % 259200) * 1000000 as t
+from s, tab),
+w as (select client_id, sale_id, t, d, t - d * 86400000000 as since from p, (values (2), (14)) v(d)),
+c as (select client_id, click_id, epoch_us(ts) as ts, epoch_us(arrived_at) + 14400000000 as seen, kind, coalesce(cast(floor(100 * value + 0.5) as bigint), 0) as cents from (select distinct * from clicks)),
+fc as (select w.sale_id, w.d, count(*) as n_clicks, count(*) filter (kind = 'purchase') as n_purchases, cast(sum(cents) as bigint) as click_cents, arg_max(click_id, struct_pack(ts := ts, i := click_id)) as last_click_id
+from w join c on c.client_id = w.client_id and c.ts > w.since and c.ts <= w.t and c.seen <= w.t group by 1, 2),
+fs as (select w.sale_id, w.d, count(*) as n_sales, cast(sum(cents) as bigint) as sale_cents from w join s on s.client_id = w.client_id and s.sold > w.since and s.sold <= w.t and s.seen <= w.t group by 1, 2),
+l as (select s.client_id, s.sold, greatest(s.seen, epoch_us(shipped_at)) as seen, item_id, coalesce(cast(floor(100 * amount + 0.5) as bigint), 0) as cents from sale_lines x join s on s.sale_id = x.sale_id where s.seen is not null and shipped_at is not null),
+fl as (select w.sale_id, w.d, count(*) as n_lines, count(distinct item_id) as n_items, cast(sum(cents) as bigint) as line_cents from w join l on l.client_id = w.client_id and l.sold > w.since and l.sold <= w.t and l.seen <= w.t group by 1, 2),
+n as (select distinct p.sale_id from p join s on s.client_id = p.client_id and s.sold > p.t and s.sold <= p.t + 7 * 86400000000)
+select w.sale_id, w.d, w.t as t_us, n.sale_id is not null as label, coalesce(n_clicks, 0) as n_clicks, coalesce(n_purchases, 0) as n_purchases, coalesce(click_cents, 0) as click_cents, last_click_id,
+coalesce(n_sales, 0) as n_sales, coalesce(sale_cents, 0) as sale_cents, coalesce(n_lines, 0) as n_lines, coalesce(n_items, 0) as n_items, coalesce(line_cents, 0) as line_cents
+from w left join fc using (sale_id, d) left join fs using (sale_id, d) left join fl using (sale_id, d) left join n using (sale_id)""",
     "op13_divergence": r"""with d as (select row_number() over () as r, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
 w as (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
 k as (select lang, term, cast(count(*) as bigint) as lang_n from w group by 1, 2 having count(distinct r) >= 30),
