@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, divergence, jaccard_join, linededup, mixing, pointintime, quality, sharding, toxicity, urlfilter, warc, winnow
+from sparkloom.llm import decontaminate, divergence, jaccard_join, linededup, maintext, mixing, pointintime, quality, sharding, toxicity, urlfilter, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pointintime.features(*[_table(spark, sf_dir, t) for t in ("clicks", "sales", "sale_lines")])
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_revisits,
         op9_toxicity,
         op10_line_dedup,
+        op11_main_text,
         op12_point_in_time,
         op13_divergence,
     )
