@@ -49,7 +49,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: What a container says it has, or has not, besides: no name of its own.
-_BESIDES = re.compile(r"\b(?:with|without|has|no|hide|show)[-_]\w+", re.I)
+_BESIDES = re.compile(r"\b(?:with|without|has|no|hide|show)(?:[-_]\w+|[A-Z]\w*)")
 #: Parts of other documents and of other readers; an article inside them is not the page's.
 _OTHERS = re.compile("comment.*|disqus|discussion|repl.*|respond|responses|related.*|recommend.*|recirc.*|teaser.*|trending|popular|ad|ads|adv|advert.*|sponsor.*|promo.*")
 
