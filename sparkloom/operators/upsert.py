@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.manifest import newest
+
 
 def typed(df: DataFrame) -> DataFrame:
     """Columns of type null as strings, so that the table can be written."""
@@ -14,10 +16,10 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame | None, new: DataFrame, keys: list[str], dedupe: bool = False) -> DataFrame:
-    """Existing rows whose key is not among the new ones, and all new rows. Null keys never match. dedupe: one new row per key."""
+    """Existing rows whose key is not among the new ones, and all new rows. Null keys never match. dedupe: one new row per key, the greatest by all columns."""
     new = typed(new)
     if dedupe:
-        new = new.dropDuplicates(keys)
+        new = newest(new, keys)
     if existing is None:
         return new
     return existing.join(new.select(keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)

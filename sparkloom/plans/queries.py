@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import lists, media, text, vector
 from sparkloom.operators import ai, dedup, evaluation, extract, mapreduce, relational, retrieval, upsert, windows
 from sparkloom.operators.components import connected_components
-from sparkloom.storage import materialize
+from sparkloom.sources import manifest, pushdown
+from sparkloom.storage import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -716,6 +717,40 @@ def upsert_result(spark, d):
     return upsert.upsert(old, new, ["user_id"])
 
 
+@query("""select o_orderkey, o_custkey, o_orderstatus, round(case when o_orderkey % 7 = 3 then o_totalprice * 2 else o_totalprice end, 4) as o_totalprice from orders
+union all select o_orderkey + 100000000, o_custkey, 'N', round(o_totalprice, 4) from orders where o_orderkey % 11 = 5""")
+def upsert_manifest(spark, d):
+    """All orders in files by ranges of their key; then a seventh of them anew, and some with keys that weren't there."""
+    root = new_path(spark, "orders")
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    orders = table(spark, d, "orders").select(columns)
+    manifest.upsert(spark, root, orders, ["o_orderkey"], files=8)
+    again = orders.filter("o_orderkey % 7 = 3").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    more = orders.filter("o_orderkey % 11 = 5").withColumns({"o_orderkey": F.col("o_orderkey") + 100_000_000, "o_orderstatus": F.lit("N")})
+    manifest.upsert(spark, root, again.unionByName(more), ["o_orderkey"])
+    return manifest.read(spark, root).withColumn("o_totalprice", r("o_totalprice"))
+
+
+@query("""select vec_id, label, round(list_sum(embedding), 4) as total, len(embedding) as dims, vec_id % 5 as part from embeddings""")
+def sink_vectors(spark, d):
+    """All embeddings through a sink that commits once, in five appends, and read back from its newest version."""
+    root = new_path(spark, "vectors")
+    vectors = table(spark, d, "embeddings")
+    for k in range(5):
+        manifest.write(vectors.filter(F.col("vec_id") % 5 == k).withColumn("part", F.lit(k).cast("long")), root, "vec_id")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return manifest.read(spark, root).select("vec_id", "label", r(total).alias("total"), F.size("embedding").alias("dims"), "part")
+
+
+@query("""select event_type, count(*) as events, count(distinct user_id) as users, round(sum(value), 4) as total, min(event_id) as first from events
+where user_id >= 10 and user_id < 500 and event_type in ('click', 'view', 'purchase') and ts >= timestamp '2024-01-03' group by event_type""")
+def source_pushdown(spark, d):
+    """Events through a Python source that takes the filters, skips row groups and returns what matches."""
+    events = pushdown.read_filtered(spark, f"{d}/events.parquet", ["event_id", "user_id", "event_type", "value", "ts"])
+    kept = events.filter("user_id >= 10 and user_id < 500 and event_type in ('click', 'view', 'purchase') and ts >= timestamp_ntz'2024-01-03'")
+    return kept.groupBy("event_type").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), r(F.sum("value")).alias("total"), F.min("event_id").alias("first"))
+
+
 @query(f"""with {BARS} select ticker, day, round(avg(volume) over (partition by ticker order by day rows 6 preceding), 1) as trailing_mean from bars""")
 def trailing_avg7(spark, d):
     return upsert.trailing_mean(bars(spark, d), ["ticker"], "day", "volume").select("ticker", "day", "trailing_mean")
