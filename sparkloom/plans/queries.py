@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import lists, media, text, vector
-from sparkloom.operators import ai, dedup, evaluation, extract, mapreduce, relational, retrieval, upsert, windows
+from sparkloom.operators import ai, dedup, evaluation, extract, ivf, mapreduce, relational, retrieval, upsert, windows
 from sparkloom.operators.components import connected_components
 from sparkloom.sources import manifest, pushdown
 from sparkloom.storage import materialize, new_path
@@ -625,6 +625,15 @@ def knn_per_query(spark, d):
     return found.select("query_id", "vec_id", F.abs(r("distance", 6)).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+# About the nearest rows, so there is no SQL; the recall against knn_per_query's way is tested.
+@query()
+def ann_per_query(spark, d):
+    """The ten nearest of all vectors for every vector whose id is divisible by 100, by an index over all of them."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = ivf.build(e, new_path(spark, "ivf"))
+    return ivf.search(index, e, e.filter("vec_id % 100 = 0").toDF("query_id", "query_embedding"), 10)
+
+
 @query("""select vec_id, round(distance, 6) as distance from (select e.vec_id, list_cosine_distance(cast(e.embedding as double[]), cast(q.embedding as double[])) as distance from embeddings e, embeddings q where q.vec_id = 7) order by distance, vec_id limit 10""")
 def knn_global(spark, d):
     e = table(spark, d, "embeddings")
