@@ -17,14 +17,19 @@ hold enough terms, whose k-th value is a first limit; then those whose bound is
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm._words import small_batches
 from sparkloom.storage import materialize, release, spread
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What lies between terms: all of ASCII but letters.
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Each byte of a text as terms have it: ASCII letters in lower case, the rest of ASCII, which lies between terms, as a blank.
+_BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+HELD = 200_000
 SMOOTH, SCALE = 5, 10**9
 
 
@@ -36,12 +41,34 @@ def frequency(count: Column, total: Column, terms: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, df): occurrences, and the documents with the term. Tasks combine before anything moves."""
-    terms = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), _BETWEEN, -1), lambda t: t != "")
-    each = docs.select(*_group(), terms.alias("terms"))
-    seen = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))))
-    rows = each.select("lang", "source", F.explode(seen).alias("x")).select("lang", "source", "x.term", "x.first")
-    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("first")).alias("n"), F.sum("first").alias("df"))
+    """(lang, source, term, n, df): occurrences, and the documents with the term. Tasks combine before anything moves.
+
+    Letters become lower-case, and what lies between terms blanks, byte by byte in UTF-8; a task holds at most about HELD terms.
+    """
+    small_batches(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        for batch in batches:
+            for text, *key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                terms = text.encode("utf-8", "surrogatepass").translate(_BYTES).split()
+                n, df = held.setdefault(tuple(key), (Counter(), Counter()))
+                n.update(terms)
+                df.update(set(terms))
+            if sum(len(n) for n, _ in held.values()) > HELD:
+                yield from emit(held)
+                held = {}
+        yield from emit(held)
+
+    def emit(held: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, df) in held.items():
+            if n:
+                names = [pa.array([x] * len(n), pa.string()) for x in (lang, source)]
+                counts = [pa.array(n.values(), pa.int64()), pa.array([df[t] for t in n], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(n.keys(), pa.binary()).cast(pa.string()), *counts], ["lang", "source", "term", "n", "df"])
+
+    each = docs.select(F.coalesce("text", F.lit("")).alias("text"), *_group()).mapInArrow(run, "lang string, source string, term string, n long, df long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def _group() -> list[Column]:

@@ -51,6 +51,13 @@ def test_equals_brute_force(spark, seed, top):
     assert run(spark, rows, least_docs=4, top=top) == brute(rows, 4, top)
 
 
+def test_counts_are_the_same_however_often_tasks_let_go(spark, monkeypatch):
+    rows = [(k, f"a b{k % 5} c a É {'x' * (k % 3)}", "en", f"s{k % 3}") for k in range(60)]
+    want = run(spark, rows, least_docs=3)
+    monkeypatch.setattr(divergence, "HELD", 0)
+    assert run(spark, rows, least_docs=3) == want == brute(rows, 3, 50)
+
+
 def test_ties_very_long_text_and_empty_table(spark):
     rows = [(k, "b a c " * (30_000 if k == 0 else 1), "en", f"s{k % 2}") for k in range(6)] + [(9, "rare " * 50, "en", "s0")]
     assert run(spark, rows, least_docs=2, top=2) == brute(rows, 2, 2)
