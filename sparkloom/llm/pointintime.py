@@ -130,14 +130,8 @@ def _parts(parts: DataFrame, spans: list[int], levels: int) -> DataFrame:
     """Each line as a row of its sale's windows and, disjoint from the item's other lines, as a row of its item's presence."""
     parts = parts.withColumn("cell", _cell(F.col("lo")))
     if levels:
-        # What an item's lines in other cells leave to this one: the latest sale before, and when the next line comes.
-        here = parts.filter("cell >= 0 and item_id is not null")
-        cells = materialize(here.groupBy(*_CHUNK, "item_id", "cell").agg(F.max("sold").alias("sold"), F.min("lo").alias("lo")), "cells")
-        key = ["client_id", "item_id"]
-        before = _over_cells(cells, cells.select(*_CHUNK, "item_id", "cell"), key, levels, [F.max("sold").alias("sold")]).withColumn("lo", _long(BEGIN))
-        after = _over_cells(cells, cells.select(*_CHUNK, "item_id", "cell"), key, levels, [F.min("lo").alias("lo")], after=True).withColumn("sold", _long(BEGIN))
-        edges = before.unionByName(after).withColumns({"n": _long(0), "cents": _long(0)})
-        parts = parts.unionByName(edges)
+        edges = _item_edges(parts.filter("cell >= 0 and item_id is not null").select(*_CHUNK, "item_id", "cell", "lo", "sold"), levels)
+        parts = parts.unionByName(edges.withColumns({"n": _long(0), "cents": _long(0)}))
     line = Window.partitionBy("client_id", "item_id", "cell").orderBy("lo", "sold")
     parts = parts.withColumns({"reach": F.max("sold").over(line.rowsBetween(Window.unboundedPreceding, 0)), "until": F.lead("lo", 1, END).over(line)}).filter("n > 0")
     lo, n = [F.col("lo")], len(spans)
@@ -147,6 +141,33 @@ def _parts(parts: DataFrame, spans: list[int], levels: int) -> DataFrame:
     return parts.withColumn("x", F.explode(both)).select(*_CHUNK, "x.*", _long(NONE).alias("ts"), _long(NONE).alias("id"))
 
 
+#: Cells, and blocks of cells, that one window spans.
+_BITS = 6
+
+
+def _item_edges(rows: DataFrame, bits: int) -> DataFrame:
+    """What an item's lines in other cells leave to each of its cells, as two rows: the latest sale before, at BEGIN, and when its next line comes.
+
+    Cells are summed up in blocks of 2^_BITS, these in blocks again until there is one, and each block is a window of its own.
+    """
+    group = [*_CHUNK, "item_id"]
+    cells = rows.groupBy(*group, "cell").agg(F.min("lo").alias("lo"), F.max("sold").alias("sold"))
+    inner = cells.select("*", F.shiftright("cell", _BITS).alias("block"), F.lit(0).alias("side"))
+    if bits > _BITS:
+        outer = _item_edges(cells.withColumn("cell", F.shiftright("cell", _BITS)), bits - _BITS).withColumnRenamed("cell", "block")
+        # Rows that come from earlier blocks have no line of their own here, those from later ones no sale.
+        before = F.col("lo") == BEGIN
+        outer = outer.withColumns({"side": F.when(before, -1).otherwise(1), "lo": F.when(before, END).otherwise(F.col("lo")), "cell": _long(-1)})
+        inner = inner.unionByName(outer)
+    block = Window.partitionBy(*group, "block").orderBy("side", "cell")
+    found = inner.withColumns(
+        {"latest": F.max("sold").over(block.rowsBetween(Window.unboundedPreceding, -1)), "next": F.min("lo").over(block.rowsBetween(1, Window.unboundedFollowing))}
+    )
+    found = materialize(found.filter("side = 0").select(*group, "cell", "latest", "next"), "edges")
+    before = found.filter(F.col("latest") > BEGIN).select(*group, "cell", _long(BEGIN).alias("lo"), F.col("latest").alias("sold"))
+    return before.unionByName(found.filter(F.col("next") < END).select(*group, "cell", F.col("next").alias("lo"), _long(BEGIN).alias("sold")))
+
+
 def _hot(clicks: DataFrame, sold: DataFrame, parts: DataFrame, chunk_rows: int) -> tuple[DataFrame, int]:
     """Clients of more rows than ``chunk_rows``, with the first time, width and number of their cells, and how many bits number the cells."""
     with scoped_conf(clicks.sparkSession, spark__sql__session__timeZone="UTC"):
@@ -175,17 +196,16 @@ def _placed(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("client_id", at.alias("cell"), "kind", *[x.alias(e) for e, x in here.items()], *_VALUES, *[x.alias(c) for c, x in last.items()])
 
 
-def _over_cells(totals: DataFrame, asked: DataFrame, key: list[str], levels: int, aggs: list[Column], more: tuple[str, ...] = (), after: bool = False) -> DataFrame:
-    """For each row of ``asked`` (key, cell and others): the aggregates, by ``more``, of the rows of ``totals`` of that key in all earlier (later) cells.
+def _over_cells(totals: DataFrame, asked: DataFrame, levels: int, aggs: list[Column], more: str) -> DataFrame:
+    """For each row of ``asked`` (client_id, cell): the aggregates, by ``more``, of the rows of ``totals`` of that client in all earlier cells.
 
-    The cells before c are a node of 2^k cells for each bit k that is set in c, those after c one for each that isn't.
+    The cells before c are a node of 2^k cells for each bit k that is set in c.
     """
-    names = [c for c in totals.columns if c not in key and c != "cell"]
-    up = totals.select(*key, *names, F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("k"), "cell").withColumn("node", F.expr("shiftright(cell, k)")).drop("cell")
-    up = up.groupBy(*key, *more, "k", "node").agg(*aggs)
-    bits = F.filter(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.call_function("shiftright", F.col("cell"), k) % 2 == (0 if after else 1))
-    down = asked.withColumn("k", F.explode(bits)).withColumn("node", F.expr("shiftright(cell, k)") + (1 if after else -1))
-    return down.join(up, [*key, "k", "node"]).groupBy(*asked.columns, *more).agg(*aggs)
+    up = totals.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("node", F.expr("shiftright(cell, k)"))
+    up = up.groupBy("client_id", more, "k", "node").agg(*aggs)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.call_function("shiftright", F.col("cell"), k) % 2 == 1)
+    down = asked.withColumn("k", F.explode(bits)).withColumn("node", F.expr("shiftright(cell, k)") - 1)
+    return down.join(up, ["client_id", "k", "node"]).groupBy("client_id", "cell", more).agg(*aggs)
 
 
 def _constants(crowded: DataFrame, asked: DataFrame, levels: int, n: int) -> DataFrame:
@@ -195,7 +215,7 @@ def _constants(crowded: DataFrame, asked: DataFrame, levels: int, n: int) -> Dat
     totals = crowded.groupBy("client_id", "cell", "kind").agg(
         *[F.sum(F.col(v) * (inside("lo") - inside(f"h{i}"))).alias(f"{v}_{i}") for v in _VALUES for i in range(n)], F.max(F.struct("ts", "id")).alias("last")
     )
-    found = _over_cells(totals, asked, ["client_id"], levels, [*[F.sum(c).alias(c) for c in sums], F.max("last").alias("last")], ("kind",))
+    found = _over_cells(totals, asked, levels, [*[F.sum(c).alias(c) for c in sums], F.max("last").alias("last")], "kind")
     each = []
     for i in range(n):
         # From the chunk's begin; in the other windows it is gone at once.

@@ -68,6 +68,12 @@ def test_equals_brute_force_whatever_the_chunks(spark, seed, chunk_rows):
     assert run(spark, *tables, chunk_rows=chunk_rows) == brute(*tables)
 
 
+def test_blocks_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(pointintime, "_BITS", 1)
+    tables = shop(6)
+    assert run(spark, *tables, chunk_rows=10) == brute(*tables)
+
+
 def test_repeated_sales_null_ids_and_rows_that_nobody_sees(spark):
     sales = [(1, 1, None, 1.0, T0, T0, None)] * 2 + [(None, 1, None, None, T0 + DAY, None, None), (2, None, None, 1.0, T0, T0, None), (3, 9, None, 1.0, None, T0, None)]
     lines = [(1, 1, 5, 1, 1, 1.0, 0.0, None, T0)] * 3 + [(None, 1, 5, 1, 1, 1.0, 0.0, None, T0)]
