@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import lists, media, text, vector
 from sparkloom.operators import ai, dedup, evaluation, extract, ivf, mapreduce, relational, retrieval, upsert, windows
 from sparkloom.operators.components import connected_components
-from sparkloom.sources import manifest, pushdown
+from sparkloom.sources import archives, manifest, pushdown
 from sparkloom.storage import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,6 +533,16 @@ def html_blocks(spark, d):
     return extract.html_blocks(table(spark, d, "pages"), "page_id", "html")
 
 
+@query("""select url, cast(octet_length(encode(coalesce(html, ''))) as int) as n_bytes, sha256(coalesce(html, '')) as digest from pages""")
+def warc_splits(spark, d):
+    """All pages written as ordinary compressed archives, and read back in pieces of 64 kB, several a file."""
+    path = new_path(spark, "archives")
+    pages = table(spark, d, "pages").select(F.col("url").alias("uri"), F.lit("2024-01-01T00:00:00Z").alias("date"), F.col("html").alias("content"))
+    archives.write_archives(pages, path)
+    found = archives.read_archives(spark, path, split_bytes=1 << 16)
+    return found.select(F.col("`WARC-Target-URI`").alias("url"), F.length("warc_content").alias("n_bytes"), F.sha2("warc_content", 256).alias("digest"))
+
+
 @query("""select page_id, cast(length(regexp_extract(line, '^(#+)')) as int) as level, trim(regexp_replace(line, '^[# ]+', ''), ' ') as heading
 from (select page_id, unnest(['# ' || url, '## ' || cast(page_id as varchar)]) as line from pages)""")
 def markdown_headings(spark, d):

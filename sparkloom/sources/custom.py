@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 import io
-import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,9 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-WARC_SCHEMA = "`WARC-Record-ID` string, `WARC-Target-URI` string, `WARC-Type` string, `WARC-Date` string, `WARC-Identified-Payload-Type` string, warc_content binary, warc_headers string"
-_NAMED = ("WARC-Record-ID", "WARC-Target-URI", "WARC-Type", "WARC-Date", "WARC-Identified-Payload-Type")
-
+from sparkloom.sources import archives
 
 def parse_warc(raw: bytes) -> Iterator[tuple]:
     """Records of an archive, compressed or not: named fields, block, and all other fields as JSON. Blocks are cut by Content-Length.
@@ -24,38 +21,13 @@ def parse_warc(raw: bytes) -> Iterator[tuple]:
     stream = io.BytesIO(raw)
     if raw[:2] == b"\x1f\x8b":
         stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        head: dict[str, str] = {}
-        while (line := stream.readline()) and line.strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip()] = value.strip()
-        content = stream.read(int(head.pop("Content-Length", "0")))
-        named = [head.pop(n, None) for n in _NAMED]
-        if named[0]:
-            named[0] = named[0].removeprefix("<urn:uuid:").removesuffix(">")
-        yield (*named, content, json.dumps(head, sort_keys=True))
-
-
-def read_warc(spark: SparkSession, path: str, content: str = "raw") -> DataFrame:
-    """Records of the archives at a path, read by Spark, a file a task. content: raw (all), wet (conversion), wat (metadata) or warc (response)."""
+    yield from (archives.row_of(head, block) for head, block in archives.records(stream))
+
+
+def read_warc(spark: SparkSession, path: str, content: str = "raw", split_bytes: int = 64 << 20) -> DataFrame:
+    """Records of the archives at a path, compressed ones by many tasks a file. content: raw (all), wet (conversion), wat (metadata) or warc (response)."""
     kinds = {"wet": "conversion", "wat": "metadata", "warc": "response"}
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                rows: list[tuple] = []
-                for r in parse_warc(raw.as_py()):
-                    rows.append(r)
-                    if len(rows) == 1000:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
-    out = files.mapInArrow(run, WARC_SCHEMA)
+    out = archives.read_archives(spark, path, split_bytes)
     return out.filter(F.col("`WARC-Type`") == kinds[content]) if content in kinds else out
 
 
@@ -73,12 +45,6 @@ def crawl_paths(listing: DataFrame, content: str = "warc", segment: str | None =
     return [prefix + r["value"] for r in (rows.limit(num_files) if num_files else rows).collect()]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 5 + [pa.binary(), pa.string()]
-    names = [*_NAMED, "warc_content", "warc_headers"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-
 class _Slices(DataSourceReader):
     def __init__(self, make: Callable[[int], Iterator[pa.RecordBatch]], count: int):
         self.make, self.count = make, count
