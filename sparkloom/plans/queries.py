@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions import lists, media, text, vector
-from sparkloom.operators import ai, dedup, evaluation, extract, ivf, mapreduce, relational, retrieval, upsert, windows
+from sparkloom.functions import lists, media, text, variant, vector
+from sparkloom.operators import ai, dedup, evaluation, extract, ivf, mapreduce, ordered, relational, retrieval, upsert, windows
 from sparkloom.operators.components import connected_components
 from sparkloom.sources import archives, manifest, pushdown
 from sparkloom.storage import materialize, new_path
@@ -389,6 +389,33 @@ rank() over (partition by user_id order by value desc, event_id) as place, lag(v
 select user_id, event_id, spree, cast(place as bigint) as place, before, round(value - before, 4) as step from w"""
 
 
+@query("""select l_orderkey, l_linenumber, row_number() over (order by l_shipdate desc, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as row_number, rank() over (order by l_shipdate desc) as rank,
+dense_rank() over (order by l_shipdate desc) as dense_rank,
+cast(sum(cast(round(l_extendedprice * 100) as bigint)) over (order by l_shipdate desc, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice rows unbounded preceding) as bigint) as running_cents from lineitem""")
+def ordered_lineitem(spark, d):
+    """Numbers, ranks and running revenue of all line items in one order, without a window over all of them."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    out = ordered.ordered_totals(lines, ["-l_shipdate"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], sums={"running_cents": "cents"})
+    return out.select("l_orderkey", "l_linenumber", "row_number", "rank", "dense_rank", "running_cents")
+
+
+@query("""select event_id, cast(row_number() over (partition by event_type order by ts, event_id) as bigint) as row_number,
+cast(sum(cast(round(value * 100) as bigint)) over (partition by event_type order by ts, event_id rows unbounded preceding) as bigint) as running_cents from events""")
+def ordered_by_type(spark, d):
+    """Running totals in a handful of groups, each of which spans many tasks."""
+    events = table(spark, d, "events").select("event_id", "event_type", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return ordered.ordered_totals(events, ["ts"], ["event_id"], ["event_type"], {"running_cents": "cents"}).select("event_id", "row_number", "running_cents")
+
+
+@query("""select event_id, cast(sum(cast(round(value) as bigint)) over w as bigint) as upto_peers, cast(sum(cast(round(value) as bigint)) over (partition by user_id order by date_trunc('day', ts), event_id rows unbounded preceding) as bigint) as upto_row
+from events window w as (partition by user_id order by date_trunc('day', ts))""")
+def win_default_frame(spark, d):
+    """The default frame of an ordered window ends with the last peer, that of ROWS with the row."""
+    e = table(spark, d, "events").withColumns({"day": F.date_trunc("day", "ts"), "v": F.round("value").cast("long")})
+    by_row = Window.partitionBy("user_id").orderBy("day", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return e.select("event_id", F.sum("v").over(Window.partitionBy("user_id").orderBy("day")).alias("upto_peers"), F.sum("v").over(by_row).alias("upto_row"))
+
+
 @query(CTE.format(second="cast(epoch(date_trunc('second', ts)) as bigint)", events="events"))
 def sql_cte_windows(spark, d):
     return spark.sql(CTE.replace("{second}", "unix_timestamp(ts)"), events=table(spark, d, "events"))
@@ -479,6 +506,17 @@ def json_fields(spark, d):
     return table(spark, d, "events").select("event_id", lists.json_struct("props", "k long")["k"].alias("k"), lists.json_query("props", ".k").alias("k_text"))
 
 
+@query("""with j as (select click_id, ts, props, case when json_valid(props) then cast(props as json) end as v from (select distinct * from clicks))
+select click_id, try_cast(case when json_type(v, '$.k') <> 'NULL' then v ->> '$.k' end as bigint) as k, v ->> '$.device.os' as os, v ->> '$.device.ver' as ver,
+cast(json_array_length(v, '$.items') as int) as n_items, try_cast(v ->> '$.items[0].sku' as bigint) as first_sku, props is not null and v is null as malformed from j""")
+def json_variant(spark, d):
+    """Properties of clicks as variants: missing fields, other kinds and texts that are no JSON are null."""
+    rows = table(spark, d, "clicks").dropDuplicates().select("click_id", "props")
+    paths = {"k": ("$.k", "long"), "os": ("$.device.os", "string"), "ver": ("$.device.ver", "string"), "items": ("$.items", "array<variant>"), "first_sku": ("$.items[0].sku", "long")}
+    out = variant.json_columns(rows, "props", paths, "malformed")
+    return out.select("click_id", "k", "os", "ver", F.when(F.col("items").isNotNull(), F.size("items")).alias("n_items"), "first_sku", "malformed")
+
+
 @query("""select event_id, strftime(make_timestamp(cast(event_id as bigint) * 86400000 * 1000 + 1500000), '%Y-%m-%d %H:%M:%S.%g') as t from events""")
 def epoch_millis(spark, d):
     t = lists.epoch_millis(F.col("event_id") * 86_400_000 + 1500)
