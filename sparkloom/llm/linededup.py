@@ -9,9 +9,10 @@
 3. Each pair is aligned by patience diff on line hashes: lines that are unique in both, in their longest common order, split the
    documents; between them the same is done again, and equal lines that touch a matched one join it.
 4. Aligned blocks of at least ``least_words`` words are deleted from the later document; all pairs of a document count.
-5. An alignment keeps one order and needs lines that are unique in both, so it misses passages in another order and repeated ones.
-   Every run that the pair shares goes too, wherever it stands: of the lines of the later text, as they stood together there, no
-   run with ``least_words`` words that an earlier document has is left.
+5. An alignment keeps one order and needs lines that are unique in both, so a pair is aligned again, with what went taken out, until
+   an alignment finds no more, or ROUNDS times. Then runs take the place of lines as symbols, as passages of repeated lines are told by
+   them, and what still holds a line is aligned in as many ascending orders as it needs, at once. Of the lines of the later text, as they stood together there, no run with
+   ``least_words`` words that its earlier documents have is left.
 
 Pairs and alignments carry line hashes, an earlier document's once per task; texts move once, to meet what is deleted from them.
 """
@@ -77,18 +78,74 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(matched: list[tuple[int, int]]) -> Iterator[list[int]]:
-    """Places in the later sequence, by runs that touch in both."""
-    run: list[int] = []
-    last = None
-    for i, j in matched:
-        if last != (i - 1, j - 1) and run:
-            yield run
-            run = []
-        run.append(j)
-        last = (i, j)
-    if run:
-        yield run
+def orders(places: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Pairs (i, j), given by ascending j, dealt to as few alignments, ascending in both, as hold them all: each goes on the first that it can follow."""
+    tops: list[int] = []  # the last i of each alignment, from the greatest to the least, negated
+    out: list[list[tuple[int, int]]] = []
+    for i, j in places:
+        k = bisect_left(tops, 1 - i)
+        if k == len(tops):
+            tops.append(-i)
+            out.append([])
+        tops[k] = -i
+        out[k].append((i, j))
+    return out
+
+
+def _whole(a: list[int], b: list[int], i: int, j: int, end: int) -> tuple[int, int]:
+    """The run of b around [j, end), which a has from i on, with all lines before and behind it that touch and are equal too."""
+    behind = i + end - j
+    while i and j and a[i - 1] == b[j - 1]:
+        i, j = i - 1, j - 1
+    while behind < len(a) and end < len(b) and a[behind] == b[end]:
+        behind, end = behind + 1, end + 1
+    return j, end
+
+
+#: Alignments of lines, each of which costs as much as the first; passages in very many orders are left to runs, which need no more of them.
+ROUNDS = 8
+
+
+def aligned_lines(a: list[int], b: list[int], words: list[int], least_words: int) -> np.ndarray:
+    """Places in b, whose lines have so many words, of the blocks of least_words words that alignments with a find until there are no more."""
+    gone = np.zeros(len(b), dtype=bool)
+    upto = np.concatenate([[0], np.cumsum(words)])
+    known = set(a)
+    for _ in range(ROUNDS):
+        # What went, or a lacks, is left out as a symbol of its own, which parts what it stood between.
+        left = [x if x in known and not gone[j] else None for j, x in enumerate(b)]
+        more = False
+        for i, j, end in _touching(patience(a, [x if x is not None else ("gone", j) for j, x in enumerate(left)])):
+            j, end = _whole(a, b, i, j, end)
+            if upto[end] - upto[j] >= least_words:
+                more |= not gone[j:end].all()
+                gone[j:end] = True
+        if not more:
+            break
+    # Runs as symbols: of those that a has, all that still hold a line.
+    count = dict(zip(b, words, strict=True))
+    theirs, at, _ = _runs(np.array(a, dtype=np.int64), np.array([count.get(x, least_words) for x in a], dtype=np.int64), least_words)
+    mine, start, end = _runs(np.array(b, dtype=np.int64), np.array(words, dtype=np.int64), least_words)
+    first = dict(zip(theirs[::-1].tolist(), at[::-1].tolist(), strict=True))
+    dead = np.concatenate([[0], np.cumsum(gone)])
+    rest = sorted((s, e, first[t]) for t, s, e in zip(mine.tolist(), start.tolist(), end.tolist(), strict=True) if t in first and dead[e] - dead[s] < e - s)
+    ends = {(i, s): e for s, e, i in rest}
+    for order in orders([(i, s) for s, _, i in rest]):
+        for i, s in order:
+            j, e = _whole(a, b, i, s, ends[i, s])
+            gone[j:e] = True
+    return np.flatnonzero(gone)
+
+
+def _touching(matched: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(i, j, end): runs of matched places that touch in both, from i in a and j to end in b."""
+    k = 0
+    while k < len(matched):
+        n = 1
+        while k + n < len(matched) and matched[k + n] == (matched[k][0] + n, matched[k][1] + n):
+            n += 1
+        yield (*matched[k], matched[k][1] + n)
+        k += n
 
 
 def _runs(h: np.ndarray, n: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,19 +159,6 @@ def _runs(h: np.ndarray, n: np.ndarray, least_words: int) -> tuple[np.ndarray, n
     return mix((place[end] - place[start]) * _inverse(len(h))[start] + (end - start).astype(np.uint64)).view(np.int64), start, end
 
 
-def shared_lines(a: list[int], b: list[int], words: list[int], least_words: int) -> np.ndarray:
-    """Places in b, whose lines have so many words, of all runs of least_words words that a has too."""
-    count = dict(zip(b, words, strict=True))
-    # A line that b lacks ends every run of a, and no run with it is one of b's.
-    theirs, _, _ = _runs(np.array(a, dtype=np.int64), np.array([count.get(x, least_words) for x in a], dtype=np.int64), least_words)
-    mine, start, end = _runs(np.array(b, dtype=np.int64), np.array(words, dtype=np.int64), least_words)
-    both = np.isin(mine, theirs)
-    depth = np.zeros(len(b) + 1, dtype=np.int64)
-    np.add.at(depth, start[both], 1)
-    np.add.at(depth, end[both], -1)
-    return np.flatnonzero(np.cumsum(depth[:-1]) > 0)
-
-
 def _tokens(lines: DataFrame, least_words: int) -> DataFrame:
     """(doc_id, token, run): each document's distinct lines with words (run false) and runs (run true), as hashes."""
 
@@ -178,8 +222,7 @@ def overlaps(docs: DataFrame, rare: int = 16, least_words: int = 20) -> DataFram
                 if later is None:
                     a = b
                     continue
-                gone = {j for part in blocks(patience(a, b)) if sum(words[j] for j in part) >= least_words for j in part}
-                gone = sorted(gone.union(shared_lines(a, b, words, least_words).tolist()))
+                gone = aligned_lines(a, b, words, least_words).tolist()
                 if gone:
                     out.append((later, version, earlier, gone))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4

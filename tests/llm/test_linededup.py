@@ -12,11 +12,59 @@ def test_patience_gives_a_common_subsequence_and_finds_moved_blocks_once():
         assert all(a[i] == b[j] for i, j in m) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(m, m[1:], strict=False))
     assert linededup.patience([1, 2, 3, 9], [7, 1, 2, 3]) == [(0, 1), (1, 2), (2, 3)]
     assert linededup.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
-    assert list(linededup.blocks([(0, 1), (1, 2), (3, 3), (4, 9)])) == [[1, 2], [3], [9]]
+    assert list(linededup._touching([(0, 1), (1, 2), (3, 3), (4, 9)])) == [(0, 1, 3), (3, 3, 4), (4, 9, 10)]
+
+
+def common(a, b, words, least):
+    """Places in b of all runs of at least so many words that a has too, found diagonal by diagonal."""
+    at, gone = {}, set()
+    for i, x in enumerate(a):
+        at.setdefault(x, []).append(i)
+    for j, x in enumerate(b):
+        for i in at.get(x, ()):
+            if i and j and a[i - 1] == b[j - 1]:
+                continue
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(words[j : j + n]) >= least:
+                gone |= set(range(j, j + n))
+    return sorted(gone)
+
+
+def test_alignments_find_all_common_runs():
+    rng = random.Random(8)
+    for k in range(600):
+        size = rng.choice([3, 8, 30])
+        count = [rng.choice([0, 1, 5, 9, 25]) for _ in range(size)]
+        a, b = ([rng.randrange(size) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        if k % 3 == 0:
+            b = b[:3] + a[5:] + a[:5] + a[:4] + b[3:]
+        words = [count[x] for x in b]
+        assert linededup.aligned_lines(a, b, words, 20).tolist() == common(a, b, words, 20)
+
+
+def test_orders_are_ascending_and_few():
+    rng = random.Random(2)
+    for _ in range(200):
+        places = [(rng.randrange(12), j) for j in range(rng.randint(0, 15))]
+        found = linededup.orders(places)
+        assert sorted(x for o in found for x in o) == sorted(places)
+        assert all(p[0] < q[0] for o in found for p, q in zip(o, o[1:], strict=False))
+        # As many as the longest run that never ascends.
+        longest = [0] * len(places)
+        for q, (i, _) in enumerate(places):
+            longest[q] = 1 + max([longest[p] for p in range(q) if places[p][0] >= i], default=0)
+        assert len(found) == max(longest, default=0)
+    passages = [[10 * k + x for x in range(10)] for k in range(2000)]
+    a, b = sum(passages, []), sum(reversed(passages), [])
+    assert len(linededup.aligned_lines(a, b, [3] * len(b), 20)) == len(b)
+    many = [(50_000 - k, k) for k in range(50_000)]
+    assert len(linededup.orders(many)) == 50_000
 
 
 def brute(docs, rare=16, least=20):
-    """The pairs and deletions by the definition, with this module's alignment."""
+    """The pairs and deletions by the definition, without an alignment."""
     lines = {d: [" ".join(x.split()) for x in (t or "").split("\n")] for d, t in docs}
     held = {}
     for d, ls in lines.items():
@@ -32,9 +80,7 @@ def brute(docs, rare=16, least=20):
     pairs = {(d, min(ds)) for x, ds in held.items() if len(ds) > 1 and (len(ds) <= rare or isinstance(x, tuple)) for d in ds if d != min(ds)}
     gone = {d: set() for d in lines}
     for late, early in pairs:
-        for part in linededup.blocks(linededup.patience([number[x] for x in lines[early]], [number[x] for x in lines[late]])):
-            if sum(len(lines[late][j].split()) for j in part) >= least:
-                gone[late] |= set(part)
+        gone[late] |= set(common([number[x] for x in lines[early]], [number[x] for x in lines[late]], [len(x.split()) for x in lines[late]], least))
     return {d: ("\n".join(x for j, x in enumerate((t or "").split("\n")) if j not in gone[d]), sorted(gone[d])) for d, t in docs}
 
 
