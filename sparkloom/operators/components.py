@@ -21,17 +21,19 @@ def _clean(edges: DataFrame) -> DataFrame:
     return edges.filter("u is not null and v is not null and u <> v").distinct()
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """For each node, its larger neighbours point to the smallest of the node and its neighbours."""
+def large_star(edges: DataFrame, split: bool = False) -> DataFrame:
+    """For each node, its larger neighbours point to the smallest of the node and its neighbours. split: see :func:`connected_components`."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialize(least, "least") if split else least
     return _clean(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """For each node, the node itself and its smaller neighbours point to the smallest of these."""
+def small_star(edges: DataFrame, split: bool = False) -> DataFrame:
+    """For each node, the node itself and its smaller neighbours point to the smallest of these. split: see :func:`connected_components`."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(least, "least") if split else least
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _clean(moved.unionAll(least.select("u", F.col("m").alias("v"))))
 
@@ -79,13 +81,16 @@ def _forest(edges: DataFrame, held: int = 0) -> DataFrame:
     return edges.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, one_task_rows: int = 0) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, one_task_rows: int = 0, split_hubs: bool = False) -> DataFrame:
     """``(node, component)`` for every node that has an edge to another; ``component`` is the least node reachable.
 
     Nulls and self loops are ignored, repeated edges count once, and any orderable type will do for nodes. An empty edge
     table gives an empty result. Raises if ``max_rounds`` do not suffice, which paths of fewer than 2**60 nodes never reach.
     With ``one_task_rows`` Python helps: if there are no more than so many distinct edges, one task joins them, without the rounds'
     fixed cost; if there are more, partitions contract theirs to stars first. The result is the same.
+
+    A hub's edges meet its minimum in one join key. With ``split_hubs`` the minima of each step are a table of their own, two small writes
+    more a round, so that adaptive execution can deal a hub's edges to several tasks; an aggregate under the join keeps it from that.
     """
     now, mark = _write(_clean(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))))
     if one_task_rows and mark[0] > one_task_rows:
@@ -98,7 +103,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         return found
     for _ in range(max_rounds):
         before, seen = now, mark
-        now, mark = _write(small_star(large_star(before)))
+        now, mark = _write(small_star(large_star(before, split_hubs), split_hubs))
         release(before)
         if mark == seen:
             break

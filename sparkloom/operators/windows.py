@@ -43,6 +43,15 @@ def running(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"cum_volume": F.sum("volume").over(upto), "running_min": F.min("close").over(upto), "first_close": F.first("close").over(upto)})
 
 
-def fractional_range_mean(df: DataFrame, key: str, t: str, value: str, span: float, name: str) -> DataFrame:
-    """Mean of value over rows of the key within ``span`` before t; the frame may be fractional, which only SQL text takes."""
-    return df.withColumn(name, F.expr(f"avg(`{value}`) over (partition by `{key}` order by `{t}` range between {span} preceding and current row)"))
+def fractional_range_mean(df: DataFrame, key: str, t: str, value: str, span: float, name: str, spans: int = 64) -> DataFrame:
+    """Mean of value over rows of the key within ``span`` before t; the frame may be fractional, which only SQL text takes.
+
+    A key is no task: its rows are dealt to stretches of t of ``spans`` spans, and those that the frames of the next stretch reach into go
+    there too, to be looked at only.
+    """
+    width = span * spans
+    stretch = F.floor(F.col(f"`{t}`") / width)
+    reaches = F.floor((F.col(f"`{t}`") + span * (1 + 1e-9)) / width)
+    rows = df.withColumn("_at", F.explode(F.array_distinct(F.array(stretch, reaches)))).withColumn("_own", F.col("_at").eqNullSafe(stretch))
+    out = rows.withColumn(name, F.expr(f"avg(`{value}`) over (partition by `{key}`, _at order by `{t}` range between {span} preceding and current row)"))
+    return out.filter("_own").drop("_at", "_own")

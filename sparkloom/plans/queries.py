@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import lists, media, text, variant, vector
 from sparkloom.operators import ai, dedup, evaluation, extract, ivf, mapreduce, ordered, relational, retrieval, upsert, windows
 from sparkloom.operators.components import connected_components
-from sparkloom.sources import archives, manifest, pushdown
+from sparkloom.sources import archives, compaction, manifest, pushdown
 from sparkloom.storage import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,9 +251,10 @@ def agg_global_stats(spark, d):
         r(F.min("value")).alias("low"), r(F.max("value")).alias("high"), r(F.avg("value"), 6).alias("mean"), r(F.sum("value")).alias("total"),
     )
 
-@query("""select event_type, array_to_string(list(cast(event_id as varchar) order by ts, cast(event_id as varchar)), ',') as ids from events group by event_type""")
+@query("""select user_id, strftime(ts, '%Y-%m') as month, array_to_string(list(cast(event_id as varchar) order by ts, cast(event_id as varchar)), ',') as ids from events group by all""")
 def list_agg_sorted(spark, d):
-    e = table(spark, d, "events").groupBy("event_type")
+    """A list for each user and month: groups that stay small however many events there are."""
+    e = table(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month"))
     return e.agg(lists.list_join(lists.ordered_list("ts", F.col("event_id").cast("string")), ",").alias("ids"))
 
 
@@ -707,13 +708,16 @@ def l2_shift(spark, d):
     return e.select("vec_id", r(vector.l2_distance("embedding", "before"), 6).alias("shift"))
 
 
-@query("""with s as (select label, vec_id, cast(vec_id as double) / 24 as t, list_distance(cast(embedding as double[]), cast(lag(embedding) over (partition by label order by vec_id) as double[])) as shift from embeddings)
-select vec_id, round(avg(shift) over (partition by label order by t range between 1.0 preceding and current row), 6) as slow, coalesce(shift > 1.3, false) as is_cut from s""")
+@query("""with s as (select label, vec_id, cast(vec_id as double) / 24 as t, list_distance(cast(embedding as double[]), cast(lag(embedding) over (partition by label order by vec_id) as double[])) as shift from embeddings),
+m as (select vec_id, shift, avg(shift) over (partition by label order by t range between 1.0 preceding and current row) as slow, avg(shift) over (partition by label order by t range between 0.25 preceding and current row) as fast from s)
+select vec_id, round(slow, 6) as slow, round(fast, 6) as fast, coalesce(shift > 1.3, false) as is_cut, coalesce(slow >= 1.4 and shift <= 1.45, false) as is_dissolve from m""")
 def shot_boundaries(spark, d):
+    """Hard cuts by one frame's shift, dissolves by the mean over a second where no single frame stands out."""
     before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
     e = table(spark, d, "embeddings").withColumn("t", F.col("vec_id") / 24).withColumn("shift", vector.l2_distance("embedding", before))
-    out = windows.fractional_range_mean(e, "label", "t", "shift", 1.0, "slow")
-    return out.select("vec_id", r("slow", 6).alias("slow"), F.coalesce(F.col("shift") > 1.3, F.lit(False)).alias("is_cut"))
+    out = windows.fractional_range_mean(windows.fractional_range_mean(e, "label", "t", "shift", 1.0, "slow"), "label", "t", "shift", 0.25, "fast")
+    cut, dissolve = F.col("shift") > 1.3, (F.col("slow") >= 1.4) & (F.col("shift") <= 1.45)
+    return out.select("vec_id", r("slow", 6).alias("slow"), r("fast", 6).alias("fast"), F.coalesce(cut, F.lit(False)).alias("is_cut"), F.coalesce(dissolve, F.lit(False)).alias("is_dissolve"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -788,6 +792,15 @@ def upsert_manifest(spark, d):
     return manifest.read(spark, root).withColumn("o_totalprice", r("o_totalprice"))
 
 
+@query("""select doc_id, lang, source, sha256(coalesce(text, '')) as digest from documents""")
+def compacted_documents(spark, d):
+    """All documents written as many small files by source, packed into few, and read back."""
+    many, few = new_path(spark, "many"), new_path(spark, "few")
+    table(spark, d, "documents").repartition(8).write.partitionBy("source").parquet(many)
+    compaction.compact(spark, many, few, 1 << 20, ["source"])
+    return compaction.read_compacted(spark, few).select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+
+
 @query("""select vec_id, label, round(list_sum(embedding), 4) as total, len(embedding) as dims, vec_id % 5 as part from embeddings""")
 def sink_vectors(spark, d):
     """All embeddings through a sink that commits once, in five appends, and read back from its newest version."""
@@ -870,6 +883,44 @@ def mapreduce_search(spark, d):
     return mapreduce.search(c, "conv_id", "turn", "text", "What is said?", "offline", hit).select("conv_id", "turn")
 
 
+@query(r"""with p as (select conv_id, turn, 'Analyze: tone: ' || array_to_string(regexp_extract_all(text, '\S+')[1:12], ' ') as part from conversations),
+d as (select conv_id, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn) as joined from p group by conv_id)
+select conv_id, 'Analyze: tone: ' || array_to_string(regexp_extract_all(joined, '\S+')[1:12], ' ') as analysis from d""")
+def mapreduce_analyze(spark, d):
+    return mapreduce.analyze(table(spark, d, "conversations"), "conv_id", "turn", "text", "tone", "offline")
+
+
+@query(r"""with l as (select conv_id, unnest(string_split(regexp_replace(text, '[.!?,]+', chr(10), 'g'), chr(10))) as line from conversations)
+select distinct conv_id, trim(line) as item from l where trim(line) <> ''""")
+def mapreduce_extract(spark, d):
+    """The distinct clauses of each conversation: the whole texts, without a model."""
+    lines = F.regexp_replace("text", "[.!?,]+", "\n")
+    return mapreduce.extract(table(spark, d, "conversations"), "conv_id", "text", lines=lines)
+
+
+@query(r"""with p as (select conv_id, turn, 'answer: ' || array_to_string(regexp_extract_all('What is asked?' || chr(10) || text, '\S+')[1:12], ' ') as part from conversations where contains(text, 'that')),
+d as (select conv_id, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn) as joined from p group by conv_id)
+select conv_id, 'Synthesize: What is : ' || array_to_string(regexp_extract_all(joined, '\S+')[1:12], ' ') as answer from d""")
+def mapreduce_answer(spark, d):
+    c = table(spark, d, "conversations")
+    return mapreduce.question_answer(c, "conv_id", "turn", "text", "What is asked?", "offline", F.contains(F.col("text"), F.lit("that")))
+
+
+# Embeddings come from Python, so there is no SQL; a plain version over all sentences is tested.
+@query()
+def transcript_contexts(spark, d):
+    """Questions answered from transcripts: every sentence of every turn embedded, the five nearest for each question, and these as one context in their order."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(text.chunk_sentences("text", 0)).alias("n", "sentence")).filter("trim(sentence) <> ''")
+    segments = turns.select(F.concat_ws("/", "conv_id", "turn", "n").alias("segment"), "sentence", ai.embed_text("sentence", "offline").alias("embedding"))
+    asked = [(k, q) for k, q in enumerate(TRANSCRIPT_QUESTIONS)]
+    questions = spark.createDataFrame(asked, "query_id long, question string").withColumn("query_embedding", ai.embed_text("question", "offline"))
+    found = retrieval.knn(segments, questions, 5, key="segment").join(segments.select("segment", "sentence"), "segment")
+    return questions.select("query_id", "question").join(retrieval.contexts(found, "query_id", "sentence", "\n\n"), "query_id")
+
+
+TRANSCRIPT_QUESTIONS = ("What is said about the answer?", "How do I read a table in Spark?", "Where are the main points of the question?")
+
+
 # ---------------------------------------------------------------- streaming twins
 
 

@@ -17,13 +17,13 @@ def store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def data_files(path: str, suffix: str = "") -> list[tuple[str, int]]:
-    """(path, bytes) of a file, or of the files below a folder in the order of their names, without hidden ones."""
+    """(path, bytes) of a file, or of the files below a folder in the order of their names, without hidden ones (folders of partitions, with a =, are none)."""
     fs, base = store(path)
     info = fs.get_file_info(base)
     if info.type == pafs.FileType.File:
         return [(base, info.size)]
     found = fs.get_file_info(pafs.FileSelector(base, recursive=True))
-    shown = [f for f in found if f.type == pafs.FileType.File and not re.search(r"/[._]", f.path[len(base) :])]
+    shown = [f for f in found if f.type == pafs.FileType.File and not re.search(r"/[._][^/=]*(?:/|$)", f.path[len(base) :])]
     return sorted((f.path, f.size) for f in shown if f.path.endswith(suffix))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset: a temporary folder for a local master, else one in the warehouse."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset: a temporary folder for a local master, else one in the warehouse, if that is shared."""
     sc = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
@@ -20,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
     else:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_sparkloom"
+        # A local path is another folder on every machine, and what one task writes there no other one finds.
+        if found.startswith("file:") or "://" not in found:
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share; the warehouse, {found}, is local")
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
