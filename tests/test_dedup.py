@@ -38,3 +38,23 @@ def test_partitioning_does_not_matter(spark):
     one = {tuple(r) for r in dedup.dedup(docs.coalesce(1), "doc_id", "text").select("doc_id", "rep").collect()}
     assert one == {tuple(r) for r in dedup.dedup(docs.repartition(9), "doc_id", "text").select("doc_id", "rep").collect()}
     assert any(a != b for a, b in one)
+
+
+def test_recall_of_bands(spark):
+    """Of all pairs of documents whose word 5-grams have a similarity of 0.7 or more, how many end in one group."""
+    import re
+    from itertools import combinations
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        w = re.sub(r"[!-/:-@\[-`{-~]", "", (r["text"] or "").lower()).split()
+        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    pairs = [(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and sets[b] and 0.7 * max(len(sets[a]), len(sets[b])) <= min(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])]
+    found = {}
+    for name, options in (("compatible", {}), ("recall", {"recall": 0.95})):
+        rep = {r["doc_id"]: r["rep"] for r in dedup.dedup(docs, "doc_id", "text", **options).select("doc_id", "rep").collect()}
+        found[name] = sum(rep[a] == rep[b] for a, b in pairs) / len(pairs)
+    print("recall of pairs", len(pairs), found)
+    assert len(pairs) > 20 and found["recall"] >= max(0.95, found["compatible"])
+    assert dedup.bands_for(0.7, 64, 0.95) == (16, 4)
