@@ -5,15 +5,18 @@ from __future__ import annotations
 import asyncio
 import functools
 import inspect
+import math
 import typing
 import warnings
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.operators.ai import data_type
 
@@ -219,6 +222,42 @@ class Remote:
         return build
 
 
+def resources(cpus: int | None = None, gpus: float | None = None, memory: str | None = None):
+    """A profile of what a task needs; with gpus or memory also of what its executor has to have, which takes dynamic allocation.
+
+    Local masters know no profiles but the default one, so a frame with one can be planned there but not run.
+    """
+    from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+    task, executor, asks = TaskResourceRequests(), ExecutorResourceRequests(), False
+    if cpus:
+        task = task.cpus(cpus)
+    if gpus:
+        task, executor, asks = task.resource("gpu", gpus), executor.resource("gpu", max(1, math.ceil(gpus))), True
+    if memory:
+        executor, asks = executor.memory(memory), True
+    profile = ResourceProfileBuilder().require(task)
+    return (profile.require(executor) if asks else profile).build
+
+
+def on_resources(df: DataFrame, remote: Remote, columns: list[str], name: str, return_dtype: str, method: str = "__call__", barrier: bool = False, **needs: Any) -> DataFrame:
+    """``df`` with a column made by a method of a class function, row by row, in a stage of its own on executors with the cores, GPUs or memory it needs.
+
+    ``needs`` are those of :func:`resources`, none for the default profile; ``barrier`` starts all tasks of the stage together. The instance is made once in each worker process.
+    """
+    cls, args, kwargs = remote._cls, remote._args, remote._kwargs
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(return_dtype))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = getattr(_instance(cls, args, kwargs), method)
+        kind = to_arrow_type(schema[name].dataType)
+        for batch in batches:
+            out = [_plain(one(*row)) for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema, barrier, resources(**needs) if any(needs.values()) else None)
+
+
 def legacy_udf(*, return_dtype: Any, batch_size: int | None = None):
     """The older form of user functions: a function of whole Series, or a class whose ``__call__`` is one; it may give a list.
 
