@@ -48,8 +48,11 @@ spark.stop()
 
 def test_a_cluster_runs_it_with_two_cores_a_task(tmp_path):
     # Executors work below Spark's home; one of links keeps that out of the installation.
+    home, here = tmp_path / "home", tmp_path / "here"
+    home.mkdir()
+    here.mkdir()
     for p in Path(pyspark.__file__).parent.iterdir():
         if p.name != "work":
-            (tmp_path / p.name).symlink_to(p)
-    done = subprocess.run([sys.executable, "-c", CLUSTER], capture_output=True, text=True, timeout=180, cwd=tmp_path, env=os.environ | {"SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": str(tmp_path)})
+            (home / p.name).symlink_to(p)
+    done = subprocess.run([sys.executable, "-c", CLUSTER], capture_output=True, text=True, timeout=180, cwd=here, env=os.environ | {"SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": str(home)})
     assert "GOT ['None', 't0', 't10', 't20', 't40']" in done.stdout, done.stderr[-2000:]
