@@ -50,7 +50,9 @@ def headers(pages: DataFrame, run: str, least_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("payload_digest"))
     # Rows that are equal so far are counted before they move, and numbered when they are written out again.
     rows = materialize(rows.groupBy("page_id", "url", "payload_bytes", "payload_digest").agg(F.count("*").alias("n")), "headers")
-    first = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("to"))
+    # Only digests that repeat, in a table of their own, so that the join can split one that very many rows have.
+    first = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("to"), F.sum("n").alias("m"))
+    first = materialize(first.filter("m > 1").drop("m"), "originals")
     joined = rows.join(first.withColumnRenamed("payload_digest", "_d"), F.col("payload_digest") == F.col("_d"), "left").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
 
     def record_id(page: Column, url: Column, k: Column) -> Column:
