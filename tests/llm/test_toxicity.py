@@ -53,3 +53,46 @@ def test_edge_cases(spark):
         model = toxicity.fit(labelled, bits=12, features=50)
         assert toxicity.score(docs, *model).count() == len(rows)
     assert toxicity.score(docs.limit(0), *model).count() == 0
+
+
+def plain_scores(labelled, texts, orders=(4, 5, 6, 7), alpha=1.0, ridge=1.0):
+    """Scores by the definition: n-grams as strings, every one a feature, and a dense Newton fit."""
+
+    def grams(t):
+        t = " " + " ".join((t or "").lower().split()) + " "
+        return {t[k : k + n] for n in orders for k in range(len(t) - n + 1)}
+
+    rows = [(grams(t), y) for t, y in labelled]
+    ones, zeros = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    names = sorted({g for f, _ in rows for g in f})
+    a = np.array([sum(g in f and y == 1 for f, y in rows) for g in names])
+    b = np.array([sum(g in f and y == 0 for f, y in rows) for g in names])
+    r = np.log((a + alpha) / (ones + 2 * alpha) / ((b + alpha) / (zeros + 2 * alpha)))
+    x = np.array([[g in f for g in names] + [1] for f, _ in rows], dtype=float)
+    x[:, :-1] *= r
+    y, v = np.array([y for _, y in rows], dtype=float), np.zeros(len(names) + 1)
+    penalty = np.append(np.full(len(names), ridge / len(rows)), 1e-9)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ v))
+        v -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None] / len(rows)) + np.diag(penalty), x.T @ (p - y) / len(rows) + penalty * v)
+    weight = dict(zip(names, v[:-1] * r, strict=True))
+    return [1 / (1 + np.exp(-(v[-1] + sum(weight.get(g, 0) for g in grams(t))))) for t in texts]
+
+
+def test_scores_equal_a_plain_version(spark):
+    """Counts, ratios, fit and scores, with ties, repeated rows, a very long text and columns whose names clash."""
+    rng = np.random.default_rng(4)
+    words = ["stupid", "idiot", "nice", "fine", "tree", "Übel", "ok", "日本語"]
+    rows = []
+    for k in range(60):
+        bad = int(rng.random() < 0.4)
+        text = " ".join(rng.choice(words[:6] if bad else words[2:], rng.integers(0, 7)))
+        rows.append((k, text if rng.random() < 0.95 else None, bad))
+    rows += [rows[3]] * 4 + [(99, "nice  tree\n" * 30_000, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    clash = docs.selectExpr("*", "'?' as feature", "1 as ones", "2 as order", "3 as present", "4 as z", "5 as r")
+    model = toxicity.fit(clash, features=100_000)
+    got = toxicity.score(clash, *model, "doc_id", "order").collect()
+    want = dict(zip([i for i, _, _ in rows], plain_scores([(t, y) for _, t, y in rows], [t for _, t, _ in rows]), strict=True))
+    assert len(got) == len(rows) and len({round(x, 3) for x in want.values()}) > 20
+    assert max(abs(r["score"] - want[r["doc_id"]]) for r in got) < 2e-3
