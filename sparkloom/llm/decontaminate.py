@@ -3,7 +3,8 @@
 A document matches an item of L words when at most k = ``floor(max_edits * L)`` word edits turn one of its spans, of L - k to L + k
 words, into the item. Without ``free_ends`` only spans of L words count, so a dropped or added word costs two edits.
 Words are runs of letters, digits and non-ASCII characters in lower case, so punctuation and line breaks don't hide a copy; characters
-of scripts that are written without blanks are words of their own. Items of fewer than ``min_words`` words match unedited or not at all.
+of scripts that are written without blanks are words of their own. Items of fewer than ``min_words`` words match unedited or not at all,
+and those of fewer than PAIRED words, which have too few word pairs for what follows, wherever their words stand in a row.
 
 1. Windows of the item's length start at each word. The q-gram lemma keeps those that can match at all: within k edits an item
    keeps ``L - 1 - 2k`` of its word pairs, so a window with fewer pairs from items of its length, none counted more often than an item
@@ -163,10 +164,17 @@ LONG = 1024
 class Items:
     """A block of items in the form that windows are held against."""
 
-    def __init__(self, ids: list[int], texts: list[str], max_edits: float, min_words: int, repetitions: int, sampled: int, recall: float = 0.95, free_ends: bool = False):
+    def __init__(self, ids: list[int], texts: list[str], max_edits: float, min_words: int, repetitions: int, sampled: int, recall: float = 0.95, free_ends: bool = False, least_words: int = 1):
         self.free_ends = free_ends
         words, first = _words.hash_words(plain(texts))
-        kept = [(i, words[first[k] : first[k + 1]]) for k, i in enumerate(ids) if first[k + 1] - first[k] >= LEAST_WORDS]
+        every = [(i, words[first[k] : first[k + 1]]) for k, i in enumerate(ids) if first[k + 1] - first[k] >= max(1, least_words)]
+        kept = [(i, w) for i, w in every if len(w) >= PAIRED]
+        self.short: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        for n in range(1, PAIRED):
+            own = [(i, int(in_row(w, n)[0])) for i, w in every if len(w) == n]
+            keys = np.unique(np.array([k for _, k in own], dtype=np.uint64))
+            if len(keys):
+                self.short[n] = keys, [[i for i, k in own if k == key] for key in keys.tolist()]
         self.ids, self.words, self.min_words = [i for i, _ in kept], [w for _, w in kept], min_words
         self.lengths = sorted({len(w) for w in self.words})
         self.long = {n: [(i, w.tolist()) for i, w in kept if len(w) == n] for n in self.lengths if n > LONG}
@@ -200,6 +208,22 @@ class Items:
             order = np.argsort(keys, axis=1, kind="stable")
             self.bands[band] = (np.array(own), width, [(k[o], o) for k, o in zip(keys, order, strict=True)])
 
+    def short_matches(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, first word) of items of fewer than PAIRED words, at the first place of each in a text."""
+        for n, (keys, ids) in self.short.items():
+            if len(words) < n:
+                continue
+            here = in_row(words, n)
+            at = np.minimum(np.searchsorted(keys, here), len(keys) - 1)
+            start = np.flatnonzero(keys[at] == here)
+            text = np.searchsorted(first, start, side="right") - 1
+            inside = start + n <= first[text + 1]
+            start, text = start[inside], text[inside]
+            _, once = np.unique(text * len(keys) + at[start], return_index=True)
+            for x in once.tolist():
+                for i in ids[at[start[x]]]:
+                    yield int(text[x]), i, int(start[x] - first[text[x]])
+
     def edits(self, n: int) -> int:
         return int(self.max_edits * n) if n >= self.min_words else 0
 
@@ -313,14 +337,24 @@ class Items:
         return [(int(text[k[x]]), self.ids[j[x]], int(start[k[x]]), int(edits[x])) for x in fit[~same].tolist()]
 
 
-#: Items of fewer words name too little to be evidence.
-LEAST_WORDS = 4
+#: Items of fewer words have no word pairs to be found by, or hardly any.
+PAIRED = 4
+
+
+def in_row(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each word on."""
+    out = words[: len(words) - n + 1]
+    for k in range(1, n):
+        out = mix(out * np.uint64(31) + words[k : len(words) - n + 1 + k])
+    return out
+
+
 #: Words of windows that a task gathers before it embeds them together.
 HELD_WORDS = 1 << 19
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words: int = 8, recall: float = 0.95, meet: float = 0.12, sampled: int = 6, block_items: int = 20_000, free_ends: bool = False
+    docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words: int = 8, recall: float = 0.95, meet: float = 0.12, sampled: int = 6, block_items: int = 20_000, free_ends: bool = False, least_words: int = 1
 ) -> DataFrame:
     """(doc_id, item_id, start_word, edits): each document and item that match, with the first word of the best window found.
 
@@ -328,7 +362,7 @@ def leaks(
     ``recall`` it sets the number of repetitions. Of each length's places, ``sampled`` or as many fewer are compared as keep that
     recall (:func:`places_for`). With ``free_ends`` (the query and :func:`clean`) edits are those to the best span that begins with
     the window, else those to the window itself; items of over LONG words have free ends in any case. Unedited copies always
-    meet. Items of fewer than LEAST_WORDS words match nothing, nor do null texts on either side. Rows that repeat a doc_id or an
+    meet. Items of fewer than ``least_words`` words, items without words, and null texts on either side match nothing. Rows that repeat a doc_id or an
     item_id each count: a pair then shows once per row of the documents and once per block of items. Other columns are not
     looked at; an empty table on either side gives an empty result.
 
@@ -343,7 +377,7 @@ def leaks(
     out = None
     for b in range(blocks):
         rows = numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        held = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], max_edits, min_words, times, sampled, recall, free_ends))
+        held = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], max_edits, min_words, times, sampled, recall, free_ends, least_words))
         del rows
         part = spread(docs.select("doc_id", "text")).mapInArrow(functools.partial(_search, held), schema)
         if blocks > 1:
@@ -366,6 +400,7 @@ def _search(held: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
     for batch, texts in _words.chunks(batches):
         words, first = _words.hash_words(plain(texts))
+        found += [(batch.column(0)[t].as_py(), i, s, 0) for t, i, s in items.short_matches(words, first)]
         for n, start in items.windows(words, first):
             text = np.searchsorted(first, start, side="right") - 1
             if n > LONG:
@@ -384,13 +419,15 @@ def _search(held: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that match an item, with free ends unless told otherwise.
+    """``docs`` without the documents that match an item, with free ends and items of four words or more unless told otherwise.
+
+    Fewer words name too little to be evidence against a whole document; ``least_words=1`` takes all items.
 
     Every row is judged by its own text, whatever its doc_id: null ids, and ids that several rows share, are no exception. Null texts
     match nothing and stay, as do all rows if there are no items.
     """
     key = F.xxhash64("doc_id", "text")
-    found = leaks(docs.select(key.alias("doc_id"), "text"), items, **({"free_ends": True} | options)).select(F.col("doc_id").alias("_key")).distinct()
+    found = leaks(docs.select(key.alias("doc_id"), "text"), items, **({"free_ends": True, "least_words": PAIRED} | options)).select(F.col("doc_id").alias("_key")).distinct()
     plain_columns = [F.col(f"`{c}`") for c in docs.columns]
     # Whole rows travel as one struct, whose fields' names clash with nothing.
     rows = docs.select(F.struct(*plain_columns).alias("_row"), key.alias("_k"))

@@ -1,5 +1,6 @@
 import pickle
 import random
+import re
 
 import numpy as np
 
@@ -208,5 +209,29 @@ def test_very_long_items_in_bounded_memory(spark):
 def test_short_items_and_scripts_without_blanks(spark):
     items = [(1, "what is the boiling point"), (2, "two words"), (3, "水は百度で沸騰しますがどうですか"), (4, "ああああああああああああ")]
     docs = [(1, "So: What is the BOILING point?"), (2, "what is the melting point"), (3, "two words"), (4, "前 水は百度で沸騰します、がどうですか 後"), (5, "水は五十度で沸騰しませんがこうですか"), (6, "水")]
-    rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), free_ends=True).collect()
-    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in rows} == {(1, 1, 0), (4, 3, 0)}
+    for least, more in ((1, {(3, 2, 0)}), (4, set())):
+        rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), free_ends=True, least_words=least).collect()
+        assert {(r["doc_id"], r["item_id"], r["edits"]) for r in rows} == {(1, 1, 0), (4, 3, 0)} | more
+
+
+def test_items_of_one_to_three_words(spark):
+    """Exactly where their words stand in a row in one text, once a text and item; least_words leaves them out."""
+    rng = random.Random(12)
+    words = ["alpha", "Beta", "gamma", "dé", "日", "x1"]
+    docs = [(k, rng.choice([None, "", " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))]) if k % 7 == 0 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for k in range(120)]
+    items = [(1, "alpha"), (2, "Alpha, beta!"), (3, "gamma x1 dé"), (4, "alpha"), (5, ""), (6, None), (7, "日"), (8, "beta beta"), (9, "not there"), (10, "alpha beta gamma dé x1")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda t: re.findall(r"[a-z0-9é]+|日", (t or "").lower())
+    want = set()
+    for doc, text in docs:
+        t = plain(text)
+        for item, x in items:
+            w = plain(x)
+            at = next((k for k in range(len(t) - len(w) + 1) if t[k : k + len(w)] == w), None)
+            if w and at is not None:
+                want.add((doc, item, at, 0))
+    got = [tuple(r) for r in decontaminate.leaks(d, i).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {x[1] for x in want} >= {1, 2, 4, 7}
+    assert {tuple(r) for r in decontaminate.leaks(d, i, least_words=3).collect()} == {x for x in want if x[1] in (3, 10)}
+    kept = decontaminate.clean(d, i).count()
+    assert kept == len(docs) - len({x[0] for x in want if x[1] == 10}) and decontaminate.clean(d, i, least_words=1).count() == len(docs) - len({x[0] for x in want})
