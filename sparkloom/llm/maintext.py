@@ -195,6 +195,8 @@ LABELLED: tuple[tuple[tuple[int, str], ...], ...] = (
     ((0, "<div role=navigation>{a1} {a1}</div><div role=alert>{18}</div>"), (1, "<div role=main><p>{5}</p><p>{a2} {6}</p><p>{75}</p></div>"), (0, "<div role=contentinfo>{30}</div>")),
     ((0, "<ul><li>{a1}<li>{a2}<li>{a1}</ul><p>{3}</p>"), (1, "<h1>{5}</h1><p>{40}</p><p>{16}</p><p>{52}</p><p>{24}</p>"), (0, "<ul><li>{a4}<li>{a5}<li>{a6}</ul><p>{5} {a2}</p>")),
     ((0, "<p>{2}</p><p>{a9}</p><p>{a7} {3}</p>"), (1, "<p>{100}</p>"), (0, "<p>{a8}</p><p>{3}</p>")),
+    ((0, "<div>{a1} {a1}</div><div>{3}</div>"), (1, "<h1>{6}</h1><p>{48}</p><p>{4}</p><p>{62}</p><p>{1}</p><p>{35}</p><p>{11}</p><p>{90}</p>"), (0, "<div>{a2}</div><div>{9}</div>")),
+    ((0, "<p>{a1}</p><p>{5}</p><p>{a3}</p>"), (1, "<p>{41}</p><p>{7}</p><p>{57}</p><p>{2}</p><p>{38}</p>"), (0, "<p>{a2}</p><p>{12}</p><p>{a1}</p><p>{6}</p>")),
 )
 
 

@@ -67,6 +67,7 @@ LAYOUTS = [
     lambda m, b: f"<p><a href=a>{b(3)}</a> <a href=b>{b(2)}</a><p><a href=c>{b(1)}</a>{m(60)}{m(25)}{m(40)}<p><a href=d>{b(6)}</a>",
     lambda m, b: f"<article>{m(20)}<ol class='commentlist'><li><article class='comment'>{b(55)}</article></ol></article><div class='newsletter-signup'>{b(22)}</div>",
     lambda m, b: f"<div class='wrap with-sidebar hasMenu'><div class='content has-sidebar'>{m(33)}{m(2)}</div><div class=sidebar-right>{b(50)}</div></div><section class=comments><article><p>{b(40)}</p></article></section>",
+    lambda m, b: f"<div class=x1><a href=a>{b(2)}</a> <a href=b>{b(1)}</a></div><div class=x2>{m(70)}{m(3)}{m(55)}{m(1)}{m(48)}</div><div class=x3><a href=c>{b(3)}</a></div>",
     lambda m, b: f"<div id=menuWrapper><ul><li>{b(1)}</ul><main>{m(45)}{m(4)}</main></div><div class='relatedPosts'><article><h2>{b(5)}</h2><p>{b(30)}</p></article></div>",
 ]
 
