@@ -157,13 +157,13 @@ class Range(InputPartition):
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, path: str, split_bytes: int, index: bool):
-        self.path, self.split_bytes, self.index = path, split_bytes, index
+    def __init__(self, paths: list[str], split_bytes: int, index: bool):
+        self.paths, self.path, self.split_bytes, self.index = paths, paths[0], split_bytes, index
 
     def partitions(self) -> list[Range]:
         fs, _ = store(self.path)
         out = []
-        for path, size in data_files(self.path):
+        for path, size in (x for p in self.paths for x in data_files(p)):
             with fs.open_input_file(path) as f:
                 packed = f.read(3) == MAGIC
             # Nothing in a plain archive tells a record's begin from the same words in a page, so it stays whole.
@@ -272,16 +272,20 @@ class ArchiveSource(DataSource):
         return INDEX if self.options.get("index") == "true" else SCHEMA
 
     def reader(self, schema):
-        return ArchiveReader(self.options["path"], int(self.options.get("split_bytes", 64 << 20)), self.options.get("index") == "true")
+        paths = self.options["path"]
+        return ArchiveReader(json.loads(paths) if paths.startswith("[") else [paths], int(self.options.get("split_bytes", 64 << 20)), self.options.get("index") == "true")
 
     def writer(self, schema: StructType, overwrite: bool):
         return ArchiveWriter(self.options["path"])
 
 
-def read_archives(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
-    """The records of the archives at a path, each once whatever the split size. A file whose first bytes are no gzip is one task's."""
+def read_archives(spark: SparkSession, path: str | list[str], split_bytes: int = 64 << 20) -> DataFrame:
+    """The records of the archives at a path, a pattern or a list of these on one file system, each once whatever the split size.
+
+    A file whose first bytes are no gzip is one task's.
+    """
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("sparkloom_warc").options(path=path, split_bytes=str(split_bytes)).load()
+    return spark.read.format("sparkloom_warc").options(path=path if isinstance(path, str) else json.dumps(path), split_bytes=str(split_bytes)).load()
 
 
 def member_index(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:

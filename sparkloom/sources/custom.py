@@ -24,7 +24,7 @@ def parse_warc(raw: bytes) -> Iterator[tuple]:
     yield from (archives.row_of(head, block) for head, block in archives.records(stream))
 
 
-def read_warc(spark: SparkSession, path: str, content: str = "raw", split_bytes: int = 64 << 20) -> DataFrame:
+def read_warc(spark: SparkSession, path: str | list[str], content: str = "raw", split_bytes: int = 64 << 20) -> DataFrame:
     """Records of the archives at a path, compressed ones by many tasks a file. content: raw (all), wet (conversion), wat (metadata) or warc (response)."""
     kinds = {"wet": "conversion", "wat": "metadata", "warc": "response"}
     out = archives.read_archives(spark, path, split_bytes)

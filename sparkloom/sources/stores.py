@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from pathlib import PurePosixPath
 
 import pyarrow.fs as pafs
 
@@ -17,7 +18,14 @@ def store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def data_files(path: str, suffix: str = "") -> list[tuple[str, int]]:
-    """(path, bytes) of a file, or of the files below a folder in the order of their names, without hidden ones (folders of partitions, with a =, are none)."""
+    """(path, bytes) of a file, of those that a pattern (``*``, ``?``, ``[...]``, ``**``) matches, or of those below a folder, in the order of their names.
+
+    Hidden ones are left out; folders of partitions, with a =, are none.
+    """
+    if found := re.search(r"[*?\[]", path):
+        top = path[: found.start()].rpartition("/")[0]
+        pattern = store(top)[1].rstrip("/") + path[len(top) :]
+        return [(p, n) for p, n in data_files(top or "/", suffix) if PurePosixPath(p).full_match(pattern)]
     fs, base = store(path)
     info = fs.get_file_info(base)
     if info.type == pafs.FileType.File:

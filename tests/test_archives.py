@@ -68,6 +68,12 @@ def test_plain_and_empty_archives_and_kinds(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(b"")
     (tmp_path / "_hidden").write_bytes(b"?")
     assert custom.read_warc(spark, f"file://{tmp_path}").count() == 2
+    (tmp_path / "x=1").mkdir()
+    (tmp_path / "x=1" / "c.warc").write_bytes(record(3, b"c"))
+    (tmp_path / ".d.warc").write_bytes(record(4, b"d"))
+    assert custom.read_warc(spark, f"file://{tmp_path}").count() == 3
+    assert custom.read_warc(spark, f"file://{tmp_path}/*.warc").count() == 2 and custom.read_warc(spark, f"file://{tmp_path}/**/[c].war?").count() == 1
+    assert custom.read_warc(spark, [f"{tmp_path}/a.warc", f"{tmp_path}/x=1"]).count() == 3
     assert [r["WARC-Target-URI"] for r in custom.read_warc(spark, f"file://{tmp_path}", "warc").collect()] == ["u1"]
 
 
