@@ -48,3 +48,10 @@ def hash64(*cs: str | Column) -> Column:
 def epoch_millis(c: str | Column) -> Column:
     """Integer milliseconds since 1970 as a timestamp (``cast`` alone means seconds)."""
     return F.timestamp_millis(_c(c))
+
+
+def timestamp_text(t: str | Column) -> Column:
+    """``2024-01-31 08:00:00.250`` in any year: the pattern ``yyyy`` would write a plus before years beyond 9999, and lose the sign of those before 0."""
+    year = F.year(_c(t))
+    padded = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    return F.concat(padded, F.date_format(_c(t), "-MM-dd HH:mm:ss.SSS"))
