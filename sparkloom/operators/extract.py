@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import headings
@@ -74,6 +74,12 @@ def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(F.col("k").alias(key), "tag", "text", F.concat_ws("-", F.col("k").cast("string"), "tag", F.xxhash64("text").cast("string")).alias("block_id"))
 
 
+def raw_title(html: str | Column) -> Column:
+    """The first title of a page as it is written, but for ``&amp;`` and blanks around it; empty for a page without one, null for no page."""
+    found = F.regexp_extract(html, "<title>([^<]*)</title>", 1)
+    return F.regexp_replace(F.replace(found, F.lit("&amp;"), F.lit("&")), r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def definitions_of(source: str | None) -> list[dict] | None:
     """Functions and classes of Python source, nested ones too, in the order of their lines; null for source that doesn't parse."""
     try:
