@@ -19,8 +19,12 @@ def by_ticker(*order: str):
 
 
 def daily_return(bars: DataFrame) -> DataFrame:
+    """prev_close and daily_return; a return on 0 is what IEEE 754 says (infinite, or NaN for 0 on 0), no null and no error."""
     before = F.lag("close").over(by_ticker())
-    return bars.withColumn("prev_close", before).withColumn("daily_return", F.try_divide(F.col("close") - before, before))
+    change = F.col("close") - F.col("prev_close")
+    # The power keeps the sign of a zero; where it is taken, the division isn't.
+    by_zero = F.when(F.col("prev_close") == 0, change * F.pow("prev_close", F.lit(-1.0)))
+    return bars.withColumn("prev_close", before).withColumn("daily_return", by_zero.otherwise(F.try_divide(change, F.col("prev_close"))))
 
 
 def moving_averages(bars: DataFrame, short: int = 5, long: int = 20) -> DataFrame:
