@@ -64,3 +64,9 @@ def spread(df: DataFrame) -> DataFrame:
     if plan.nodeName().startswith("AdaptiveSparkPlan") or plan.execute().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are held to 4 MB from now on: batches of a number of rows can hold that many long values."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return df
