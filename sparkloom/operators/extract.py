@@ -6,13 +6,12 @@ import ast
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import headings
-from sparkloom.storage import spread
+from sparkloom.storage import small_batches, spread
 
 #: Tags whose text is a block, and tags whose content never is.
 BLOCK_TAGS = ("title", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "section", "figcaption", "caption", "blockquote", "th", "td", "pre", "code", "summary")
@@ -51,26 +50,48 @@ class _Blocks(HTMLParser):
                 self.found[k][1].append(data)
 
 
-def blocks_of(html: str | None) -> list[tuple[str, str]]:
-    """(tag, text) of the blocks of a page in document order, without empty ones."""
+def _each_block(html: str | None) -> Iterator[tuple[str, str]]:
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
-    return [(tag, " ".join(text)) for tag, text in parser.found if tag in BLOCK_TAGS and text]
+    return ((tag, " ".join(text)) for tag, text in parser.found if tag in BLOCK_TAGS and text)
+
+
+def blocks_of(html: str | None) -> list[tuple[str, str]]:
+    """(tag, text) of the blocks of a page in document order, without empty ones."""
+    return list(_each_block(html))
+
+
+#: Code points of blocks that a task holds before it passes them on; a longer block goes alone.
+HELD_CHARS = 1 << 20
+
+
+def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, tag, text) of the blocks of (k, html), a few pages' or a part of a page's at a time: nested blocks make up many times their page."""
+    for batch in batches:
+        of, tags, texts, held = [], [], [], 0
+
+        def passed(batch=batch):
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int32())), pa.array(tags, pa.string()), pa.array(texts, pa.string())], ["k", "tag", "text"])
+
+        for i, page in enumerate(batch.column(1)):
+            for tag, text in _each_block(page.as_py()):
+                of.append(i)
+                tags.append(tag)
+                texts.append(text)
+                held += len(text) + 50
+                if held >= HELD_CHARS:
+                    yield passed()
+                    of, tags, texts, held = [], [], [], 0
+        if of:
+            yield passed()
 
 
 def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, tag, text, block_id): a row per block of each page; equal blocks of one page share an id."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [blocks_of(page) for page in batch.column(1).to_pylist()]
-            each = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            flat = [x for some in found for x in some]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(each), pa.array([t for t, _ in flat], pa.string()), pa.array([x for _, x in flat], pa.string())], ["k", "tag", "text"])
-
-    source = spread(pages.select(F.col(key).alias("k"), F.col(html).alias("h")))
-    rows = source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, tag string, text string")
+    source = spread(small_batches(pages).select(F.col(key).alias("k"), F.col(html).alias("h")))
+    rows = source.mapInArrow(block_batches, f"k {source.schema['k'].dataType.simpleString()}, tag string, text string")
     return rows.select(F.col("k").alias(key), "tag", "text", F.concat_ws("-", F.col("k").cast("string"), "tag", F.xxhash64("text").cast("string")).alias("block_id"))
 
 
