@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import normalize
 from sparkloom.functions.words import CHUNK_BYTES, hash_words, shingle_hashes
 from sparkloom.operators.components import FEW_EDGES, connected_components
-from sparkloom.storage import materialize, release, spread
+from sparkloom.storage import materialize, release, small_batches, spread
 
 
 def shingle_list(c: str | Column, n: int = 5) -> Column:
@@ -91,15 +91,43 @@ def bands_for(threshold: float, num_hashes: int, recall: float) -> tuple[int, in
     raise ValueError(f"{num_hashes} hashes don't reach a recall of {recall} at {threshold}")
 
 
-def band_edges(signatures: DataFrame, node: str, signature: str, bands: int, rows: int) -> DataFrame:
-    """Edges (u, v) from each node to the least node that agrees with it in a band; a bucket of n nodes gives n - 1 at most."""
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(F.col(signature), i * rows + 1, rows)))
-    hashed = signatures.filter(F.col(signature).isNotNull() & F.col(node).isNotNull()).select(F.col(node).alias("v"), F.explode(pieces).alias("bucket"))
+def band_edges(signatures: DataFrame, node: str, bands: str) -> DataFrame:
+    """Edges (u, v) from each node to the least node that agrees with it in a band's hash; a bucket of n nodes gives n - 1 at most."""
+    hashed = signatures.filter(F.col(bands).isNotNull() & F.col(node).isNotNull()).select(F.col(node).alias("v"), F.explode(bands).alias("bucket"))
     # Minima are combined before they move, and a table of them leaves the join free to split a bucket that very many share.
     least = materialize(hashed.groupBy("bucket").agg(F.min("v").alias("u"), F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
     return hashed.join(least, "bucket").filter("u <> v").select("u", "v").distinct()
 
 
+def _signed(docs: DataFrame, node: str, text: str, threshold: float, num_hashes: int, ngram_size: int, bands: tuple[int, int] | None, recall: float | None) -> DataFrame:
+    """A table (node, bands, g): a hash per band, and one of them all; null for texts without words. Signatures themselves stay in their task."""
+    b, r = bands or (bands_for(threshold, num_hashes, recall) if recall else optimal_bands(threshold, num_hashes))
+    plain = normalize("text", remove_punct=True, lowercase=True, white_space=True)
+    rows = spread(small_batches(docs).select(F.col(node).alias("node"), F.col(text).alias("text")))
+    rows = rows.select("node", minhash(plain, num_hashes, ngram_size).alias("s"))
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.slice(F.col("s"), i * r + 1, r)))
+    rows = rows.select("node", F.when(F.col("s").isNotNull(), pieces).alias("bands"))
+    return materialize(rows.select("node", "bands", F.when(F.col("bands").isNotNull(), F.xxhash64("bands")).alias("g")), "signatures")
+
+
+def _groups(signed: DataFrame) -> DataFrame:
+    """A table (g, rep): texts that agree in all bands are one group, and near-duplicate groups share the least node of theirs.
+
+    Only groups meet by band and go through the components, by a number each; copies, and names as long as they may be, stay out of it.
+    """
+    some = signed.filter("g is not null and node is not null")
+    groups = materialize(some.groupBy("g").agg(F.min(F.struct("node", "bands")).alias("m")).select("g", F.col("m.node").alias("first"), F.col("m.bands").alias("bands")), "groups")
+    # A node of several texts links their groups.
+    same = some.select("node", "g").withColumn("u", F.lag("g").over(Window.partitionBy("node").orderBy("g"))).filter("u <> g").select("u", F.col("g").alias("v"))
+    found = connected_components(band_edges(groups, "g", "bands").unionAll(same), one_task_rows=FEW_EDGES, split_hubs=True)
+    linked = groups.select("g", "first").join(found.select(F.col("node").alias("g"), "component"), "g")
+    reps = materialize(linked.groupBy("component").agg(F.min("first").alias("rep")), "reps")
+    every = groups.select("g", "first").join(found.select(F.col("node").alias("g"), "component"), "g", "left").join(reps, "component", "left")
+    named = materialize(every.select("g", F.coalesce("rep", "first").alias("rep")), "named")
+    release(groups, reps)
+    return named
+
+
 def dedup(docs: DataFrame, node: str, text: str, threshold: float = 0.7, num_hashes: int = 64, ngram_size: int = 5, bands: tuple[int, int] | None = None, recall: float | None = None) -> DataFrame:
     """``docs`` with rep, the least node of each group of near-duplicates (itself for rows without one), and is_duplicate.
 
@@ -107,14 +135,17 @@ def dedup(docs: DataFrame, node: str, text: str, threshold: float = 0.7, num_has
     a pair meets with a chance of 0.38 only, at 0.85 with 0.92; with ``recall`` they are chosen by :func:`bands_for` (0.95: 16 bands of 4), which
     links more pairs below the threshold, too.
     """
-    b, r = bands or (bands_for(threshold, num_hashes, recall) if recall else optimal_bands(threshold, num_hashes))
-    plain = normalize("text", remove_punct=True, lowercase=True, white_space=True)
-    signed = spread(docs.select(F.col(node).alias("node"), F.col(text).alias("text")))
-    signed = signed.select("node", minhash(plain, num_hashes, ngram_size).alias("signature"))
-    signed = materialize(signed, "signatures")
-    found = connected_components(band_edges(signed, "node", "signature", b, r), one_task_rows=FEW_EDGES, split_hubs=True)
-    release(signed)
-    return mark_duplicates(docs, node, found)
+    signed = _signed(docs, node, text, threshold, num_hashes, ngram_size, bands, recall)
+    # Any of a node's groups will do, as these are linked.
+    of = signed.filter("g is not null and node is not null").groupBy("node").agg(F.min("g").alias("g"))
+    return mark_duplicates(docs, node, of.join(_groups(signed), "g").select("node", F.col("rep").alias("component")))
+
+
+def representatives(docs: DataFrame, node: str, text: str, threshold: float = 0.7, num_hashes: int = 64, ngram_size: int = 5, bands: tuple[int, int] | None = None, recall: float | None = None) -> DataFrame:
+    """The nodes that :func:`keep_representatives` leaves of :func:`dedup`, each once: one a group, so that ``docs`` are read once and no text or node is joined."""
+    signed = _signed(docs, node, text, threshold, num_hashes, ngram_size, bands, recall)
+    alone = signed.filter("g is null or node is null").select("node").distinct().join(signed.filter("g is not null").select("node"), "node", "left_anti")
+    return _groups(signed).select(F.col("rep").alias("node")).distinct().unionAll(alone).withColumnRenamed("node", node)
 
 
 def mark_duplicates(docs: DataFrame, node: str, components: DataFrame) -> DataFrame:
