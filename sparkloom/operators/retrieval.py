@@ -73,11 +73,14 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
     blocks = max(1, -(-queries.count() // block))
     asked = _packed(queries.repartition(blocks), query_key, query_vector, block).toDF("ids", "m", "q")
     rows = _packed(spread(corpus.select(key, vector)), key, vector, 4096)
-    pairs = rows.crossJoin(F.broadcast(asked) if blocks <= FEW_BLOCKS else asked).filter("m = n").select("keys", "x", "ids", "q", "n")
+    pairs = rows.crossJoin(F.broadcast(asked) if blocks <= FEW_BLOCKS else asked).select("keys", "x", "n", "ids", "q", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, x, ids, q, n in zip(*batch.columns, strict=True):
+            for keys, x, n, ids, q, m in zip(*batch.columns, strict=True):
+                # Told apart here: as a condition of the join, equal lengths would bring all blocks to one task where none are broadcast.
+                if n != m:
+                    continue
                 x, q = (np.frombuffer(b.as_buffer()).reshape(-1, n.as_py()) for b in (x, q))
                 for of, at, distance in _nearest(q, x, k):
                     yield pa.RecordBatch.from_arrays([ids.values.take(pa.array(of)), keys.values.take(pa.array(at)), pa.array(distance)], [query_key, key, "distance"])
